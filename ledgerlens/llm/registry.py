@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from ledgerlens.llm.decontamination import op9_decontaminate
+from ledgerlens.llm.html_text import op1_html
 from ledgerlens.llm.mixing import OP6_SQL, op6_mix
 from ledgerlens.llm.sharding import op10_shard
 from ledgerlens.llm.simhash import op7_simhash
 
-QUERIES = {"op6_mix": op6_mix, "op7_simhash": op7_simhash, "op9_decontaminate": op9_decontaminate, "op10_shard": op10_shard}
+QUERIES = {"op1_html": op1_html, "op6_mix": op6_mix, "op7_simhash": op7_simhash, "op9_decontaminate": op9_decontaminate, "op10_shard": op10_shard}
 ORACLES = {"op6_mix": OP6_SQL}
