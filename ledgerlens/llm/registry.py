@@ -5,9 +5,10 @@ from __future__ import annotations
 from ledgerlens.llm.chat import op3_chat
 from ledgerlens.llm.decontamination import op9_decontaminate
 from ledgerlens.llm.html_text import op1_html
+from ledgerlens.llm.language import op4_language
 from ledgerlens.llm.mixing import OP6_SQL, op6_mix
 from ledgerlens.llm.sharding import op10_shard
 from ledgerlens.llm.simhash import op7_simhash
 
-QUERIES = {"op1_html": op1_html, "op3_chat": op3_chat, "op6_mix": op6_mix, "op7_simhash": op7_simhash, "op9_decontaminate": op9_decontaminate, "op10_shard": op10_shard}
+QUERIES = {"op1_html": op1_html, "op3_chat": op3_chat, "op4_language": op4_language, "op6_mix": op6_mix, "op7_simhash": op7_simhash, "op9_decontaminate": op9_decontaminate, "op10_shard": op10_shard}
 ORACLES = {"op6_mix": OP6_SQL}
