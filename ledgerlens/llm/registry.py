@@ -9,6 +9,7 @@ from ledgerlens.llm.language import op4_language
 from ledgerlens.llm.mixing import OP6_SQL, op6_mix
 from ledgerlens.llm.sharding import op10_shard
 from ledgerlens.llm.simhash import op7_simhash
+from ledgerlens.llm.toxicity import op8_toxicity
 
-QUERIES = {"op1_html": op1_html, "op3_chat": op3_chat, "op4_language": op4_language, "op6_mix": op6_mix, "op7_simhash": op7_simhash, "op9_decontaminate": op9_decontaminate, "op10_shard": op10_shard}
+QUERIES = {"op1_html": op1_html, "op3_chat": op3_chat, "op4_language": op4_language, "op6_mix": op6_mix, "op7_simhash": op7_simhash, "op8_toxicity": op8_toxicity, "op9_decontaminate": op9_decontaminate, "op10_shard": op10_shard}
 ORACLES = {"op6_mix": OP6_SQL}
