@@ -21,10 +21,10 @@ from pyspark.sql import functions as F
 
 from ledgerlens.llm.common import N_GRAMS, classes, fresh, id_crc, load, text_chunks, trigrams
 
-#: Labelled texts that the lexicon is fitted on, at most, chosen by a hash of their text; all text statistics cover all documents.
+#: Labelled texts that the lexicon is fitted on, at most, chosen by a hash of their id; all text statistics cover all documents.
 MAX_LABELLED = 8_000
 #: Labelled texts longer than this (code points) are not fitted on; they are scored whole like any other.
-MAX_LABELLED_CHARS = 50_000
+MAX_LABELLED_CHARS = 20_000
 
 #: What a sign or digit may stand for.
 LEET = {
@@ -185,12 +185,11 @@ def stems(word: str) -> list[str]:
     return [word[:n] + "-" for n in range(4, min(8, len(word)))]
 
 
-def doc_features(words: set[str], stems_of: set[str] | None = None, heads: set[str] | None = None) -> set[str]:
+def doc_features(words: set[str], stems_of: set[str]) -> set[str]:
     """Words, stems (stem-) and stems that two different words have (stem-2); of stems only those asked for."""
     out, count = set(words), Counter()
     for w in words:
-        if heads is None or w[:3] in heads:
-            count.update(f for f in stems(w) if stems_of is None or f in stems_of)
+        count.update(f for f in stems(w) if f in stems_of)
     out.update(count)
     out.update(f + "2" for f, n in count.items() if n > 1)
     return out
@@ -268,45 +267,54 @@ def learn_lexicon(texts: list[str], labels: list[int], restorer: Restorer, least
     A feature needs `least` of the toxic texts (5 at least) and `precision`; near copies of a text count once.
     """
     seen: set = set()
-    rows: list[tuple[set[str], int]] = []
-    memory: dict[str, tuple[str, ...]] = {}
+    rows: list[tuple[np.ndarray, int]] = []
+    number: dict[str, int] = {}
+    memory: dict[str, tuple[int, ...]] = {}
     for text, label in zip(texts, labels):
-        words: set[str] = set()
-        for token in set(text.lower().split()):
-            if (own := memory.get(token)) is None:
-                own = memory[token] = restorer.token(token)
-            words.update(own)
         marks = sketch(text)
         known = not marks.isdisjoint(seen)
         seen |= marks
-        if not known:
-            rows.append((words, label))
+        if known:
+            continue
+        own: set[int] = set()
+        for token in set(text.lower().split()):
+            if (found := memory.get(token)) is None:
+                if len(memory) > 200_000:
+                    memory.clear()
+                found = memory[token] = tuple(number.setdefault(w, len(number)) for w in restorer.token(token))
+            own.update(found)
+        rows.append((np.fromiter(own, np.int32, len(own)), label))
+    names = list(number)
+    del number, memory
     # Sums of word counts come first: a stem whose words are rare among toxic texts needs no exact count.
-    pos = Counter()
+    pos = np.zeros(len(names), np.int64)
     for words, label in rows:
         if label:
-            pos.update(words)
+            pos[words] += 1
     n_pos = sum(label for _, label in rows)
     need = max(5, math.ceil(least * n_pos))
     base = min(0.3, (n_pos * 0.02 + 0.5) / (len(rows) + 1))
     sums = Counter()
-    for w, n in pos.items():
-        for f in stems(w):
-            sums[f] += n
+    for i in np.flatnonzero(pos):
+        for f in stems(names[i]):
+            sums[f] += int(pos[i])
     likely = {f for f, n in sums.items() if n >= need}
-    heads = {f[:3] for f in likely} | {w[:3] for w, n in pos.items() if n >= need}
+    heads = {f[:3] for f in likely} | {names[i][:3] for i in np.flatnonzero(pos >= need)}
+    useful = np.array([w[:3] in heads for w in names], bool)
+    words_of = lambda ids: {names[i] for i in ids[useful[ids]]}
     holders: dict[str, set[int]] = {}
-    for i, (words, label) in enumerate(rows):
+    for i, (ids, label) in enumerate(rows):
         if label:
-            for f in doc_features(words, likely, heads):
+            for f in doc_features(words_of(ids), likely):
                 holders.setdefault(f, set()).add(i)
     holders = {f: h for f, h in holders.items() if len(h) >= need}
     kept = {f.rstrip("2") for f in holders if "-" in f}
     heads = {f[:3] for f in holders}
+    useful = np.array([w[:3] in heads for w in names], bool)
     wrong = Counter()
-    for words, label in rows:
+    for ids, label in rows:
         if not label:
-            wrong.update(doc_features(words, kept, heads) & holders.keys())
+            wrong.update(doc_features(words_of(ids), kept) & holders.keys())
     rate = {f: (len(h) + 0.05) / (len(h) + wrong[f] + 0.1) for f, h in holders.items()}
     good = {f for f, h in holders.items() if len(h) / (len(h) + wrong[f]) >= precision}
     weights: dict[str, float] = {}
@@ -362,8 +370,11 @@ def train(docs: DataFrame, labels: DataFrame, ids: str = "doc_id", text: str = "
     """Character model of all docs; lexicon of at most `limit` labelled texts, chosen by a hash. Null labels, ids and texts are left out."""
     model = char_model(docs, text)
     marked = labels.where(F.col(label).isNotNull() & F.col(ids).isNotNull()).groupBy(ids).agg(F.max(label).cast("int").alias("__label"))
-    rows = docs.select(ids, F.col(text).alias("__text")).where(F.col("__text").isNotNull() & (F.length("__text") <= MAX_LABELLED_CHARS)).join(marked, ids)
-    picked = rows.select("__text", "__label").distinct().orderBy(F.xxhash64("__text"), "__text", "__label").limit(limit).collect()
+    chosen = marked.orderBy(F.xxhash64(ids), ids).limit(limit).collect()
+    few = docs.sparkSession.createDataFrame([tuple(r) for r in chosen], marked.schema)
+    rows = docs.select(ids, F.col(text).alias("__text")).where(F.col("__text").isNotNull() & (F.length("__text") <= MAX_LABELLED_CHARS))
+    picked = rows.join(F.broadcast(few), ids).select("__text", "__label").distinct().limit(limit).collect()
+    picked.sort(key=lambda r: (xxhash.xxh64_intdigest(r["__text"]), r["__label"]))
     lexicon = learn_lexicon([r["__text"] for r in picked], [int(r["__label"] > 0) for r in picked], Restorer(model))
     return model, lexicon
 
