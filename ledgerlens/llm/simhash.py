@@ -16,7 +16,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerlens.llm.common import load, materialize
@@ -217,23 +217,40 @@ def link_fingerprints(fps: DataFrame, max_diff: int = 3, leaf: int = LEAF, node:
     return ordered.mapInArrow(_links(max_diff), "a long, b long")
 
 
-def near_duplicates(df: DataFrame, ids: str = "doc_id", text: str = "text", k: int = 3, max_diff: int = 3) -> DataFrame:
-    """(ids, fp, component) for every row of df: component is the smallest id reachable over links of max_diff bits.
-
-    Null and empty texts have fingerprint zero and link like any other. A null id takes part but is no component name:
-    a component of null ids only is null. Repeated rows stay repeated. An empty df gives an empty result; other columns are ignored.
-    """
-    rows = materialize(fingerprints(df.select(F.col(ids), F.col(text).alias("text")), "text", k), "fp")
+def groups(rows: DataFrame, ids: str, max_diff: int = 3) -> DataFrame:
+    """rows (ids, fp, ...) with `component` (smallest id of the linked set) and `root` (a fingerprint that names the set)."""
     distinct = materialize(rows.groupBy("fp").agg(F.min(ids).alias("low")), "distinct")
     links = materialize(link_fingerprints(distinct.select("fp"), max_diff), "links")
     roots = connected_components(links)
     named = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
     named = materialize(named, "roots")
     lows = named.groupBy("root").agg(F.min("low").alias("component"))
-    names = materialize(named.join(lows, "root").select(F.col("fp").alias("__fp"), "component"), "names")
+    names = materialize(named.join(lows, "root").select(F.col("fp").alias("__fp"), "component", "root"), "names")
     return rows.join(names, rows["fp"] == names["__fp"]).drop("__fp")
 
 
+def near_duplicates(df: DataFrame, ids: str = "doc_id", text: str = "text", k: int = 3, max_diff: int = 3) -> DataFrame:
+    """(ids, fp, component) for every row of df: component is the smallest id reachable over links of max_diff bits.
+
+    Null and empty texts have fingerprint zero and link like any other. A null id takes part but is no component name:
+    a component of null ids only is null. Repeated rows stay repeated. An empty df gives an empty result; other columns are ignored.
+    """
+    rows = materialize(fingerprints(df.select(F.col(ids), F.col(text).alias("text")), "text", k), "fp")
+    return groups(rows, ids, max_diff).select(ids, "fp", "component")
+
+
+def keep_one(df: DataFrame, ids: str = "doc_id", text: str = "text", k: int = 3, max_diff: int = 3) -> DataFrame:
+    """df with one row of each linked set: the one of the smallest id (null ids last, then the smallest hash of the row)."""
+    names = df.columns
+    keyed = df.withColumn("__h", F.xxhash64(*names)).withColumn("__g", F.xxhash64(F.lit(1), *names))
+    rows = materialize(fingerprints(keyed.select(F.col(ids), "__h", "__g", F.col(text).alias("text")), "text", k), "fp")
+    first = F.min(F.struct(F.col(ids).isNull().alias("n"), F.col(ids).alias("i"), F.col("__h").alias("h"), F.col("__g").alias("g")))
+    keep = groups(rows, ids, max_diff).groupBy("root").agg(first.alias("x")).select(F.col("x.h").alias("__h"), F.col("x.g").alias("__g"))
+    copy = Window.partitionBy("__h", "__g").orderBy("__h")
+    found = keyed.join(materialize(keep, "keep"), ["__h", "__g"]).withColumn("__n", F.row_number().over(copy))
+    return found.where("__n = 1").select(*names)
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(load(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.col("component").alias("component_id"))
