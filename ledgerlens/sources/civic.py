@@ -25,7 +25,7 @@ JOIN {supplier} s ON l.l_suppkey = s.s_suppkey JOIN {nation} n ON c.c_nationkey
 #: Expenditures: payee, purpose, part 6 to 9 and the named candidate with support or oppose flags.
 EXPENDITURES = """
 SELECT l.l_orderkey AS filing_id, l.l_suppkey AS committee_id, p.p_name AS payee_name, concat(p.p_type, ' ', p.p_name) AS purpose,
-       p.p_partkey AS candidate_id, p.p_brand AS race_key, round(l.l_extendedprice * l.l_discount, 2) AS amount, cast(l.l_shipdate AS DATE) AS expended_date,
+       p.p_partkey AS candidate_id, p.p_brand AS race_key, l.l_extendedprice AS amount, cast(l.l_shipdate AS DATE) AS expended_date,
        CASE l.l_linenumber % 5 WHEN 0 THEN '6A' WHEN 1 THEN '7A' WHEN 2 THEN '8A' WHEN 3 THEN '9A' ELSE NULL END AS d2_part,
        l.l_returnflag = 'A' AS supporting, l.l_returnflag = 'R' AS opposing, l.l_linestatus = 'F' AND l.l_quantity < 10 AS archived
 FROM {lineitem} l JOIN {part} p ON l.l_partkey = p.p_partkey
