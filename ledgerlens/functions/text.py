@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -95,10 +97,8 @@ def name_matches(c: Column, search: str, min_prefix: int = 1) -> Column:
     if not words:
         return F.lit(False)
     parts = F.split(normalize_name(c), " ")
-    test = F.lit(True)
-    for w in words:
-        test = test & F.exists(parts, lambda p, w=w: p.startswith(w))
-    return test
+    found = [F.exists(parts, (lambda word: lambda p: p.startswith(word))(w)) for w in words]
+    return reduce(lambda a, b: a & b, found)
 
 
 def people(c: Column) -> Column:

@@ -25,7 +25,7 @@ def bridge_ratio(edges: DataFrame, labels: DataFrame) -> DataFrame:
     return out.select("node", F.when(F.col("label").isNotNull() & (F.col("n") > 0), F.round(F.col("x") / F.col("n"), 4)).alias("bridge_ratio"), F.col("n").alias("known_edges"))
 
 
-def shared_pairs(edges: DataFrame, member: str, group: str, amount: str, min_shared: int = 1, min_amount: float = 0.0, top: int | None = None) -> DataFrame:
+def shared_pairs(edges: DataFrame, member: str, group: str, amount: str, min_shared: int = 1, min_amount: float = 0.0, top: int | None = None, digits: int = 2) -> DataFrame:
     """Unordered pairs of members with shared groups: count, and the sum of the smaller amounts.
 
     edges has one row per (member, group). `top` keeps each group's largest members by amount before pairing, which bounds the pairs of a group.
@@ -34,7 +34,7 @@ def shared_pairs(edges: DataFrame, member: str, group: str, amount: str, min_sha
     if top:
         rows = rows.withColumn("__n", F.row_number().over(Window.partitionBy("g").orderBy(F.desc("a"), "m"))).where(F.col("__n") <= top).drop("__n")
     left, right = rows.select("g", F.col("m").alias("m1"), F.col("a").alias("a1")), rows.select("g", F.col("m").alias("m2"), F.col("a").alias("a2"))
-    pairs = left.join(right, "g").where("m1 < m2").groupBy("m1", "m2").agg(F.count("*").alias("shared"), F.round(F.sum(F.least("a1", "a2")), 2).alias("weight"))
+    pairs = left.join(right, "g").where("m1 < m2").groupBy("m1", "m2").agg(F.count("*").alias("shared"), F.round(F.sum(F.least("a1", "a2")), digits).alias("weight"))
     return pairs.where((F.col("shared") >= min_shared) & (F.col("weight") >= min_amount))
 
 
