@@ -1,0 +1,87 @@
+"""Registered queries on the small tables, and the pipeline stage by stage against brute force."""
+
+import os
+import sys
+from collections import Counter
+
+import pytest
+
+duckdb = pytest.importorskip("duckdb")
+sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)))))
+
+SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
+TABLES = ("documents", "embeddings", "pages", "benchmark", "labels", "conversations")
+pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no tables")
+
+
+@pytest.fixture(scope="module")
+def duck():
+    con = duckdb.connect()
+    for t in TABLES:
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
+    return con
+
+
+@pytest.mark.parametrize("name", ["op2_lines", "op5_knn", "op6_mix"])
+def test_oracle(spark, duck, name):
+    from ledgerlens.llm.registry import ORACLES, QUERIES
+
+    got = QUERIES[name](spark, SF)
+    cols = sorted(got.columns)
+    expect = duck.execute(f"SELECT {', '.join(cols)} FROM ({ORACLES[name]})").fetchall()
+    assert Counter(tuple(r) for r in got.select(*cols).collect()) == Counter(expect)
+
+
+def test_every_query_keeps_every_row(spark, duck):
+    from ledgerlens.llm.registry import QUERIES
+
+    count = lambda t: duck.execute(f"SELECT count(*) FROM {t}").fetchone()[0]
+    for name, table in (("op1_html", "pages"), ("op4_language", "documents"), ("op7_simhash", "documents"), ("op8_toxicity", "documents"), ("op9_decontaminate", "documents"), ("op10_shard", "documents")):
+        assert QUERIES[name](spark, SF).count() == count(table), name
+    chats = {r["conv_id"]: r["n_turns"] for r in QUERIES["op3_chat"](spark, SF).collect()}
+    assert sum(chats.values()) == count("conversations") + 2 and chats[-1] == 2
+
+
+def test_pipeline_stages(spark):
+    import corpus_pipeline as p
+
+    from ledgerlens.llm import toxicity
+    from ledgerlens.llm.common import id_crc, load
+    from ledgerlens.llm.mixing import mix
+    from pyspark.sql import functions as F
+    from test_operators import slow_components, slow_contamination, slow_fingerprint
+
+    docs = load(spark, SF, "documents").cache()
+    names = docs.columns
+    rows = lambda df: Counter(tuple(r) for r in df.select(*names).collect())
+    model, lexicon = toxicity.train(docs, load(spark, SF, "labels").where(F.pmod(id_crc("doc_id"), F.lit(5)) != 0))
+    scorer = toxicity.Scorer(model, lexicon)
+    one = p.drop_toxic(spark, docs, SF)
+    assert rows(one) == Counter(tuple(r) for r in docs.collect() if scorer.score(r["text"] or "") < 0.5)
+    two = p.drop_near_copies(spark, docs, SF)
+    all_rows = docs.collect()
+    group = slow_components([r["doc_id"] for r in all_rows], [slow_fingerprint(r["text"]) for r in all_rows])
+    assert rows(two) == Counter(tuple(r) for r, g in zip(all_rows, group) if r["doc_id"] == g)
+    items = [(r["item_id"], r["text"]) for r in load(spark, SF, "benchmark").collect()]
+    three = p.drop_contaminated(spark, docs, SF)
+    few = all_rows[:60]
+    clean = {r["doc_id"] for r in few if slow_contamination(r["text"], items)[1] == 0}
+    assert clean == {r["doc_id"] for r in three.collect()} & {r["doc_id"] for r in few}
+    four = p.mix_sources(spark, docs, SF).collect()
+    taken = {r["doc_id"]: r for r in mix(docs).collect()}
+    copies = Counter(r["doc_id"] for r in four)
+    size = Counter()
+    for r in four:
+        size[r["doc_id"]] += len((r["text"] or "").split())
+        assert r["n_chars"] == len(r["text"])
+    assert all(size[i] == r["taken"] for i, r in taken.items()) and max(copies.values()) <= 2
+    five = p.shard_documents(spark, docs, SF).collect()
+    assert Counter(tuple(r[c] for c in names) for r in five) == rows(docs)
+
+
+def test_pipeline_runs(spark):
+    import corpus_pipeline as p
+
+    got = p.run(spark, SF)
+    assert got.columns[-2:] == ["shard", "slot"] and got.count() > 0
+    assert [n for n, _ in p.STAGES] == ["toxicity", "simhash", "decontamination", "mixing", "sharding"]
