@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import repeat
 
 import ahocorasick
 import numpy as np
@@ -13,8 +14,8 @@ from pyspark.sql import functions as F
 
 from ledgerlens.llm.common import fresh, load, materialize
 
-#: Most benchmark characters in one automaton; a larger benchmark is scanned for in blocks of this size.
-BLOCK_CHARS = 8_000_000
+#: Most benchmark characters in one automaton (about 60 bytes of a worker's memory each); a larger benchmark is scanned for in blocks of this size.
+BLOCK_CHARS = 4_000_000
 #: ASCII bytes that are no letter and no digit become a space; A-Z become a-z; all other bytes stay.
 _TABLE = bytes(
     b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256)
@@ -25,50 +26,57 @@ def words(text: bytes) -> list[bytes]:
     return text.translate(_TABLE).split()
 
 
+def _letter(k: int) -> str:
+    """k-th code point above 0 that is no surrogate; 0 stands for words of no item."""
+    return chr(k if k < 0xD800 else k + 0x800)
+
+
 class Windows:
-    """The automaton of all windows of the items; words are framed by spaces, so matches are whole words."""
+    """The automaton of all windows of the items. Each item word is one letter, so a text is scanned word by word and offsets are word numbers."""
 
     def __init__(self, items: list[tuple[str | None, bytes]], width: int):
-        found: dict[str, tuple[int, set]] = {}
+        self.letters: dict[bytes, str] = {}
+        self.width = width
+        #: A word of every window, its longest: only words near one of them can be part of a window and are run through the automaton.
+        self.anchors: set[bytes] = set()
+        found: dict[str, set] = {}
         for name, text in items:
             parts = words(text)
-            for i in range(max(1, len(parts) - width + 1) if parts else 0):
-                window = parts[i : i + width]
-                key = (b" " + b" ".join(window) + b" ").decode("latin-1")
-                found.setdefault(key, (len(window), set()))[1].add(name)
+            own = "".join([self.letters.setdefault(w, _letter(len(self.letters) + 1)) for w in parts])
+            for i in range(max(1, len(own) - width + 1) if own else 0):
+                found.setdefault(own[i : i + width], set()).add(name)
+                if self.anchors.isdisjoint(window := parts[i : i + width]):
+                    self.anchors.add(max(window, key=len))
         self.automaton = ahocorasick.Automaton()
-        for key, (n, names) in found.items():
-            self.automaton.add_word(key, (n, tuple(x for x in names if x is not None)))
+        for key, names in found.items():
+            self.automaton.add_word(key, (len(key), tuple(x for x in names if x is not None)))
         if found:
             self.automaton.make_automaton()
-        self.empty = not found
 
     def scan(self, text: bytes) -> tuple[int, list[tuple[int, int]], set[str]]:
         """Number of words, hit word spans [start, end), item names."""
         parts = words(text)
-        if self.empty or not parts:
-            return len(parts), [], set()
-        framed = b" " + b" ".join(parts) + b" "
-        hits = list(self.automaton.iter(framed.decode("latin-1")))
-        if not hits:
-            return len(parts), [], set()
-        gaps = np.flatnonzero(np.frombuffer(framed, np.uint8) == 32)
-        ends = np.searchsorted(gaps, [at for at, _ in hits])
-        spans: list[tuple[int, int]] = []
+        anchors, reach = self.anchors, self.width
+        at = [i for i, w in enumerate(parts) if w in anchors]
+        merged: list[tuple[int, int]] = []
         names: set[str] = set()
         seen: set[int] = set()
-        for end, (_, (n, own)) in zip(ends.tolist(), hits):
-            spans.append((end - n, end))
-            if id(own) not in seen:
-                seen.add(id(own))
-                names.update(own)
-        spans.sort()
-        merged = [spans[0]]
-        for a, b in spans[1:]:
-            if a <= merged[-1][1]:
-                merged[-1] = (merged[-1][0], max(b, merged[-1][1]))
-            else:
+        k = 0
+        while k < len(at):
+            # A stretch of words around anchors that are near each other: every window in the text lies inside one.
+            start, k = max(0, at[k] - reach + 1), k + 1
+            while k < len(at) and at[k] - at[k - 1] < 2 * reach - 1:
+                k += 1
+            stretch = parts[start : at[k - 1] + reach]
+            # Ends come in order; a longer window may reach back over spans found before.
+            for last, (n, own) in self.automaton.iter("".join(map(self.letters.get, stretch, repeat("\0")))):
+                a, b = start + last + 1 - n, start + last + 1
+                while merged and merged[-1][1] >= a:
+                    a = min(a, merged.pop()[0])
                 merged.append((a, b))
+                if id(own) not in seen:
+                    seen.add(id(own))
+                    names.update(own)
         return len(parts), merged, names
 
 
