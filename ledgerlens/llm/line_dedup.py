@@ -46,6 +46,7 @@ def dedup_lines(df: DataFrame, text: str = "text", site: str = "source", min_sit
     lines = materialize(split.where("line <> ''").select("t1", "t2", "site", "pos", l1.alias("l1"), l2.alias("l2")), "lines")
     bad = materialize(boilerplate(lines, min_sites), "boilerplate")
     hits = lines.join(bad, ["l1", "l2"]).select("t1", "t2", "pos").distinct().groupBy("t1", "t2").agg(F.collect_list("pos").alias("__bad"))
+    hits = materialize(hits, "hits")  # so that the join below has no aggregate beside it and a hot text can be split
     marked = df.withColumn("__t1", t1).withColumn("__t2", t2)
     marked = marked.join(hits, (F.col("__t1") == F.col("t1")) & (F.col("__t2") == F.col("t2")), "left")
     parts = F.split(F.col(text), "\n")
