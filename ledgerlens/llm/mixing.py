@@ -53,13 +53,8 @@ def mix(df: DataFrame, source: str = "source", text: str = "text", ids: tuple[st
     key = F.md5(F.concat_ws(":", F.lit(seed), *[F.coalesce(F.col(i).cast("string"), F.lit("null")) for i in ids]))
     keyed = df.select(*names, n_words(F.col(text)).alias("size"), key.alias("__key"))
     narrow = keyed.select(F.col(source).alias("__source"), "size", "__key")
-    digits = 4
-    sums = materialize(
-        narrow.groupBy("__source", F.substring("__key", 1, digits).alias("__range")).agg(F.sum("size").alias("__size"), F.count("*").alias("__n")), "mix"
-    )
-    total = sums.agg(F.sum("__n")).first()[0] or 0
-    digits = min(digits, max(2, math.ceil(math.log(max(1, total / ROWS), 16))))
-    ranges = sums.groupBy("__source", F.substring("__range", 1, digits).alias("__range")).agg(F.sum("__size").alias("__size"))
+    digits = max(2, math.ceil(math.log(max(1, df.count() / ROWS), 16)))
+    ranges = materialize(narrow.groupBy("__source", F.substring("__key", 1, digits).alias("__range")).agg(F.sum("size").alias("__size")), "mix")
     goals = targets(ranges.groupBy(F.col("__source").alias("source")).agg(F.sum("__size").alias("source_size")), weights, share, cap)
     before = Window.partitionBy("__source").orderBy("__range").rowsBetween(Window.unboundedPreceding, 0)
     offsets = (
