@@ -36,11 +36,12 @@ _NAMED = re.compile(
     r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|adbox|adslot|sponsor\w*|promo\w*|promoted|banner\w*|cookies?|consent|gdpr|notices?|alert|popup|modal|overlay|newsletter|subscri\w*|signup|login|"
     r"nav\w*|menus?|breadcrumbs?|pagination|pager|sidebars?|side|aside|widgets?|footers?|foot|masthead|topbar|toolbar|header|site-?header|page-?header|"
     r"comments?|commentlist|replies|reply|responses?|disqus|discussion|respond|related|recommend\w*|recirc|more-?stories|trending|popular|share|sharing|social|follow|tags?|tagcloud|"
-    r"search\w*|skip|copyright|legal|disclaimer|hidden|screen-?reader\w*|navigation|contentinfo|complementary|form)(?:$|[\s_-])",
+    r"search\w*|skip|copyright|legal|disclaimer|hidden|screen-?reader\w*|navigation|contentinfo|complementary|form|\w*(?:menu|navbar|sidebar|cookie|banner|comments?|advert|newsletter)\w*)(?:$|[\s_-])",
     re.I,
 )
 #: Class names that hold one of the words above but say something else.
 _NOT_NAMED = re.compile(r"\b(?:has|with|no|without)-[\w-]+|\b(?:entry|post|article|content|story|section)[-_]header\b|\b(?:long|short)-?form\b", re.I)
+_CAMEL = re.compile(r"([a-z])([A-Z])")
 _ATTR = re.compile(r"\b(class|id|role|hidden|aria-hidden|style|itemprop)\b(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.I)
 _MAIN = re.compile(r"\b(?:class|id|role|itemprop)\s*=\s*[\"']?[^\"'>]*\b(?:main|article-?body|articleBody|entry-?content|post-?content|post-?body)\b", re.I)
 _SPACE = re.compile(r"\s+")
@@ -53,7 +54,7 @@ def _named_other(attrs: str) -> bool:
             return True
         if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
             return True
-        if name in ("class", "id", "role", "itemprop") and _NAMED.search(_NOT_NAMED.sub("", value)):
+        if name in ("class", "id", "role", "itemprop") and _NAMED.search(_NOT_NAMED.sub("", _CAMEL.sub(r"\1-\2", value))):
             return True
     return False
 
