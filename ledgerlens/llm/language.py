@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from ledgerlens.llm.common import N_GRAMS, classes, fresh, id_crc, load, materialize, text_chunks, trigrams
 
 #: Most languages of a model (1 MB each on driver and executors).
-MAX_LANGUAGES = 200
+MAX_LANGUAGES = 64
 UND = "und"
 
 
