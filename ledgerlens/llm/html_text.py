@@ -20,10 +20,10 @@ from pyspark.sql import functions as F
 
 from ledgerlens.llm.common import fresh, load
 
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|</?([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|[^<]+|<",
-    re.S,
-)
+_PARTS = r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|</?([a-zA-Z][^\s/><]*+)(%s)>|[^<]+|<"
+_TOKEN = re.compile(_PARTS % r"(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+", re.S)
+#: Used from a tag on that never ends: tags without quoted signs, so that no later tag is searched to the end of the page again.
+_BROKEN = re.compile(_PARTS % r"[^<>]*+", re.S)
 _RAW = {"script", "style", "noscript", "template", "textarea", "title", "iframe", "noembed", "noframes", "xmp"}
 _RAW_END = {n: re.compile(rf"</{n}(?=[\s/>])[^>]*>", re.I) for n in _RAW}
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
@@ -33,7 +33,7 @@ _INLINE = {"a", "abbr", "b", "bdi", "bdo", "big", "cite", "code", "data", "del",
 _BLOCK_ONLY = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "dt", "dd", "td", "th", "tr", "option"}
 #: Parts of class names, ids and roles that announce other matter.
 _NAMED = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|adbox|adslot|sponsor\w*|promo\w*|promoted|banner\w*|cookies?|consent|gdpr|notices?|alert|popup|modal|overlay|newsletter|subscri\w*|signup|login|"
+    r"(?:^|[\s_-])(?:ads?|adsby\w*|advert\w*|adsense|adbox|adslot|sponsor\w*|promo\w*|promoted|banner\w*|cookies?|consent|gdpr|notices?|alert|popup|modal|overlay|newsletter|subscri\w*|signup|login|"
     r"nav\w*|menus?|breadcrumbs?|pagination|pager|sidebars?|side|aside|widgets?|footers?|foot|masthead|topbar|toolbar|header|site-?header|page-?header|"
     r"comments?|commentlist|replies|reply|responses?|disqus|discussion|respond|related|recommend\w*|recirc|more-?stories|trending|popular|share|sharing|social|follow|tags?|tagcloud|"
     r"search\w*|skip|copyright|legal|disclaimer|hidden|screen-?reader\w*|navigation|contentinfo|complementary|form|\w*(?:menu|navbar|sidebar|cookie|banner|comments?|advert|newsletter)\w*)(?:$|[\s_-])",
@@ -67,11 +67,24 @@ def tokens(page: str) -> list[tuple[str, str, bool]]:
     """
     out: list[tuple[str, str, bool]] = []
     stack: list[tuple[str, bool, bool]] = []  # name, other matter, link
-    other = links = main = 0
-    at = 0
+    opened: Counter[str] = Counter()
+    other = links = main = at = 0
+
+    def close(depth: int) -> None:
+        nonlocal other, links, main
+        for x in stack[depth:]:
+            opened[x[0]] -= 1
+            other -= x[1]
+            links -= x[2]
+            main -= x[0] in ("article", "main")
+        del stack[depth:]
+
     match = _TOKEN.match
     while at < len(page):
         m = match(page, at)
+        if m[0] == "<" and (page[at + 1 : at + 2].isalpha() or page[at + 1 : at + 2] == "/"):
+            match = _BROKEN.match
+            m = match(page, at)
         at = m.end()
         name = m[1]
         if name is None:
@@ -84,13 +97,9 @@ def tokens(page: str) -> list[tuple[str, str, bool]]:
         name, closing = name.lower(), m[0][1] == "/"
         block = name not in _INLINE and name != "br"
         if closing:
-            depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name), -1)
+            depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name), -1) if opened[name] else -1
             if depth >= 0 and not (name in _INLINE and any(x[0] not in _INLINE for x in stack[depth + 1 :])):
-                for x in stack[depth:]:
-                    other -= x[1]
-                    links -= x[2]
-                    main -= x[0] in ("article", "main")
-                del stack[depth:]
+                close(depth)
             out.append(("/article" if name in ("article", "main") and not other else "skip" if other else "tag", " " if name == "br" else "", block))
             continue
         if name in _RAW:
@@ -105,11 +114,7 @@ def tokens(page: str) -> list[tuple[str, str, bool]]:
             kinds = {"p"} if name not in ("li", "td", "th", "tr", "dt", "dd", "option") else {"p", name} | ({"td", "th"} if name in ("td", "th", "tr") else {"dt", "dd"} if name in ("dt", "dd") else set())
             for i in range(len(stack) - 1, -1, -1):
                 if stack[i][0] in kinds:
-                    for x in stack[i:]:
-                        other -= x[1]
-                        links -= x[2]
-                        main -= x[0] in ("article", "main")
-                    del stack[i:]
+                    close(i)
                     break
                 if stack[i][0] not in _INLINE:
                     break
@@ -119,6 +124,7 @@ def tokens(page: str) -> list[tuple[str, str, bool]]:
         out.append(("article" if is_main else "skip" if other or is_other else "tag", "", block))
         if not attrs.endswith("/") or name not in ("svg", "object", "path"):
             stack.append((name, is_other, name == "a"))
+            opened[name] += 1
             other += is_other
             links += name == "a"
             main += name in ("article", "main")
