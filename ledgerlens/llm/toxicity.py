@@ -42,6 +42,7 @@ _LEAD, _TRAIL = set("$@!|+#(€£0123456789"), set("$@|+€£0123456789")
 _TRIPLE = re.compile(r"(.)\1\1")
 _DOUBLE = re.compile(r"(.)\1")
 _RUN = re.compile(r"(.)\1+")
+_PARTS = re.compile(r"[^\w@$!|+]+|_+")
 #: Three or more single characters parted by blanks.
 _SPACED = re.compile(r"(?<![^\W_])(?:[^\W_]|[@$!|+€£¥])(?:[ \t]{1,3}(?:[^\W_]|[@$!|+€£¥])){2,}(?![^\W_])")
 
@@ -132,18 +133,30 @@ class Restorer:
                 more += decode(bare, self.model)
             if len(bare) + 1 == len(low) and (low[0] in _LEAD or low[-1] in _TRAIL):
                 more += decode(low, self.model)
+        elif len(low) > 64:
+            # No word: its parts are looked at one by one, and single signs in a row as one word; unbroken runs of over 64 signs are codes.
+            run = ""
+            for part in [*_PARTS.split(bare), "  "]:
+                if len(part) == 1:
+                    run += part
+                    continue
+                for at in range(0, len(run) if len(run) > 2 else 0, 24):
+                    more += [run[at : at + 40], *decode(run[at : at + 40], self.model)]
+                run = ""
+                if 2 < len(part) <= 64:
+                    more += self.token(part)
         elif bare and _MIXED.search(bare):
             at = low.index(bare)
             if at == 1 and low[0] in _LEAD:
                 bare = low[0] + bare
             if at + len(bare) == len(low) - 1 and low[-1] in _TRAIL:
                 bare += low[-1]
-            for part in [bare] if len(bare) <= 24 else [x for x in re.split(r"[^\w@$!|+]+", bare) if len(x) > 2]:
+            for part in [bare] if len(bare) <= 24 else [x for x in _PARTS.split(bare) if len(x) > 2] + ["".join(x for x in _PARTS.split(bare) if len(x) == 1)]:
                 for at in range(0, len(part), 20):
                     piece = part[at : at + 24]
                     digits = sum(map(str.isdigit, piece))
                     # Long tokens of mostly digits are numbers, addresses or hashes.
-                    if _MIXED.search(piece) and (digits < 0.4 * len(piece) or len(piece) <= 10):
+                    if (_MIXED.search(piece) or piece.isalpha()) and (digits < 0.4 * len(piece) or len(piece) <= 10):
                         more += decode(piece, self.model)
         return tuple(dict.fromkeys([*own, *more]))
 
