@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from ledgerlens.llm.chat import op3_chat
-from ledgerlens.llm.decontamination import op9_decontaminate
+from ledgerlens.llm.decontamination import OP9_SQL, op9_decontaminate
 from ledgerlens.llm.html_text import op1_html
 from ledgerlens.llm.knn import OP5_SQL, op5_knn
 from ledgerlens.llm.language import op4_language
@@ -25,4 +25,4 @@ QUERIES = {
     "op9_decontaminate": op9_decontaminate,
     "op10_shard": op10_shard,
 }
-ORACLES = {"op2_lines": OP2_SQL, "op5_knn": OP5_SQL, "op6_mix": OP6_SQL}
+ORACLES = {"op2_lines": OP2_SQL, "op5_knn": OP5_SQL, "op6_mix": OP6_SQL, "op9_decontaminate": OP9_SQL}

@@ -22,7 +22,7 @@ def duck():
     return con
 
 
-@pytest.mark.parametrize("name", ["op2_lines", "op5_knn", "op6_mix"])
+@pytest.mark.parametrize("name", ["op2_lines", "op5_knn", "op6_mix", "op9_decontaminate"])
 def test_oracle(spark, duck, name):
     from ledgerlens.llm.registry import ORACLES, QUERIES
 
