@@ -33,9 +33,9 @@ def _(t):
     return graph.degree_centrality(network(t))
 
 
-@query("bridge_ratio", f"WITH {NET}, {BOTH}, l AS (SELECT DISTINCT 'donor:' || donor_key AS node, region AS label FROM receipts WHERE {GOOD} AND donor_id % 5 <> 0 UNION ALL SELECT 'committee:' || s_suppkey, r_name FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey), x AS (SELECT b.node, l.label, k.label AS other FROM b LEFT JOIN l ON b.node = l.node LEFT JOIN l k ON b.other = k.node) SELECT node, CASE WHEN label IS NOT NULL AND count(*) FILTER (WHERE label IS NOT NULL AND other IS NOT NULL) > 0 THEN round(count(*) FILTER (WHERE label <> other) / count(*) FILTER (WHERE label IS NOT NULL AND other IS NOT NULL), 4) END AS bridge_ratio, count(*) FILTER (WHERE label IS NOT NULL AND other IS NOT NULL) AS known_edges FROM x GROUP BY node, label")
+@query("bridge_ratio", f"WITH {NET}, {BOTH}, l AS (SELECT DISTINCT 'donor:' || donor_key AS node, region AS label FROM receipts WHERE {GOOD} AND occupation <> 'MACHINERY' UNION ALL SELECT 'committee:' || s_suppkey, r_name FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey), x AS (SELECT b.node, l.label, k.label AS other FROM b LEFT JOIN l ON b.node = l.node LEFT JOIN l k ON b.other = k.node) SELECT node, CASE WHEN label IS NOT NULL AND count(*) FILTER (WHERE label IS NOT NULL AND other IS NOT NULL) > 0 THEN round(count(*) FILTER (WHERE label <> other) / count(*) FILTER (WHERE label IS NOT NULL AND other IS NOT NULL), 4) END AS bridge_ratio, count(*) FILTER (WHERE label IS NOT NULL AND other IS NOT NULL) AS known_edges FROM x GROUP BY node, label")
 def _(t):
-    donors = good(t).where("donor_id % 5 <> 0").select(F.concat(F.lit("donor:"), "donor_key").alias("node"), F.col("region").alias("label")).distinct()
+    donors = good(t).where("occupation <> 'MACHINERY'").select(F.concat(F.lit("donor:"), "donor_key").alias("node"), F.col("region").alias("label")).distinct()
     committees = t.supplier.join(t.nation, F.col("s_nationkey") == F.col("n_nationkey")).join(t.region, F.col("n_regionkey") == F.col("r_regionkey"))
     labels = donors.unionByName(committees.select(F.concat(F.lit("committee:"), F.col("s_suppkey").cast("string")).alias("node"), F.col("r_name").alias("label")))
     return graph.bridge_ratio(network(t), labels)
@@ -65,9 +65,9 @@ def _(t):
     return graph.hops(rows, start, 3)
 
 
-@query("components", "WITH RECURSIVE q AS (SELECT DISTINCT c_custkey * 2 AS a, c_nationkey * 2 + 1 AS b FROM customer WHERE c_custkey % 2 = 0), b AS (SELECT a AS node, b AS other FROM q UNION SELECT b, a FROM q), h(node, root) AS (SELECT node, node FROM b UNION SELECT b.other, h.root FROM h JOIN b ON h.node = b.node WHERE h.root < b.other) SELECT node, min(root) AS component FROM h GROUP BY 1")
+@query("components", "WITH RECURSIVE q AS (SELECT DISTINCT c_custkey * 2 AS a, c_nationkey * 2 + 1 AS b FROM customer), b AS (SELECT a AS node, b AS other FROM q UNION SELECT b, a FROM q), h(node, root) AS (SELECT node, node FROM b UNION SELECT b.other, h.root FROM h JOIN b ON h.node = b.node WHERE h.root < b.other) SELECT node, min(root) AS component FROM h GROUP BY 1")
 def _(t):
-    rows = t.customer.where("c_custkey % 2 = 0").select((F.col("c_custkey") * 2).alias("src"), (F.col("c_nationkey").cast("long") * 2 + 1).alias("dst"))
+    rows = t.customer.select((F.col("c_custkey") * 2).alias("src"), (F.col("c_nationkey").cast("long") * 2 + 1).alias("dst"))
     return graph.components(rows)
 
 

@@ -157,15 +157,15 @@ def _(t):
     return entities.donor_rows(t.receipts.where(entity_receipts()), F.col("occupation") == "MACHINERY")
 
 
-@query("entity_shared_donors", f"WITH g AS (SELECT donor_key, committee_id, round(sum(amount), 2) AS total_amount FROM receipts WHERE {ENT} AND committee_id < 40 GROUP BY ALL) SELECT donor_key, count(*) AS groups, round(sum(total_amount), 2) AS total_amount FROM g GROUP BY 1 HAVING count(*) >= 2")
+@query("entity_shared_donors", f"WITH g AS (SELECT donor_key, committee_id, round(sum(amount), 2) AS total_amount FROM receipts WHERE {ENT} GROUP BY ALL) SELECT donor_key, count(*) AS groups, round(sum(total_amount), 2) AS total_amount FROM g GROUP BY 1 HAVING count(*) >= 2")
 def _(t):
-    return entities.multi_group_donors(t.receipts.where(entity_receipts() & (F.col("committee_id") < 40)))
+    return entities.multi_group_donors(t.receipts.where(entity_receipts()))
 
 
-@query("entity_relationships", f"WITH pool AS (SELECT donor_key FROM (SELECT donor_key, round(sum(amount), 2) AS s FROM receipts WHERE {ENT} AND committee_id < 5 GROUP BY 1 ORDER BY s DESC, donor_key LIMIT 2000)) SELECT committee_id, count(DISTINCT donor_key) AS shared_donors, round(sum(amount), 2) AS amount FROM receipts WHERE {ENT} AND committee_id >= 5 AND donor_key IN (SELECT donor_key FROM pool) GROUP BY 1 HAVING count(DISTINCT donor_key) >= 2")
+@query("entity_relationships", f"WITH pool AS (SELECT donor_key FROM (SELECT donor_key, round(sum(amount), 2) AS s FROM receipts WHERE {ENT} AND committee_id IN (1, 2, 3) GROUP BY 1 ORDER BY s DESC, donor_key LIMIT 2000)) SELECT committee_id, count(DISTINCT donor_key) AS shared_donors, round(sum(amount), 2) AS amount FROM receipts WHERE {ENT} AND committee_id NOT IN (1, 2, 3) AND donor_key IN (SELECT donor_key FROM pool) GROUP BY 1 HAVING count(DISTINCT donor_key) >= 2")
 def _(t):
     rows = t.receipts.where(entity_receipts())
-    return entities.relationships(rows, F.col("committee_id") < 5)
+    return entities.relationships(rows, F.col("committee_id").isin(1, 2, 3))
 
 
 @query("donor_overlap_compare", f"WITH a AS (SELECT donor_key, round(sum(amount), 2) AS x FROM receipts WHERE {GOOD} AND committee_id = 1 GROUP BY 1), b AS (SELECT donor_key, round(sum(amount), 2) AS y FROM receipts WHERE {GOOD} AND committee_id = 2 GROUP BY 1) SELECT donor_key, x AS left_amount, y AS right_amount, least(x, y) AS shared FROM a JOIN b USING (donor_key)")

@@ -126,9 +126,9 @@ def _(t):
     return rows.select("candidate_id", "committee_id", F.round(F.col("funds") + F.coalesce("s", F.lit(0.0)), 2).alias("money"))
 
 
-@query("race_state_hhi", f"WITH s AS (SELECT race_key, state, sum(r.amount) AS s FROM receipts r JOIN links l ON r.committee_id = l.committee_id JOIN candidates c ON l.candidate_id = c.candidate_id WHERE r.amount > 0 AND NOT coalesce(r.archived, FALSE) AND r.d2_part LIKE '1%' AND l.candidate_id < 60 GROUP BY ALL), h AS (SELECT race_key, s / sum(s) OVER (PARTITION BY race_key) AS share FROM s WHERE s > 0) SELECT race_key, round(sum(share * share) * 10000, 2) AS hhi, count(*) AS parts, round(max(share), 4) AS top_share FROM h GROUP BY 1")
+@query("race_state_hhi", f"WITH s AS (SELECT race_key, state, sum(r.amount) AS s FROM receipts r JOIN links l ON r.committee_id = l.committee_id JOIN candidates c ON l.candidate_id = c.candidate_id WHERE r.amount > 0 AND NOT coalesce(r.archived, FALSE) AND r.d2_part LIKE '1%' GROUP BY ALL), h AS (SELECT race_key, s / sum(s) OVER (PARTITION BY race_key) AS share FROM s WHERE s > 0) SELECT race_key, round(sum(share * share) * 10000, 2) AS hhi, count(*) AS parts, round(max(share), 4) AS top_share FROM h GROUP BY 1")
 def _(t):
-    rows = t.receipts.where(entity_receipts()).join(t.links.where("candidate_id < 60"), "committee_id").join(t.candidates, "candidate_id")
+    rows = t.receipts.where(entity_receipts()).join(t.links, "committee_id").join(t.candidates, "candidate_id")
     return concentration.hhi_over(rows, "race_key", "state", "amount")
 
 
