@@ -18,7 +18,18 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write df there as Parquet and read it back."""
+    """Write df there as Parquet and read it back. Results read these tables lazily: empty the folder after the job."""
     path = f"{shared_dir(df.sparkSession)}/ledgerlens/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._ledgerlens_path = path
+    return out
+
+
+def discard(df: DataFrame | None) -> None:
+    """Delete what materialize() wrote for df, once nothing reads it any more."""
+    path = getattr(df, "_ledgerlens_path", None)
+    if path:
+        spark = df.sparkSession
+        target = spark._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
