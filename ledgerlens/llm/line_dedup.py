@@ -40,15 +40,14 @@ def dedup_lines(df: DataFrame, text: str = "text", site: str = "source", min_sit
     df = fresh(df, "n_lines", "n_removed")
     names = df.columns
     where = F.coalesce(F.concat(F.lit("s"), F.col(site).cast("string")), F.lit("n"))
-    t1, t2 = _hashes(text)
-    split = df.where(F.col(text).isNotNull()).select(t1.alias("t1"), t2.alias("t2"), where.alias("site"), F.posexplode(F.split(F.col(text), "\n")).alias("pos", "line"))
+    h1, h2 = _hashes(text)
+    split = df.where(F.col(text).isNotNull()).select(h1.alias("__t1"), h2.alias("__t2"), where.alias("site"), F.posexplode(F.split(F.col(text), "\n")).alias("pos", "line"))
     l1, l2 = _hashes("line")
-    lines = materialize(split.where("line <> ''").select("t1", "t2", "site", "pos", l1.alias("l1"), l2.alias("l2")), "lines")
+    lines = materialize(split.where("line <> ''").select("__t1", "__t2", "site", "pos", l1.alias("l1"), l2.alias("l2")), "lines")
     bad = materialize(boilerplate(lines, min_sites), "boilerplate")
-    hits = lines.join(bad, ["l1", "l2"]).select("t1", "t2", "pos").distinct().groupBy("t1", "t2").agg(F.collect_list("pos").alias("__bad"))
+    hits = lines.join(bad, ["l1", "l2"]).select("__t1", "__t2", "pos").distinct().groupBy("__t1", "__t2").agg(F.collect_list("pos").alias("__bad"))
     hits = materialize(hits, "hits")  # so that the join below has no aggregate beside it and a hot text can be split
-    marked = df.withColumn("__t1", t1).withColumn("__t2", t2)
-    marked = marked.join(hits, (F.col("__t1") == F.col("t1")) & (F.col("__t2") == F.col("t2")), "left")
+    marked = df.withColumn("__t1", h1).withColumn("__t2", h2).join(hits, ["__t1", "__t2"], "left")
     parts = F.split(F.col(text), "\n")
     kept = F.array_join(F.filter(parts, lambda x, i: ~F.array_contains("__bad", i)), "\n")
     return marked.select(

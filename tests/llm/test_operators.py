@@ -82,6 +82,7 @@ def test_lines_against_brute_force(spark):
 
 def test_lines_clash_and_empty(spark):
     df = docs(spark, EDGE).withColumnRenamed("lang", "n_lines")
+    df = df.withColumn("t1", common.F.lit(1)).withColumn("site", common.F.lit(1)).withColumn("pos", common.F.lit(1))
     assert line_dedup.dedup_lines(df).count() == len(EDGE)
     assert line_dedup.dedup_lines(docs(spark, [])).count() == 0
 
