@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerlens.functions.text import clean, set_similarity, trigrams
+from ledgerlens.functions.text import clean, trigrams
 
 
 def overlap_join(left: DataFrame, right: DataFrame, threshold: float, left_id: str = "left_id", right_id: str = "right_id", tokens: str = "tokens") -> DataFrame:
@@ -32,15 +32,19 @@ def overlap_join(left: DataFrame, right: DataFrame, threshold: float, left_id: s
 
 
 def trigram_pairs(df: DataFrame, ids: str, text: str, threshold: float, block: list[str] | None = None) -> DataFrame:
-    """Unordered pairs of rows with trigram similarity at or above the threshold, within equal blocks if given."""
-    rows = df.select(F.col(ids).alias("id"), trigrams(F.col(text)).alias("tokens"), *(block or []))
+    """Unordered pairs of rows with trigram similarity at or above the threshold, within equal blocks if given.
+
+    The block becomes part of each trigram, so that the exact prefix filter also spares the pairs of a crowded block. Null blocks match nothing.
+    """
+    grams = trigrams(F.col(text))
+    rows = df
     if block:
-        a, b = rows.alias("a"), rows.alias("b")
-        on = (F.col("a.id") < F.col("b.id"))
+        key = F.concat_ws("\x1f", *[F.col(c).cast("string") for c in block])
         for c in block:
-            on = on & (F.col(f"a.{c}") == F.col(f"b.{c}"))
-        found = a.join(b, on).select(F.col("a.id").alias("left_id"), F.col("b.id").alias("right_id"), set_similarity(F.col("a.tokens"), F.col("b.tokens")).alias("score"))
-        return found.where(F.col("score") >= threshold).withColumn("score", F.round("score", 4))
+            rows = rows.where(F.col(c).isNotNull())
+        rows = rows.withColumn("__block", key)
+        grams = F.transform(grams, lambda g: F.concat_ws("\x1f", F.col("__block"), g))
+    rows = rows.select(F.col(ids).alias("id"), grams.alias("tokens"))
     left, right = rows.withColumnRenamed("id", "left_id"), rows.withColumnRenamed("id", "right_id")
     return overlap_join(left, right, threshold).where("left_id < right_id").select("left_id", "right_id", "score")
 
