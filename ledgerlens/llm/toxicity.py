@@ -348,9 +348,16 @@ def learn_lexicon(texts: list[str], labels: list[int], restorer: Restorer, least
     for f in good:
         if "-" not in f and wrong[f] == 0 and (len(holders[f]) >= 4 * need or any(w + "2" in chosen for w in stems(f))):
             weights.setdefault(f, min(0.995, rate[f]))
+    unsure = []
     for f in chosen:
         if f.endswith("-2") and rate.get(f[:-1], 0.0) >= 0.5:
             weights.setdefault(f[:-1], 0.25 if rate[f[:-1]] < precision else min(0.995, rate[f[:-1]]))
+        if f.endswith("-2") and rate.get(f[:-1], 0.0) < precision:
+            unsure.append(f[:-2])
+    # A word whose stem also occurs in clean texts is no proof by itself, however it fell in the sample.
+    for f in weights:
+        if "-" not in f and f.startswith(tuple(unsure)):
+            weights[f] = min(weights[f], 0.4)
     return Lexicon(weights, base)
 
 
