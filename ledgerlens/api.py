@@ -150,7 +150,7 @@ class Api:
     def segments(self, k: int = 4, home: str = "NATION_1") -> DataFrame:
         return kernels.segments(kernels.donor_features(self.receipts(), home), k)
 
-    def follow_the_money(self, donor_key: str, max_hops: int = 3) -> DataFrame:
+    def trace_money(self, donor_key: str, max_hops: int = 3) -> DataFrame:
         """Nodes within 1 to 8 hops of a donor."""
         rows = self.edges().select(F.concat(F.lit("donor:"), "donor_key").alias("src"), F.concat(F.lit("committee:"), F.col("committee_id").cast("string")).alias("dst"), F.col("total_amount").alias("weight"))
         start = self.t.region.limit(1).select(F.lit(f"donor:{donor_key}").alias("node"))
@@ -197,7 +197,7 @@ ROUTES = {
     "/analytics/state-races/": "races", "/analytics/state-races/<key>": "race", "/analytics/risk": "risk", "/analytics/relationships": "relationships", "/analytics/geo-drilldown": "geo_drilldown",
     "/candidates/": "candidates", "/candidates/<id>": "candidate", "/candidates/<id>/outside-spending": "outside_spending", "/candidate-finance/itemized": "candidate_itemized",
     "/committees/<id>/donors": "committee_donors", "/committees/<id>/payees": "committee_payees", "/committees/<id>/filings": "committee_filings",
-    "/viz-lab/cumulative-inflow": "race_inflow", "/viz-lab/payee-dominance": "race_payees", "/federal/follow-the-money": "follow_the_money", "/federal/donor-intelligence": "segments",
+    "/viz-lab/cumulative-inflow": "race_inflow", "/viz-lab/payee-dominance": "race_payees", "/federal/trace-money": "trace_money", "/federal/donor-intelligence": "segments",
     "/search": "search", "/live-feed": "live_feed", "/compare": "compare", "/vendors": "vendors", "/vendors/network": "vendor_network", "/data-status": "freshness",
 }
 

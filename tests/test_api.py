@@ -15,7 +15,7 @@ NEEDS = {
     "committee": {"committee_id": 1}, "committee_donors": {"committee_id": 1}, "committee_payees": {"committee_id": 1}, "committee_filings": {"committee_id": 1}, "filing": {"filing_id": 1},
     "donor": {"donor_key": "customer#000000007|machinery|nation_1"}, "candidate": {"candidate_id": 1}, "candidate_itemized": {"committee_id": 1}, "outside_spending": {}, "race": {"race_key": "Brand#1"},
     "relationships": {"committee_ids": [1]}, "geo_drilldown": {"state": "NATION_3"}, "focus": {"committee_id": 1}, "suggest": {"text": "supp"}, "search": {"text": "gear"},
-    "compare": {"left": 1, "right": 2}, "follow_the_money": {"donor_key": "x"}, "freshness": {"today": date(2001, 12, 31)},
+    "compare": {"left": 1, "right": 2}, "trace_money": {"donor_key": "x"}, "freshness": {"today": date(2001, 12, 31)},
 }
 
 
