@@ -40,21 +40,56 @@ _NAMED = re.compile(
     re.I,
 )
 #: Class names that hold one of the words above but say something else.
-_NOT_NAMED = re.compile(r"\b(?:has|with|no|without)-[\w-]+|\b(?:entry|post|article|content|story|section)[-_]header\b|\b(?:long|short)-?form\b", re.I)
+_NOT_NAMED = re.compile(r"\b(?:has|with|no|without)-[\w-]+|\bside-by-side\b|(?<!\S)(?:tag|category)-(?!(?:cloud|lists?|links?)\b)\S+|\b(?:entry|post|article|content|story|section)[-_]header\b|\b(?:long|short)-?form\b", re.I)
+#: Whole names of the body of an article or post: what else such an element is called says nothing.
+_BODY = re.compile(r"(?<!\S)(?:main-?content|article-?body|entry-?content|post-?content|post-?body|h-?entry|post-\d+|type-(?:post|page))(?!\S)", re.I)
+#: Ids of other matter inside an article or on a section. Such ids are often made from the text of a heading, so only names that no heading gives.
+_OWN_ID = re.compile(
+    r"(?:comments?|commentlist|comments?[_-](?:area|box|container|form|list|section|thread|wrapper)|post[_-]comments|disqus(?:[_-]thread)?|respond|"
+    r"(?:related|popular|trending|recommended|more)[_-]?(?:articles?|links?|news|posts?|reads?|stories|videos?)|recirc|(?:\w+[_-])?(?:share|sharing)(?:[_-]?(?:bar|buttons?|icons?|links?|tools?))?|"
+    r"social[_-](?:bar|buttons?|icons?|links?|share)|ads?|ad[_-]?(?:bottom|box|container|inline|middle|slot|top|unit|wrapper|\d)[\w-]*|adsense[\w-]*|advert[\w-]*|(?:\w+[_-])?(?:banner|navbar|sidebar)s?|"
+    r"(?:article|main|page|post|site|top)[_-](?:footer|header|menu|nav|navigation)|nav|menu|breadcrumbs?|pagination|pager|tagcloud|tag[_-](?:cloud|links?|list)|newsletter(?:[_-]?\w+)?|subscribe(?:[_-]\w+)?|signup|login|"
+    r"cookies?[_-]\w+|gdpr|popup|modal|overlay|promo(?:[_-]\w+)?|sponsored(?:[_-]\w+)?|widgets?(?:[_-]\w+)?|footer|masthead|topbar|toolbar)",
+    re.I,
+)
+_HEADING = {"h1", "h2", "h3", "h4", "h5", "h6", "hgroup"}
+#: Elements that hold other matter as a whole; on any other element inside an article a part of a class name says nothing.
+_CONTAINER = {"div", "section", "ul", "ol", "dl", "table", "aside", "details", "figure"}
 _CAMEL = re.compile(r"([a-z])([A-Z])")
 _ATTR = re.compile(r"\b(class|id|role|hidden|aria-hidden|style|itemprop)\b(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.I)
 _MAIN = re.compile(r"\b(?:class|id|role|itemprop)\s*=\s*[\"']?[^\"'>]*\b(?:main|article-?body|articleBody|entry-?content|post-?content|post-?body)\b", re.I)
 _SPACE = re.compile(r"\s+")
 
 
-def _named_other(attrs: str) -> bool:
+def _named_other(element: str, attrs: str, inside: bool) -> bool:
+    """Whether attributes announce other matter; inside: the element stands in an article.
+
+    Names never tell against an article, its marked body or (by id) a heading. Inside an article a class counts as a
+    whole, or by a part of it on a container, and an id only if it can't be made from a heading.
+    """
+    named = []
     for m in _ATTR.finditer(attrs):
         name, value = m[1].lower(), (m[2] or "").strip("\"'")
         if name == "hidden" or name == "aria-hidden" and value.lower() == "true":
             return True
         if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
             return True
-        if name in ("class", "id", "role", "itemprop") and _NAMED.search(_NOT_NAMED.sub("", _CAMEL.sub(r"\1-\2", value))):
+        if name in ("class", "id", "role", "itemprop") and value:
+            named.append((name, value))
+    if not named or element == "main" or any(_BODY.search(v) or n in ("id", "role") and v.lower() == "main" for n, v in named):
+        return False
+    if element == "article":  # one in another is a reader's comment if it says so
+        return inside and any(n == "class" and "comment" in v.lower().split() for n, v in named)
+    section = element == "section" or any(n == "class" and "section" in v.lower().split() for n, v in named)
+    for name, value in named:
+        value = _NOT_NAMED.sub("", _CAMEL.sub(r"\1-\2", value))
+        if name == "id" and (element in _HEADING or inside or section):
+            if element not in _HEADING and any(map(_OWN_ID.fullmatch, value.split())):
+                return True
+        elif inside and element not in _CONTAINER:
+            if any(map(_NAMED.fullmatch, value.split())):
+                return True
+        elif _NAMED.search(value):
             return True
     return False
 
@@ -66,17 +101,18 @@ def tokens(page: str) -> list[tuple[str, str, bool]]:
     /article (marks of the article), skip (tags of other matter).
     """
     out: list[tuple[str, str, bool]] = []
-    stack: list[tuple[str, bool, bool]] = []  # name, other matter, link
+    stack: list[tuple[str, bool, bool, bool]] = []  # name, other matter, link, mark of the article
     opened: Counter[str] = Counter()
-    other = links = main = at = 0
+    other = links = main = marks = at = 0
 
     def close(depth: int) -> None:
-        nonlocal other, links, main
+        nonlocal other, links, main, marks
         for x in stack[depth:]:
             opened[x[0]] -= 1
             other -= x[1]
             links -= x[2]
             main -= x[0] in ("article", "main")
+            marks -= x[3]
         del stack[depth:]
 
     match = _TOKEN.match
@@ -98,9 +134,10 @@ def tokens(page: str) -> list[tuple[str, str, bool]]:
         block = name not in _INLINE and name != "br"
         if closing:
             depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name), -1) if opened[name] else -1
+            left = depth >= 0 and stack[depth][1]
             if depth >= 0 and not (name in _INLINE and any(x[0] not in _INLINE for x in stack[depth + 1 :])):
                 close(depth)
-            out.append(("/article" if name in ("article", "main") and not other else "skip" if other else "tag", " " if name == "br" else "", block))
+            out.append(("/article" if name in ("article", "main") and not other and not left else "skip" if other or left else "tag", " " if name == "br" else "", block))
             continue
         if name in _RAW:
             end = _RAW_END[name].search(page, at)
@@ -119,15 +156,16 @@ def tokens(page: str) -> list[tuple[str, str, bool]]:
                 if stack[i][0] not in _INLINE:
                     break
         attrs = m[2] or ""
-        is_other = name in _OTHER and not (name == "header" and main) or bool(attrs) and name not in ("html", "body") and _named_other(attrs)
+        is_other = name in _OTHER and not (name == "header" and main) or bool(attrs) and name not in ("html", "body") and _named_other(name, attrs, marks > 0)
         is_main = not other and not is_other and (name in ("article", "main") or bool(attrs) and bool(_MAIN.search(attrs)))
         out.append(("article" if is_main else "skip" if other or is_other else "tag", "", block))
         if not attrs.endswith("/") or name not in ("svg", "object", "path"):
-            stack.append((name, is_other, name == "a"))
+            stack.append((name, is_other, name == "a", is_main))
             opened[name] += 1
             other += is_other
             links += name == "a"
             main += name in ("article", "main")
+            marks += is_main
     return out
 
 

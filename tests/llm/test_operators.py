@@ -58,6 +58,27 @@ def test_best_run_is_the_maximum():
         assert sum(s[a:b]) == pytest.approx(max(best, 0.0))
 
 
+@pytest.mark.parametrize("attrs", ["class='post-123 post hentry category-news tag-politics'", "class='post tag-side category-search'", "class='story aside' id='discussion'", "class='post-7 post format-aside'"])
+def test_html_names_of_the_article(attrs):
+    body = f"<h1 id='comments'>Head</h1><p>{words(30, 1)}</p>"
+    menu = "<div class='site-menu'><a href='/'>Home</a></div>"
+    for element in ("article", "main"):
+        assert html_text.extract(f"<body>{menu}<{element} {attrs}>{body}</{element}><div id='comments'><p>{words(9, 2)}</p></div></body>") == ["Head", words(30, 1)]
+    if "post-" in attrs:
+        assert html_text.extract(f"<body>{menu}<div {attrs}>{body}</div><div id='comments'><p>{words(9, 2)}</p></div></body>") == ["Head", words(30, 1)]
+
+
+def test_html_names_inside_the_article():
+    keep = ["<h2 id='related-work'>%s</h2>", "<section id='discussion'><p>%s</p></section>", "<div class='section' id='search-results'><p>%s</p></div>", "<div class='content side-by-side'><p>%s</p></div>", "<p class='legal-history'>%s</p>", "<h3 class='social-policy'>%s</h3>"]
+    drop = ["<div class='share-buttons'>%s</div>", "<section id='comments'><p>%s</p></section>", "<div id='related-posts'>%s</div>", "<p class='tags'>%s</p>", "<article class='comment'><p>%s</p></article>", "<h2 hidden>%s</h2>", "<div class='tag-cloud'>%s</div>"]
+    for wrap in ("<article>%s</article>", "<div class='entry-content'>%s</div>", "<main><article class='tag-x'>%s</article></main>"):
+        inner = "".join(k % words(9, i) + d % words(8, 50 + i) for i, (k, d) in enumerate(zip(keep + ["<p>%s</p>"], drop)))
+        page = f"<body><nav><a href='/'>Home</a></nav>{wrap % (inner + '<p>End of the text.</p>')}<footer>Foot</footer></body>"
+        assert html_text.extract(page) == [words(9, i) for i in range(7)] + ["End of the text."]
+    plain = "".join(k % words(20, i) for i, k in enumerate(keep[:4]))
+    assert html_text.extract(f"<body>{plain}</body>") == [words(20, i) for i in range(4)]
+
+
 def test_html_empty_table(spark):
     assert html_text.extract_pages(spark.createDataFrame([], "page_id long, html string")).collect() == []
 
