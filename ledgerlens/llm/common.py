@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import sys
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,15 +36,14 @@ def partitions(spark: SparkSession) -> int:
 
 
 def _letter_classes() -> np.ndarray:
-    """Class of every BMP code point: 0 no letter, 1-26 a-z, 27-63 any other letter by lower-case code."""
-    table = np.zeros(65537, dtype=np.uint8)
-    for cp in range(65536):
+    """Class of every code point: 0 no letter, 1-26 a-z, 27-63 any other letter by lower-case code."""
+    table = np.zeros(sys.maxunicode + 1, dtype=np.uint8)
+    for cp in range(len(table)):
         ch = chr(cp)
         if ch.isalpha():
             low = ch.lower()
             code = ord(low[0])
             table[cp] = code - 96 if 97 <= code <= 122 else 27 + code % 37
-    table[65536] = 27
     return table
 
 
@@ -56,7 +57,7 @@ def classes(text: str) -> np.ndarray:
     if _CLASSES is None:
         _CLASSES = _letter_classes()
     codes = np.frombuffer(text.encode("utf-32-le", "replace"), dtype="<u4")
-    return _CLASSES[np.minimum(codes, 65536)]
+    return _CLASSES[codes]
 
 
 def trigrams(cls: np.ndarray) -> np.ndarray:

@@ -175,6 +175,18 @@ def test_language_held_out(spark):
     assert set(mixed) == {"aa", "bb"} and got[-4]["lang_pred"] == max(mixed, key=mixed.get) and all(0 <= r["score"] <= 1 for r in got.values())
 
 
+def test_language_beyond_the_bmp():
+    counts = np.ones((1, language.N_GRAMS))
+    model = language.Model(["aa"], counts)
+    emoji = "\U0001f600\U0001f680 \U0001f44d\U0001f3fd \U0001f1e9\U0001f1ea"
+    assert language.mixtures(model, [emoji])[0] == ("und", 0.0, {})
+    assert not common.classes(emoji).any() and common.classes("\U0010ffff").tolist() == [0]
+    letters = common.classes("\U00010330\U00010331\U00020000")  # Gothic and Han letters keep their own classes
+    assert (letters >= 27).all() and len(set(letters.tolist())) > 1
+    assert common.classes("\U00010400").tolist() == common.classes("\U00010428").tolist()
+    assert language.mixtures(model, ["\U00010330\U00010331"])[0][0] == "aa"
+
+
 def test_language_empty(spark):
     empty = spark.createDataFrame([], "doc_id long, text string, lang string")
     model = language.train(empty)
