@@ -12,6 +12,8 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -40,11 +42,14 @@ _LETTERS = re.compile(r"[^\W\d_]+")
 _MIXED = re.compile(r"[^\W\d_].*[\d@$!|+(\[{<€£¥#%*._\-'~^=/\\].*[^\W\d_]|[\d@$!|][\d@$!|]*[^\W\d_]|[^\W\d_][\d@$!|]|[аеорсухі].*[a-z]|[a-z].*[аеорсухі]", re.S)
 _LEAD, _TRAIL = set("$@!|+#(€£0123456789"), set("$@|+€£0123456789")
 _TRIPLE = re.compile(r"(.)\1\1")
+_SAME = re.compile(r"(.)\1{2,}", re.S)
+_PRIME = (1 << 61) - 1
 _DOUBLE = re.compile(r"(.)\1")
 _RUN = re.compile(r"(.)\1+")
 _PARTS = re.compile(r"[^\w@$!|+]+|_+")
 #: Three or more single characters parted by blanks.
 _SPACED = re.compile(r"(?<![^\W_])(?:[^\W_]|[@$!|+€£¥])(?:[ \t]{1,3}(?:[^\W_]|[@$!|+€£¥])){2,}(?![^\W_])")
+_GAP = re.compile(r"[ \t]{2,}")
 
 
 class CharModel:
@@ -63,6 +68,7 @@ class CharModel:
         return float(self.logp[a, b, c])
 
 
+@lru_cache(4096)
 def letter_class(ch: str) -> int:
     return int(classes(ch)[0]) if ch else 0
 
@@ -85,26 +91,74 @@ def lattice(token: str) -> list[list[tuple[str, float]]]:
     return out
 
 
-def decode(token: str, model: CharModel, beam: int = 8, best: int = 2) -> list[str]:
-    """The likeliest plain words of a token, by Viterbi over its lattice: states are the last two letters."""
-    states = {(0, 0): [(0.0, "")]}
+def shorten(token: str, tight: bool = False) -> str:
+    """token with runs of three or more of a sign cut to two, also runs of signs that stand for the same letter; tight: mixed runs become one sign."""
+    token = _SAME.sub(r"\1\1", token)
+    if token.isalpha():
+        return token
+    out: list[str] = []
+    run: list[str] = []
+    common: set[str] = set()
+    sets: set[frozenset] = set()
+
+    def flush() -> None:
+        mixed = len(set(run)) > 1
+        if mixed and (tight or len(sets) == 1 or len(run) > 3):
+            out.append((next(iter(common)) if len(common) == 1 else run[0]) * (1 if tight else 2))
+        else:
+            out.extend(run)
+
+    for ch in token:
+        own = frozenset(LEET.get(ch, ch if ch.isalpha() else ""))
+        if common & own:
+            run.append(ch)
+            common, sets = common & own, sets | {own}
+        else:
+            flush()
+            run, common, sets = [ch], set(own), {own}
+    flush()
+    return _SAME.sub(r"\1\1", "".join(out))
+
+
+def decode(token: str, model: CharModel, best: int = 2) -> list[str]:
+    """The likeliest plain words of a token, by Viterbi over its lattice in one pass: states are the last two letters, all are kept.
+
+    A path is (score, hash of its letters, (path before, letter)), so that long tokens take linear time.
+    """
+    states: dict[tuple[int, int], list[tuple]] = {(0, 0): [(0.0, 0, None)]}
     for choices in lattice(token):
-        after: dict[tuple[int, int], list[tuple[float, str]]] = {}
+        marked = [(ch, letter_class(ch), ord(ch) if ch else 0, cost) for ch, cost in choices]
+        after: dict[tuple[int, int], list[tuple]] = {}
         for (a, b), paths in states.items():
-            for ch, cost in choices:
+            for ch, c, code, cost in marked:
                 if ch:
-                    c = letter_class(ch)
                     gain = cost + model.step(a, b, c)
-                    to = (b, c)
+                    after.setdefault((b, c), []).extend((s + gain, (h * 1_000_003 + code) % _PRIME, (w, ch)) for s, h, w in paths)
                 else:
-                    gain, to = cost, (a, b)
-                after.setdefault(to, []).extend((s + gain, w + ch) for s, w in paths)
-        # The best few paths of each state (list Viterbi), and the best states.
-        states = {k: sorted(set(v), reverse=True)[:best] for k, v in after.items()}
-        if len(states) > beam:
-            states = dict(sorted(states.items(), key=lambda kv: -kv[1][0][0])[:beam])
-    ends = sorted(((s + model.step(a, b, 0), w) for (a, b), paths in states.items() for s, w in paths if w), reverse=True)
-    return list(dict.fromkeys(w for _, w in ends))[:best]
+                    after.setdefault((a, b), []).extend((s + cost, h, w) for s, h, w in paths)
+        # The best few different paths of each state (list Viterbi).
+        states = {k: _first(v, best) for k, v in after.items()}
+    ends = _first([(s + model.step(a, b, 0), h, w) for (a, b), paths in states.items() for s, h, w in paths if w], best)
+    return list(dict.fromkeys(_spell(w) for _, _, w in ends))
+
+
+def _first(paths: list[tuple], best: int) -> list[tuple]:
+    if len(paths) == 1:
+        return paths
+    found: dict[int, tuple] = {}
+    for p in sorted(paths, key=lambda p: (-p[0], p[1])):
+        found.setdefault(p[1], p)
+        if len(found) == best:
+            break
+    return [*found.values()]
+
+
+def _spell(path: tuple | None) -> str:
+    letters = []
+    while path:
+        path, ch = path
+        letters.append(ch)
+    return "".join(reversed(letters))
 
 
 def squeeze(word: str) -> str:
@@ -129,45 +183,40 @@ class Restorer:
         if bare.isalpha():
             if len(_DOUBLE.findall(bare)) > 1:
                 more.append(squeeze(bare))
-            if _TRIPLE.search(bare) and len(bare) <= 40:
-                more += decode(bare, self.model)
+            if _TRIPLE.search(bare):
+                more += self.plain(bare)
             if len(bare) + 1 == len(low) and (low[0] in _LEAD or low[-1] in _TRAIL):
-                more += decode(low, self.model)
-        elif len(low) > 64:
-            # No word: its parts are looked at one by one, and single signs in a row as one word; unbroken runs of over 64 signs are codes.
-            run = ""
-            for part in [*_PARTS.split(bare), "  "]:
-                if len(part) == 1:
-                    run += part
-                    continue
-                for at in range(0, len(run) if len(run) > 2 else 0, 24):
-                    more += [run[at : at + 40], *decode(run[at : at + 40], self.model)]
-                run = ""
-                if 2 < len(part) <= 64:
-                    more += self.token(part)
-        elif bare and _MIXED.search(bare):
+                more += self.plain(low)
+        elif bare and (len(low) > 64 or _MIXED.search(bare)):
             at = low.index(bare)
             if at == 1 and low[0] in _LEAD:
                 bare = low[0] + bare
             if at + len(bare) == len(low) - 1 and low[-1] in _TRAIL:
                 bare += low[-1]
-            for part in [bare] if len(bare) <= 24 else [x for x in _PARTS.split(bare) if len(x) > 2] + ["".join(x for x in _PARTS.split(bare) if len(x) == 1)]:
-                for at in range(0, len(part), 20):
-                    piece = part[at : at + 24]
-                    digits = sum(map(str.isdigit, piece))
-                    # Long tokens of mostly digits are numbers, addresses or hashes.
-                    if (_MIXED.search(piece) or piece.isalpha()) and (digits < 0.4 * len(piece) or len(piece) <= 10):
-                        more += decode(piece, self.model)
+            more += self.plain(bare)
+            if len(bare) > 24:
+                # Separators may also part words: each part, and single signs in a row, are looked at as a word too.
+                parts = _PARTS.split(bare)
+                runs = ["".join(g) for single, g in groupby(parts, lambda x: len(x) == 1) if single]
+                for part in dict.fromkeys([*(x for x in parts if len(x) > 2), *runs, "".join(x for x in parts if len(x) == 1)]):
+                    if part != bare and len(part) > 2 and (part.isalpha() or len(part) > 64 or _MIXED.search(part)):
+                        more += [part, *self.plain(part)] if part.isalpha() else self.plain(part)
         return tuple(dict.fromkeys([*own, *more]))
 
-    def spaced(self, text: str) -> list[str]:
-        """Runs of single characters, parted by blanks, as joined and as decoded."""
-        out = []
+    def plain(self, token: str) -> list[str]:
+        """The likeliest plain words of a whole token of any length, repeated signs shortened first; none without a letter or sign for one."""
+        return [w for form in dict.fromkeys((shorten(token), shorten(token, True))) for w in decode(form, self.model)]
+
+    def spaced(self, text: str) -> dict[str, list[str]]:
+        """Runs of single characters, parted by blanks, joined, each with the words it may stand for: the run, its parts between wider gaps, and these without a leading a or i."""
+        out: dict[str, list[str]] = {}
         for m in _SPACED.finditer(text):
-            run = "".join(m[0].lower().split())
-            for at in range(0, len(run), 24):
-                piece = run[at : at + 40]
-                out += [piece, *decode(piece, self.model)]
+            low = m[0].lower()
+            run = "".join(low.split())
+            parts = [x for x in ("".join(p.split()) for p in _GAP.split(low)) if len(x) > 2]
+            forms = dict.fromkeys([run, *parts])
+            forms |= dict.fromkeys(x[1:] for x in list(forms) if x[0] in "ai" and len(x) > 3)
+            out.setdefault(run, []).extend(w for x in forms for w in [x, *self.plain(x)])
         return out
 
     def words(self, text: str) -> set[str]:
@@ -175,7 +224,8 @@ class Restorer:
         out: set[str] = set()
         for token in set(text.lower().split()):
             out.update(self.token(token))
-        out.update(self.spaced(text))
+        for run, found in self.spaced(text).items():
+            out.update((run, *found))
         return out
 
     def restore(self, text: str) -> str:
@@ -188,7 +238,7 @@ class Restorer:
             other = [w for w in found if w != bare]
             if bare.isalpha() and not _TRIPLE.search(bare) or not other:
                 return m[0]
-            return next((w for w in decode(bare or m[0], self.model)), m[0])
+            return next((w for w in decode(shorten(bare or m[0]), self.model)), m[0])
 
         return re.sub(r"\S+", plain, text)
 
@@ -243,12 +293,16 @@ class Scorer:
 
     def token(self, token: str):
         """None for a token that says nothing, else (probability, word, stems that count in pairs)."""
-        found = [(p, w, pairs) for w in self.restorer.token(token) for p, pairs in [self.lexicon.word(w)] if p or pairs]
+        out = self.best(self.restorer.token(token))
         if len(self.memory) >= self.remember:
             self.memory.clear()
-        self.memory[token] = out = max(found) if found else None
+        self.memory[token] = out
         return out
 
+    def best(self, words):
+        found = [(p, w, pairs) for w in words for p, pairs in [self.lexicon.word(w)] if p or pairs]
+        return max(found) if found else None
+
     def score(self, text: str) -> float:
         known, unknown = self.memory.get, ()
         said: dict[str, tuple] = {}
@@ -261,6 +315,14 @@ class Scorer:
                 said[x[1]] = x
             if len(t) == 1:
                 singles += 1
+        inside: list[float] = []
+        for run, words in (self.restorer.spaced(text) if singles else {}).items():
+            x = self.best(words)
+            if x is not None:
+                said[x[1]] = x
+            p = max((p for f, p in self.lexicon.inside if f in run), default=0.0)
+            if p > (x[0] if x else 0.0):
+                inside.append(p)
         clean, pairs = 1.0 - self.lexicon.base, Counter()
         for p, _, own in said.values():
             clean *= 1.0 - p
@@ -268,9 +330,8 @@ class Scorer:
         for f, n in pairs.items():
             if n > 1:
                 clean *= 1.0 - self.lexicon.weights[f]
-        if singles > 2:
-            for run in set(self.restorer.spaced(text)):
-                clean *= 1.0 - max((p for f, p in self.lexicon.inside if f in run), default=0.0)
+        for p in inside:
+            clean *= 1.0 - p
         return min(1.0, max(0.0, 1.0 - clean))
 
 

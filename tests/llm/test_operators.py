@@ -414,6 +414,23 @@ def test_toxicity_decode_is_the_best_path(toxic_model):
         assert toxicity.decode(token, model)[0] == best[1]
 
 
+def test_toxicity_restores_whole_tokens():
+    counts = np.zeros(64**3)
+    for word, n in (("idiot", 400), ("ass", 300), ("poop", 300), ("some", 500), ("other", 500)):
+        np.add.at(counts, common.trigrams(common.classes(f"{word}\n")), n)
+    model = toxicity.CharModel(counts)
+    restorer = toxicity.Restorer(model)
+    forms = ["id10" + 70 * "o" + "t", "idi0" + 24 * "o" + "t", "1d10000000000t", "id" + 30 * "i1!" + "ot", "idi" + 50 * "o" + "t", "some-other-some-other-1d1" + 30 * "0" + "t", "-".join("id1" + 40 * "0o" + "t")]
+    for form in forms:
+        assert "idiot" in restorer.token(form), form
+    assert "idiot" * 30 in restorer.token("1d10t" * 30)
+    scorer = toxicity.Scorer(model, toxicity.Lexicon({"ass": 0.95, "poop": 0.95, "idiot": 0.95}, 0.01))
+    for text in ("some a s s other", "some p o o p", "some p 0 0 p other", "I a s s", "i d i o t   a s s", "i d 1 0 t", *forms):
+        assert scorer.score(text) >= 0.5, text
+    for text in ("some other", "a b c", "a s s i", "p o s t", "555-1234 12.5.2020 1000000000000"):
+        assert scorer.score(text) < 0.5, text
+
+
 def test_toxicity_empty(spark, toxic_model):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert toxicity.score_texts(empty, *toxic_model).collect() == []
