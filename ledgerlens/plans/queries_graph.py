@@ -65,6 +65,14 @@ def _(t):
     return graph.hops(rows, start, 3)
 
 
+@query("money_hops")
+def _(t):
+    """Follow the money from committee 1 over all edges: donors to committees to linked candidates. No oracle; tested against brute force."""
+    links = t.links.select(F.concat(F.lit("committee:"), F.col("committee_id").cast("string")).alias("src"), F.concat(F.lit("candidate:"), F.col("candidate_id").cast("string")).alias("dst"), F.lit(1.0).alias("weight"))
+    start = t.region.limit(1).select(F.lit("committee:1").alias("node"))
+    return graph.hops(network(t).unionByName(links), start, 3)
+
+
 @query("components", "WITH RECURSIVE q AS (SELECT DISTINCT c_custkey * 2 AS a, c_nationkey * 2 + 1 AS b FROM customer), b AS (SELECT a AS node, b AS other FROM q UNION SELECT b, a FROM q), h(node, root) AS (SELECT node, node FROM b UNION SELECT b.other, h.root FROM h JOIN b ON h.node = b.node WHERE h.root < b.other) SELECT node, min(root) AS component FROM h GROUP BY 1")
 def _(t):
     rows = t.customer.select((F.col("c_custkey") * 2).alias("src"), (F.col("c_nationkey").cast("long") * 2 + 1).alias("dst"))

@@ -38,6 +38,25 @@ def test_runs(spark, name):
     assert QUERIES[name](spark, SF).count() > 0
 
 
+def test_money_hops_over_all_edges(spark, duck):
+    from collections import defaultdict
+
+    from ledgerlens.sources.civic import with_views
+
+    network = [(r["src"], r["dst"]) for r in QUERIES["network_edges"](spark, SF).collect()]
+    links = duck.execute(with_views("SELECT 'committee:' || committee_id, 'candidate:' || candidate_id FROM links")).fetchall()
+    near = defaultdict(set)
+    for a, b in network + links:
+        near[a].add(b)
+        near[b].add(a)
+    hop, front = {"committee:1": 0}, {"committee:1"}
+    for n in (1, 2, 3):
+        front = {y for x in front for y in near[x]} - hop.keys()
+        hop.update(dict.fromkeys(front, n))
+    got = [(r["node"], r["hop"]) for r in QUERIES["money_hops"](spark, SF).collect()]
+    assert len(got) == len(hop) and dict(got) == hop and {n.split(":")[0] for n in hop} == {"donor", "committee", "candidate"}
+
+
 def test_entry(spark):
     import __spark_entry__ as e
 
