@@ -18,7 +18,7 @@ def network(t):
 
 
 def small_network(t):
-    """States and committees: a graph of bounded size for the driver kernels."""
+    """States and committees, for the driver kernels: one edge per state and committee at most; the kernels raise above their bound."""
     rows = good(t).groupBy(F.concat(F.lit("state:"), "state").alias("src"), F.concat(F.lit("committee:"), F.col("committee_id").cast("string")).alias("dst")).agg(F.round(F.sum("amount"), 2).alias("weight"))
     return rows
 
@@ -101,7 +101,7 @@ def _(t):
 
 @query("influence_score")
 def _(t):
-    net = small_network(t)
+    net = network(t)
     degrees = graph.degree_centrality(net)
     return graph.influence(degrees, graph.pagerank(net), degrees.select("node", F.split_part("node", F.lit(":"), F.lit(1)).alias("kind")))
 

@@ -57,6 +57,30 @@ def test_money_hops_over_all_edges(spark, duck):
     assert len(got) == len(hop) and dict(got) == hop and {n.split(":")[0] for n in hop} == {"donor", "committee", "candidate"}
 
 
+def test_influence_of_every_node(spark):
+    from collections import defaultdict
+
+    near, money = defaultdict(dict), defaultdict(float)
+    for r in QUERIES["network_edges"](spark, SF).collect():
+        for a, b in ((r["src"], r["dst"]), (r["dst"], r["src"])):
+            near[a][b] = near[a].get(b, 0.0) + r["weight"]
+            money[a] += r["weight"]
+    n, rank = len(near), dict.fromkeys(near, 1 / len(near))
+    for _ in range(25):
+        lost = sum(rank[x] for x in near if money[x] <= 0)
+        got = defaultdict(float)
+        for x in near:
+            for y, w in near[x].items() if money[x] > 0 else ():
+                got[y] += rank[x] * w / money[x]
+        rank = {x: 0.15 / n + 0.85 * (got[x] + lost / n) for x in near}
+    kind = lambda x: x.split(":")[0]
+    most = {k: (max(money[x] for x in near if kind(x) == k), max(len(near[x]) for x in near if kind(x) == k)) for k in ("donor", "committee")}
+    top = max(rank.values())
+    expect = {x: 0.55 * money[x] / most[kind(x)][0] + 0.25 * len(near[x]) / most[kind(x)][1] + 0.20 * rank[x] / top for x in near}
+    got = {r["node"]: (r["kind"], r["influence"]) for r in QUERIES["influence_score"](spark, SF).collect()}
+    assert got.keys() == expect.keys() and all(k == kind(x) and abs(v - expect[x]) < 2e-4 for x, (k, v) in got.items())
+
+
 def test_entry(spark):
     import __spark_entry__ as e
 
