@@ -2,7 +2,8 @@
 
 A page is scanned once into tokens: words score by their weight (positive), tags by theirs (negative), both log odds of
 being content that are fitted on labelled pages. Words below elements or class names that announce other matter (menus, forms, adverts, reader comments)
-have classes of their own, as do words in links. The contiguous run with the largest sum is the content region; other matter inside it is left out.
+have classes of their own, as do words in links; whether a token stands in a marked article is a feature of it, with a fitted weight. The contiguous run
+with the largest sum is the content region; other matter inside it is left out. Which names announce other matter is fixed: points per part of a name.
 """
 
 from __future__ import annotations
@@ -20,6 +21,8 @@ from pyspark.sql import functions as F
 
 from ledgerlens.llm.common import fresh, load
 
+#: Pages of the input that the weights are fitted on, about at most; all pages are extracted.
+LABELLED_PAGES = 2_000
 _PARTS = r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|</?([a-zA-Z][^\s/><]*+)(%s)>|[^<]+|<"
 _TOKEN = re.compile(_PARTS % r"(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+", re.S)
 #: Used from a tag on that never ends: tags without quoted signs, so that no later tag is searched to the end of the page again.
@@ -28,19 +31,22 @@ _RAW = {"script", "style", "noscript", "template", "textarea", "title", "iframe"
 _RAW_END = {n: re.compile(rf"</{n}(?=[\s/>])[^>]*>", re.I) for n in _RAW}
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 #: Elements whose text is never article text.
-_OTHER = {"nav", "header", "footer", "aside", "form", "head", "button", "select", "svg", "object", "dialog", "menu", "canvas", "audio", "video", "datalist", "fieldset", "label", "option"}
+_OTHER = {"nav", "header", "footer", "aside", "form", "head", "button", "select", "svg", "object", "dialog", "menu", "canvas", "audio", "video", "datalist", "fieldset", "option"}
 _INLINE = {"a", "abbr", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "mark", "q", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr", "ruby", "rt", "rp", "img", "acronym", "label"}
 _BLOCK_ONLY = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "dt", "dd", "td", "th", "tr", "option"}
-#: Parts of class names, ids and roles that announce other matter.
-_NAMED = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adsby\w*|advert\w*|adsense|adbox|adslot|sponsor\w*|promo\w*|promoted|banner\w*|cookies?|consent|gdpr|notices?|alert|popup|modal|overlay|newsletter|subscri\w*|signup|login|"
-    r"nav\w*|menus?|breadcrumbs?|pagination|pager|sidebars?|side|aside|widgets?|footers?|foot|masthead|topbar|toolbar|header|site-?header|page-?header|"
-    r"comments?|commentlist|replies|reply|responses?|disqus|discussion|respond|related|recommend\w*|recirc|more-?stories|trending|popular|share|sharing|social|follow|tags?|tagcloud|"
-    r"search\w*|skip|copyright|legal|disclaimer|hidden|screen-?reader\w*|navigation|contentinfo|complementary|form|\w*(?:menu|navbar|sidebar|cookie|banner|comments?|advert|newsletter)\w*)(?:$|[\s_-])",
-    re.I,
+#: What a part of a class name, id or role says of an element: points against it being article text. Two points mark other matter, also beside a word that speaks for the text.
+_STRONG = re.compile(
+    r"ads?|adsby\w*|advert\w*|adsense|adbox|adslot|sponsor\w*|promo|promos|promoted|promotions?|banners?|cookies?|consent|gdpr|notices?|popup|modal|overlay|newsletter|subscri\w*|signup|login|"
+    r"nav\w*|menus?|breadcrumbs?|pagination|pager|sidebars?|aside|widgets?|footers?|masthead|topbar|toolbar|site-?header|page-?header|"
+    r"comments?|commentlist|replies|respond|disqus|related|recommend\w*|recirc|tagcloud|contentinfo|complementary|\w+(?:menu|navbar|sidebar|cookie|banner|comments?|advert|newsletter)\w*"
 )
+_WEAK = re.compile(r"side|foot|alert|header|reply|responses?|discussion|trending|popular|share|sharing|social|follow|tags?|search\w*|skip|copyright|legal|disclaimer|hidden|screen|reader|stories|form")
+#: Parts that speak for article text.
+_FOR = re.compile(r"article\w*|story|paper|post|entry|content|essay|chapter|body|text|prose|report|review|analysis|history|policy")
 #: Class names that hold one of the words above but say something else.
-_NOT_NAMED = re.compile(r"\b(?:has|with|no|without)-[\w-]+|\bside-by-side\b|(?<!\S)(?:tag|category)-(?!(?:cloud|lists?|links?)\b)\S+|\b(?:entry|post|article|content|story|section)[-_]header\b|\b(?:long|short)-?form\b", re.I)
+_NOT_NAMED = re.compile(r"\b(?:has|with|no|without|non)-[\w-]+|\b[\w-]+-(?:free|less)\b|\bside-by-side\b|(?<!\S)(?:tag|category)-(?!(?:cloud|lists?|links?)\b)\S+|\b(?:entry|post|article|content|story|section)[-_]header\b|\b(?:long|short)-?form\b", re.I)
+#: Class names that make an article inside another article, or in a main element, a teaser or a reader's comment.
+_TEASER = re.compile(r"(?:related|promo\w*|teaser|sponsored|advert\w*|ad|ads|recommended|comment|comments|widget)(?:[-_](?:article|box|card|item|list|post|story|teaser))*", re.I)
 #: Whole names of the body of an article or post: what else such an element is called says nothing.
 _BODY = re.compile(r"(?<!\S)(?:main-?content|article-?body|entry-?content|post-?content|post-?body|h-?entry|post-\d+|type-(?:post|page))(?!\S)", re.I)
 #: Ids of other matter inside an article or on a section. Such ids are often made from the text of a heading, so only names that no heading gives.
@@ -56,30 +62,44 @@ _HEADING = {"h1", "h2", "h3", "h4", "h5", "h6", "hgroup"}
 #: Elements that hold other matter as a whole; on any other element inside an article a part of a class name says nothing.
 _CONTAINER = {"div", "section", "ul", "ol", "dl", "table", "aside", "details", "figure"}
 _CAMEL = re.compile(r"([a-z])([A-Z])")
-_ATTR = re.compile(r"\b(class|id|role|hidden|aria-hidden|style|itemprop)\b(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.I)
-_MAIN = re.compile(r"\b(?:class|id|role|itemprop)\s*=\s*[\"']?[^\"'>]*\b(?:main|article-?body|articleBody|entry-?content|post-?content|post-?body)\b", re.I)
+_HYPHEN = re.compile(r"[-_]+")
+_ATTR = re.compile(r"(?<![\w-])(class|id|role|hidden|aria-hidden|style|itemprop)(?![\w-])(?:\s*+=\s*+(\"[^\"]*+\"|'[^']*+'|[^\s>\"']++))?", re.I)
+_MAIN = re.compile(r"(?<![^\s])(?:main|main-?content|article-?body|entry-?content|post-?content|post-?body)(?!\S)", re.I)
+_UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 _SPACE = re.compile(r"\s+")
 
 
-def _named_other(element: str, attrs: str, inside: bool) -> bool:
+def points(name: str) -> int:
+    """Points of one class name, id or role: its parts against article text less those for it; other matter from 1 on."""
+    parts = [x for x in _HYPHEN.split(name.lower()) if x]
+    strong = sum(2 for x in parts if _STRONG.fullmatch(x))
+    if not strong and _STRONG.fullmatch(name.lower()):
+        strong = 2
+    return strong + sum(1 for x in parts if _WEAK.fullmatch(x)) - any(map(_FOR.fullmatch, parts))
+
+
+def _attributes(attrs: str) -> list[tuple[str, str]]:
+    return [(m[1].lower(), (m[2] or "").strip("\"'")) for m in _ATTR.finditer(attrs)]
+
+
+def _marks_body(named: list[tuple[str, str]]) -> bool:
+    return any(n in ("class", "id", "role", "itemprop") and _MAIN.search(v) for n, v in named)
+
+
+def _named_other(element: str, named: list[tuple[str, str]], inside: bool) -> bool:
     """Whether attributes announce other matter; inside: the element stands in an article.
 
-    Names never tell against an article, its marked body or (by id) a heading. Inside an article a class counts as a
-    whole, or by a part of it on a container, and an id only if it can't be made from a heading.
+    Names never tell against a heading by id, a marked body or an outermost article. Inside an article a class counts
+    as a whole, or by its points on a container, and an id only if it can't be made from a heading.
     """
-    named = []
-    for m in _ATTR.finditer(attrs):
-        name, value = m[1].lower(), (m[2] or "").strip("\"'")
-        if name == "hidden" or name == "aria-hidden" and value.lower() == "true":
-            return True
-        if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
+    for name, value in named:
+        if name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and _UNSEEN.search(value):
             return True
-        if name in ("class", "id", "role", "itemprop") and value:
-            named.append((name, value))
+    named = [(n, v) for n, v in named if n in ("class", "id", "role", "itemprop") and v]
     if not named or element == "main" or any(_BODY.search(v) or n in ("id", "role") and v.lower() == "main" for n, v in named):
         return False
-    if element == "article":  # one in another is a reader's comment if it says so
-        return inside and any(n == "class" and "comment" in v.lower().split() for n, v in named)
+    if element == "article":
+        return inside and any(n == "class" and any(map(_TEASER.fullmatch, v.split())) for n, v in named)
     section = element == "section" or any(n == "class" and "section" in v.lower().split() for n, v in named)
     for name, value in named:
         value = _NOT_NAMED.sub("", _CAMEL.sub(r"\1-\2", value))
@@ -87,34 +107,56 @@ def _named_other(element: str, attrs: str, inside: bool) -> bool:
             if element not in _HEADING and any(map(_OWN_ID.fullmatch, value.split())):
                 return True
         elif inside and element not in _CONTAINER:
-            if any(map(_NAMED.fullmatch, value.split())):
+            if any(map(_STRONG.fullmatch, value.lower().split())) or any(map(_WEAK.fullmatch, value.lower().split())):
                 return True
-        elif _NAMED.search(value):
+        elif max(map(points, value.split()), default=0) >= 1:
             return True
     return False
 
 
+class _Open:
+    """Open elements of a page. Positions of each name and of blocks are kept, so that no tag searches the stack."""
+
+    def __init__(self):
+        self.stack: list[tuple[str, bool, bool, bool]] = []  # name, other matter, link, mark of the article
+        self.at: dict[str, list[int]] = {}
+        self.blocks: list[int] = []
+        self.other = self.links = self.marks = self.main = 0
+
+    def push(self, name: str, other: bool, mark: bool) -> None:
+        depth = len(self.stack)
+        self.stack.append((name, other, name == "a", mark))
+        self.at.setdefault(name, []).append(depth)
+        if name not in _INLINE:
+            self.blocks.append(depth)
+        self.other += other
+        self.links += name == "a"
+        self.marks += mark
+        self.main += name in ("article", "main")
+
+    def close(self, depth: int) -> int:
+        """Close all from depth on; how many marks of the article end."""
+        ended = self.marks
+        for name, other, link, mark in self.stack[depth:]:
+            self.at[name].pop()
+            self.other -= other
+            self.links -= link
+            self.marks -= mark
+            self.main -= name in ("article", "main")
+        del self.stack[depth:]
+        while self.blocks and self.blocks[-1] >= depth:
+            self.blocks.pop()
+        return ended - self.marks
+
+
 def tokens(page: str) -> list[tuple[str, str, bool]]:
     """(class, text, block break) in page order; break: a block ends here.
 
     Classes: word, link (words in links), other (words of other matter); tag, raw (scripts and the like), article and
-    /article (marks of the article), skip (tags of other matter).
+    /article (marks of the article open and end, in balance), skip (tags of other matter).
     """
     out: list[tuple[str, str, bool]] = []
-    stack: list[tuple[str, bool, bool, bool]] = []  # name, other matter, link, mark of the article
-    opened: Counter[str] = Counter()
-    other = links = main = marks = at = 0
-
-    def close(depth: int) -> None:
-        nonlocal other, links, main, marks
-        for x in stack[depth:]:
-            opened[x[0]] -= 1
-            other -= x[1]
-            links -= x[2]
-            main -= x[0] in ("article", "main")
-            marks -= x[3]
-        del stack[depth:]
-
+    now, at = _Open(), 0
     match = _TOKEN.match
     while at < len(page):
         m = match(page, at)
@@ -126,46 +168,43 @@ def tokens(page: str) -> list[tuple[str, str, bool]]:
         if name is None:
             text = m[0]
             if text[0] != "<" or len(text) == 1:
-                out.append(("other" if other else "link" if links else "word", text, False))
+                out.append(("other" if now.other else "link" if now.links else "word", text, False))
             elif text.startswith("<![CDATA["):
-                out.append(("other" if other else "word", text[9:].removesuffix("]]>"), False))
+                out.append(("other" if now.other else "word", text[9:].removesuffix("]]>"), False))
             continue
         name, closing = name.lower(), m[0][1] == "/"
-        block = name not in _INLINE and name != "br"
+        inline = name in _INLINE
+        block = not inline and name != "br"
         if closing:
-            depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name), -1) if opened[name] else -1
-            left = depth >= 0 and stack[depth][1]
-            if depth >= 0 and not (name in _INLINE and any(x[0] not in _INLINE for x in stack[depth + 1 :])):
-                close(depth)
-            out.append(("/article" if name in ("article", "main") and not other and not left else "skip" if other or left else "tag", " " if name == "br" else "", block))
+            where = now.at.get(name)
+            left = bool(where) and now.stack[where[-1]][1]
+            ended = 0
+            if where and not (inline and now.blocks and now.blocks[-1] > where[-1]):
+                ended = now.close(where[-1])
+            out.append(("skip" if now.other or left else "tag", " " if name == "br" else "", block))
+            out += [("/article", "", True)] * ended
             continue
         if name in _RAW:
             end = _RAW_END[name].search(page, at)
             at = end.end() if end else len(page)
-            out.append(("skip" if other else "raw", "", name == "title"))
+            out.append(("skip" if now.other else "raw", "", name == "title"))
             continue
         if name in _VOID:
-            out.append(("skip" if other else "tag", " " if name == "br" else "", block))
+            out.append(("skip" if now.other else "tag", " " if name == "br" else "", block))
             continue
-        if name in _BLOCK_ONLY and stack:  # an open paragraph or item of the same kind ends here
+        if name in _BLOCK_ONLY and now.blocks:  # an open paragraph or item of the same kind ends here
             kinds = {"p"} if name not in ("li", "td", "th", "tr", "dt", "dd", "option") else {"p", name} | ({"td", "th"} if name in ("td", "th", "tr") else {"dt", "dd"} if name in ("dt", "dd") else set())
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] in kinds:
-                    close(i)
-                    break
-                if stack[i][0] not in _INLINE:
-                    break
+            if now.stack[now.blocks[-1]][0] in kinds:
+                out += [("/article", "", True)] * now.close(now.blocks[-1])
         attrs = m[2] or ""
-        is_other = name in _OTHER and not (name == "header" and main) or bool(attrs) and name not in ("html", "body") and _named_other(name, attrs, marks > 0)
-        is_main = not other and not is_other and (name in ("article", "main") or bool(attrs) and bool(_MAIN.search(attrs)))
-        out.append(("article" if is_main else "skip" if other or is_other else "tag", "", block))
+        named = _attributes(attrs) if attrs else []
+        is_other = name in _OTHER and not (name == "header" and now.main) or bool(named) and name not in ("html", "body") and _named_other(name, named, now.marks > 0)
+        is_mark = not now.other and not is_other and (name in ("article", "main") or bool(named) and block and _marks_body(named))
+        out.append(("article" if is_mark else "skip" if now.other or is_other else "tag", "", block))
         if not attrs.endswith("/") or name not in ("svg", "object", "path"):
-            stack.append((name, is_other, name == "a", is_main))
-            opened[name] += 1
-            other += is_other
-            links += name == "a"
-            main += name in ("article", "main")
-            marks += is_main
+            now.push(name, is_other, is_mark)
+        elif is_mark:
+            out.append(("/article", "", True))
     return out
 
 
@@ -205,43 +244,121 @@ def labelled_pages(n: int = 120, seed: int = 11) -> Iterator[tuple[list[tuple[st
         yield found, label
 
 
-def fit_weights(pages=None) -> dict[str, float]:
-    """Weight per token class. Words and links: log odds of content per word, words above and links at most 1. Tags: what balances them on labelled pages."""
-    inside, outside = Counter(), Counter()
-    for found, label in pages if pages is not None else labelled_pages():
-        for (kind, text, _), content in zip(found, label):
-            n = len(text.split()) if kind in ("word", "link", "other") else 1
-            (inside if content else outside)[kind] += n
-    odds = lambda k: math.log((inside[k] + 1) / (sum(inside.values()) + 4) / ((outside[k] + 1) / (sum(outside.values()) + 4)))
-    weight = {k: odds(k) for k in {*inside, *outside, "word", "link", "other", "tag", "raw"}}
-    weight["word"] = max(weight["word"], 0.1)
-    return weight
+#: Where a token stands: in or out of a marked article, or on a page that marks none (`blind`).
+PLACES = ("in", "out", "blind")
+_WORDS = ("word", "link", "other")
+
+
+def places(found: list[tuple[str, str, bool]]) -> list[str]:
+    """Place of each token: a page's own marks are a feature of its tokens."""
+    if not any(k == "article" for k, _, _ in found):
+        return ["blind"] * len(found)
+    out, depth = [], 0
+    for kind, _, _ in found:
+        depth += kind == "article"
+        out.append("in" if depth else "out")
+        depth -= kind == "/article"
+    return out
 
 
-_WEIGHTS: dict[str, float] | None = None
+def count_features(found: list[tuple[str, str, bool]], label: list[bool]) -> Counter:
+    """Tokens by (class, place, content or not); words by their number. A page that marks its article also counts as one that marks none."""
+    out: Counter = Counter()
+    for (kind, text, _), place, content in zip(found, places(found), label):
+        n = len(text.split()) if kind in _WORDS else 1
+        kind = "tag" if kind in ("article", "/article", "raw") else kind
+        out[kind, place, content] += n
+        if place != "blind":
+            out[kind, "blind", content] += n
+    return out
 
 
-def extract(page: str, weights: dict[str, float] | None = None) -> list[str]:
-    """Blocks of the main text of a page, in page order."""
+def composed_counts() -> Counter:
+    out: Counter = Counter()
+    for found, label in labelled_pages():
+        out.update(count_features(found, label))
+    return out
+
+
+def weights_of(counts: Counter) -> dict[tuple[str, str], float]:
+    """Weight of each (class, place): log odds of content, smoothed.
+
+    Words of the text are above 0 on pages without a mark, tags below 0 everywhere (that is what ends a run); other matter inside a marked article
+    is 0, as it is left out of the text wherever it stands and must not part two halves of it.
+    """
+    out = {}
+    for place in PLACES:
+        yes = sum(n for (_, p, c), n in counts.items() if p == place and c)
+        no = sum(n for (_, p, c), n in counts.items() if p == place and not c)
+        prior = math.log((yes + 1) / (no + 1))
+        for kind in (*_WORDS, "tag", "skip"):
+            odds = math.log((counts[kind, place, True] + 1) / (counts[kind, place, False] + 1))
+            if place == "blind":
+                odds -= prior  # how much of a page is content says nothing about one of its tokens
+            out[kind, place] = max(-4.0, min(4.0, odds))
+    out["word", "blind"] = max(out["word", "blind"], 0.1)
+    out["tag", "blind"] = min(out["tag", "blind"], -0.5)
+    out["tag", "out"] = min(out["tag", "out"], -0.5)
+    out["tag", "in"] = min(out["tag", "in"], -1e-6)
+    for place in PLACES:
+        out["skip", place] = 0.0
+    out["other", "in"] = 0.0
+    return out
+
+
+def fit_weights(pages: DataFrame | None = None, html: str = "html", limit: int = LABELLED_PAGES) -> dict[tuple[str, str], float]:
+    """Weights from labelled pages: composed ones, and about `limit` at most of `pages`, chosen by a hash of the page.
+
+    A page that marks its article (by an element, or a class or role of its body) labels itself: its tokens are content inside the mark. Counted on the executors;
+    one row per class, place and label reaches the driver. Pages without a mark teach nothing.
+    """
+    counts = composed_counts()
+    if pages is not None:
+        total = pages.count()
+        share = min(1.0, limit / max(1, total))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            own: Counter = Counter()
+            for batch in batches:
+                for page in batch.column(0):
+                    found = tokens(page.as_py())
+                    where = places(found)
+                    if "in" in where:
+                        own.update(count_features(found, [w == "in" for w in where]))
+            rows = list(own.items())
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([k[0] for k, _ in rows], pa.string()), pa.array([k[1] for k, _ in rows], pa.string()), pa.array([k[2] for k, _ in rows], pa.bool_()), pa.array([n for _, n in rows], pa.int64())],
+                names=["kind", "place", "content", "n"],
+            )
+
+        some = pages.select(html).where(F.col(html).isNotNull() & (F.pmod(F.xxhash64(html), F.lit(1 << 20)) < F.lit(math.ceil(share * (1 << 20)))))
+        for r in some.mapInArrow(run, "kind string, place string, content boolean, n long").groupBy("kind", "place", "content").agg(F.sum("n").alias("n")).collect():
+            counts[r["kind"], r["place"], r["content"]] += r["n"]
+    return weights_of(counts)
+
+
+def token_scores(found: list[tuple[str, str, bool]], weights: dict[tuple[str, str], float]) -> list[float]:
+    """Score of each token: words by number and weight, tags and marks by theirs."""
+    out = []
+    for (kind, text, _), place in zip(found, places(found)):
+        if kind in _WORDS:
+            out.append(len(text.split()) * weights[kind, place])
+        else:
+            out.append(weights["skip" if kind == "skip" else "tag", place])
+    return out
+
+
+_WEIGHTS: dict[tuple[str, str], float] | None = None
+
+
+def extract(page: str, weights: dict[tuple[str, str], float] | None = None) -> list[str]:
+    """Blocks of the main text of a page, in page order: the maximum-scoring run of its tokens without the other matter inside."""
     global _WEIGHTS
     if weights is None:
         _WEIGHTS = weights = _WEIGHTS or fit_weights()
     found = tokens(page)
-    marked = any(k == "article" for k, _, _ in found)
-    scores, depth = [], 0
-    for kind, text, _ in found:
-        depth += (kind == "article") - (kind == "/article")
-        if kind in ("word", "link", "other"):
-            n = len(text.split())
-            # Where a page marks its article, words outside count as other matter and no link or tag inside can end it.
-            s = n * weights["other" if marked and depth <= 0 else "word" if marked and kind == "link" else kind]
-            if kind == "other" and (not marked or depth > 0):
-                s = 0.0  # left out of the text wherever it stands, so it must not part two halves of an article
-        else:
-            s = 0.0 if marked and depth > 0 or kind == "skip" else min(weights["tag"], -0.5)
-        scores.append(s)
-    a, b = best_run(scores)
-    if not marked:
+    a, b = best_run(token_scores(found, weights))
+    if not any(k == "article" for k, _, _ in found):
         while a and found[a - 1][0] != "other" and not (found[a - 1][0] in ("word", "link") and found[a - 1][1].strip()):
             a -= 1
     blocks, current = [], []
@@ -265,11 +382,12 @@ def extract_pages(df: DataFrame, html: str = "html", to: str = "text") -> DataFr
     """df without its html, with `to`: the main text, blocks joined by an empty line.
 
     Null or empty html, and pages without article text, give the empty text. Pages are independent: repeated rows
-    stay, no row is dropped, an empty df gives an empty result. A column of df named like `to` is replaced.
+    stay, no row is dropped, an empty df gives an empty result. A column of df named like `to` is replaced. The weights are
+    fitted on composed pages and on pages of df that mark their article (see fit_weights).
     """
     names = [c for c in fresh(df, to).columns if c != html]
     schema = df.select(*names, F.lit("").alias(to)).schema
-    weights = fit_weights()
+    weights = fit_weights(df, html)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -79,6 +79,58 @@ def test_html_names_inside_the_article():
     assert html_text.extract(f"<body>{plain}</body>") == [words(20, i) for i in range(4)]
 
 
+def test_html_marks_are_balanced():
+    a, b, c = (words(20, i) for i in range(3))
+    say = html_text.extract
+    assert say(f"<main><p>{a}</p><article class='related'><p>teaser</p></article><p>{b}</p><p>{c}</p></main>") == [a, b, c]
+    assert say(f"<article><p>{a}</p><article class='promo'><p>teaser</p></article><p>{b}</p></article><p>after</p>") == [a, b]
+    assert say(f"<main><div class='entry-content'><p>{a}</p></div></main><div>box</div>") == [a]
+    assert say(f"<div class='post-content'><p>{a}</p></div><div>box</div>") == [a]
+    assert say(f"<article class='story ad-free'><p>{a}</p></article>") == [a]
+    assert say(f"<div class='discussion-paper'><p>{a}</p></div>") == [a]
+    assert say(f"<article><p>one <label>two</label> three {a}</p></article>") == [f"one two three {a}"]
+
+
+def test_html_run_over_whole_pages():
+    weights = html_text.fit_weights()
+    for k, (found, _) in enumerate(html_text.labelled_pages(40, seed=23)):
+        scores = html_text.token_scores(found, weights)
+        a, b = html_text.best_run(scores)
+        sums = np.concatenate(([0.0], np.cumsum(scores)))
+        best = max(float(sums[j + 1 :].max() - sums[j]) for j in range(len(scores)))
+        assert sums[b] - sums[a] == pytest.approx(max(best, 0.0)), k
+
+
+def test_html_weights_are_learned(spark):
+    pages = [(f"<body><nav><a href=1>{words(9, i)}</a></nav><article><p>{words(40, i)}</p></article><div>{words(9, -i)}</div></body>",) for i in range(30)] + [(None,), ("",), ("no mark",)]
+    learned = html_text.fit_weights(spark.createDataFrame(pages, "html string"))
+    counts = html_text.composed_counts()
+    for (page,) in pages[:30]:
+        found = html_text.tokens(page)
+        counts.update(html_text.count_features(found, [w == "in" for w in html_text.places(found)]))
+    assert learned == html_text.weights_of(counts) != html_text.fit_weights()
+    assert learned["word", "in"] > 0 > learned["word", "out"] and learned["tag", "blind"] < 0 < learned["word", "blind"]
+
+
+@pytest.mark.parametrize("unit", ["<b>{}</b>", "<i>{}<p>", "<b>{}<div class='x'>{}</b>", "<a <", "<div class=class=>", "<article>{}", "<p class='main"])
+def test_html_time_is_linear(unit):
+    import time
+
+    def seconds(n):
+        start = time.perf_counter()
+        html_text.extract("".join(part * n for part in unit.split("{}")))
+        return time.perf_counter() - start
+
+    seconds(500)
+    assert min(seconds(24_000) for _ in range(2)) < 8 * min(seconds(6_000) for _ in range(3)) + 0.1
+
+
+def test_html_long_and_clashing(spark):
+    long = words(200_000, 8)
+    df = spark.createDataFrame([(1, "x", f"<article><p>{long}</p></article>", 5)], "page_id long, text string, html string, n_chars long")
+    assert [(r["text"], r["n_chars"]) for r in html_text.extract_pages(df).collect()] == [(long, 5)]
+
+
 def test_html_empty_table(spark):
     assert html_text.extract_pages(spark.createDataFrame([], "page_id long, html string")).collect() == []
 
