@@ -48,6 +48,7 @@ def _letter_classes() -> np.ndarray:
 
 
 _CLASSES: np.ndarray | None = None
+_CODES: np.ndarray | None = None
 N_GRAMS = 1 << 18
 
 
@@ -60,6 +61,14 @@ def classes(text: str) -> np.ndarray:
     return _CLASSES[codes]
 
 
+def letter_codes(text: str) -> np.ndarray:
+    """Lower-case code point of each letter of text; 0 for what is no letter."""
+    global _CODES
+    if _CODES is None:
+        _CODES = np.array([ord(chr(cp).lower()[0]) if chr(cp).isalpha() else 0 for cp in range(sys.maxunicode + 1)], np.uint32)
+    return _CODES[np.frombuffer(text.encode("utf-32-le", "replace"), dtype="<u4")]
+
+
 def trigrams(cls: np.ndarray) -> np.ndarray:
     """18-bit codes of consecutive letter-class triples, as long as cls (padded by non-letters in front)."""
     c = cls.astype(np.int32)

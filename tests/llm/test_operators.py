@@ -228,17 +228,106 @@ def test_language_held_out(spark):
 
 
 def test_language_beyond_the_bmp():
-    counts = np.ones((1, language.N_GRAMS))
-    model = language.Model(["aa"], counts)
+    model = language.Model(["aa"], (np.zeros(1, np.int64), np.zeros(1, np.int64), np.ones(1)))
     emoji = "\U0001f600\U0001f680 \U0001f44d\U0001f3fd \U0001f1e9\U0001f1ea"
-    assert language.mixtures(model, [emoji])[0] == ("und", 0.0, {})
+    assert language.mixtures(model, [emoji, " 12 3", "x"]) == [("und", 0.0, {})] * 2 + language.mixtures(model, ["x"])
     assert not common.classes(emoji).any() and common.classes("\U0010ffff").tolist() == [0]
-    letters = common.classes("\U00010330\U00010331\U00020000")  # Gothic and Han letters keep their own classes
-    assert (letters >= 27).all() and len(set(letters.tolist())) > 1
+    letters = common.letter_codes("\U00010330\u0416\U00020000Z\u00c9 1")  # scripts keep their letters, lower-cased
+    assert letters.tolist() == [0x10330, 0x436, 0x20000, ord("z"), 0xE9, 0, 0]
     assert common.classes("\U00010400").tolist() == common.classes("\U00010428").tolist()
     assert language.mixtures(model, ["\U00010330\U00010331"])[0][0] == "aa"
 
 
+def slow_mixture(model_counts, text, segment=80, penalty=6.0, rounds=12, smooth=0.5):
+    """One text, plain Python floats: segments, EM, backward elimination."""
+    import math
+
+    codes = [0, 0] + [ord(ch.lower()[0]) if ch.isalpha() else 0 for ch in text]
+    if not any(codes):
+        return "und", 0.0, set()
+    g = language.grams(np.array(codes, np.uint32)).tolist()
+    names = sorted(model_counts)
+    seen = len({x for c in model_counts.values() for x in c})
+    logp = {n: lambda x, c=model_counts[n], t=sum(model_counts[n].values()): math.log((c.get(x, 0) + smooth) / (t + smooth * seen)) for n in names}
+    many = max(1, (len(text) + 2) // segment)
+    cuts = [k * segment for k in range(many)] + [len(text)]
+    ll = [[sum(logp[n](g[i]) for i in range(a, b) if codes[i + 2]) for n in names] for a, b in zip(cuts, cuts[1:])]
+
+    def em(on):
+        share = {k: 1 / len(on) for k in on}
+        rel = [{k: math.exp(row[k] - max(row[j] for j in on)) for k in on} for row in ll]
+        for _ in range(rounds):
+            new = dict.fromkeys(on, 0.0)
+            for r in rel:
+                z = sum(r[k] * share[k] for k in on)
+                for k in on:
+                    new[k] += r[k] * share[k] / z / many
+            share = new
+        return share, sum(math.log(max(sum(r[k] * share[k] for k in on), 1e-300)) + max(row[j] for j in on) for r, row in zip(rel, ll))
+
+    on = list(range(len(names)))
+    share, total = em(on)
+    while len(on) > 1:
+        fewer = [k for k in on if k != min(on, key=lambda k: (share[k], k))]
+        s, t = em(fewer)
+        if t + penalty < total:
+            break
+        on, share, total = fewer, s, t
+    k = max(on, key=lambda k: (share[k], -k))
+    return names[k], share[k], {names[j] for j in on}
+
+
+def test_language_against_brute_force(spark, monkeypatch):
+    rng = random.Random(8)
+    syllables = {"aa": ["ka", "to", "mi", "re"], "bb": ["schu", "ver", "pf", "\u00fcng"], "cc": ["\u0436\u0430", "\u0442\u043e", "\U00010330", "re"]}
+    make = lambda name, n: " ".join("".join(rng.choices(syllables[name], k=rng.randint(1, 4))) for _ in range(n))
+    train = [(make(n, rng.randint(1, 60)), n) for n in rng.choices([*syllables], k=40)]
+    counts = {n: Counter() for n in syllables}
+    for text, name in train:
+        codes = common.letter_codes(text)
+        both = np.concatenate((np.zeros(2, np.uint32), codes))
+        counts[name].update(language.grams(both)[codes > 0].tolist())
+    texts = [None, "", "1 2", *[" ".join(make(n, rng.randint(1, 80)) for n in rng.choices([*syllables], k=rng.randint(1, 3))) for _ in range(40)], make("aa", 900) + make("cc", 700)]
+    expect = [slow_mixture(counts, t or "") for t in texts]
+    # Blocks far smaller than the texts: short and long texts, and the counting, must not depend on them.
+    for block, rows in ((1 << 20, 1 << 16), (97, 3)):
+        monkeypatch.setattr(language, "ROWS", rows)
+        monkeypatch.setattr(language, "BLOCK", block)
+        monkeypatch.setattr(language.decoded, "__defaults__", (block,))
+        monkeypatch.setattr(language._blocks, "__defaults__", (block,))
+        model = language.train(spark.createDataFrame(train, "text string, lang string"))
+        for dense in (64, 0):
+            triples = [(k, g, n) for k, name in enumerate(sorted(counts)) for g, n in counts[name].items()]
+            own = language.Model(sorted(counts), tuple(np.array(x) for x in zip(*triples)), dense=dense)
+            if dense:
+                assert np.allclose(own.logp, model.logp)
+            got = language.mixtures(own, texts)
+            for (name, score, found), (a, b, c) in zip(got, expect):
+                assert (name, set(found)) == (a, c) and score == pytest.approx(b, abs=1e-3)
+
+
+def test_language_counts_long_texts(spark, monkeypatch):
+    long = words(3_000, 3)
+    df = spark.createDataFrame([(long, "aa"), ("x", "aa")], "text string, lang string")
+    codes = [common.letter_codes(t) for t in (long, "x")]
+    expect = sum((Counter(language.grams(np.concatenate((np.zeros(2, np.uint32), c)))[c > 0].tolist()) for c in codes), Counter())
+    assert Counter({r["gram"]: r["n"] for r in language.count_trigrams(df).collect()}) == expect
+    parts = [*language.decoded(long.encode(), 101)]
+    assert len(parts) > 100 and np.array_equal(np.concatenate(parts), codes[0])
+
+
+def test_language_many_languages():
+    rng = np.random.default_rng(1)
+    names = [f"l{i:03}" for i in range(150)]
+    texts = ["".join(chr(0x4E00 + 40 * i + int(x)) if x < 30 else " " for x in rng.integers(0, 40, 300)) for i in range(150)]
+    triples = []
+    for k, t in enumerate(texts):
+        codes = common.letter_codes(t)
+        triples += [(k, g, n) for g, n in Counter(language.grams(np.concatenate((np.zeros(2, np.uint32), codes)))[codes > 0].tolist()).items()]
+    model = language.Model(names, tuple(np.array(x) for x in zip(*triples)))
+    assert model.logp is None and [x[0] for x in language.mixtures(model, texts)] == names
+
+
 def test_language_empty(spark):
     empty = spark.createDataFrame([], "doc_id long, text string, lang string")
     model = language.train(empty)
