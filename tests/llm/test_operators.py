@@ -338,24 +338,51 @@ def test_language_empty(spark):
 # op5
 
 
-def test_knn_against_brute_force(spark):
+def slow_knn(ids, whole, queries, k):
+    out, ints = [], [[int(x) for x in row] for row in whole]
+    for q in queries:
+        s = [sum(a * b for a, b in zip(ints[q], row)) for row in ints]
+        order = sorted((i for i in range(len(ids)) if ids[i] != ids[q]), key=lambda i: (-s[i], ids[i]))[:k]
+        out += [(ids[q], r + 1, ids[i], s[i]) for r, i in enumerate(order)]
+    return sorted(out)
+
+
+@pytest.mark.parametrize("block, part", [(16, 64), (3, 7), (8_192, 524_288)])
+def test_knn_against_brute_force(spark, monkeypatch, block, part):
     rng = np.random.default_rng(5)
     v = np.concatenate([rng.normal(size=(150, 8)), np.repeat(rng.normal(size=(1, 8)), 80, axis=0), rng.normal(size=(40, 8)) * 5])
-    rows = [(i, [float(x) for x in r]) for i, r in enumerate(v)] + [(1000, None), (1001, [None] + [0.0] * 7), (1002, [float("nan")] * 8), (1003, [float("inf")] * 8), (None, [1.0] * 8)]
-    data = knn.integer_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>"))
-    old = knn.QUERY_BLOCK, knn.DATA_SLICE
-    knn.QUERY_BLOCK, knn.DATA_SLICE = 16, 64
+    ids = [*range(len(v) - 20), *[7] * 20]  # an id repeated
+    rows = [(i, [float(x) for x in r], "x") for i, r in zip(ids, v)] + [(1000, None, "x"), (1001, [None] + [0.0] * 7, "x"), (1002, [float("nan")] * 8, "x"), (1003, [float("inf")] * 8, "x"), (None, [1.0] * 8, "x"), (1004, [1.0], "x")]
+    data = knn.integer_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>, v string"))
+    monkeypatch.setattr(knn, "QUERY_BLOCK", block)
+    monkeypatch.setattr(knn, "DATA_SLICE", part)
+    got = sorted(tuple(r) for r in knn.top_k(data.where("id % 3 = 0"), data, k=7).collect())
+    whole = np.floor(64 * v.astype(np.float32).astype(np.float64))
+    assert got == slow_knn(ids, whole, [i for i in range(len(v)) if ids[i] % 3 == 0], 7)
+
+
+def test_knn_large_numbers(spark):
+    rng = np.random.default_rng(6)
+    v = np.concatenate([np.floor(rng.normal(size=(40, 4)) * 3e8), np.floor(rng.normal(size=(10, 4)) * 100)])
+    rows = spark.createDataFrame([(i, [float(x) for x in r]) for i, r in enumerate(v)], "id long, v array<double>")
+    assert sorted(tuple(r) for r in knn.top_k(rows.where("id % 2 = 0"), rows, k=5).collect()) == slow_knn(list(range(50)), v, range(0, 50, 2), 5)
+    whole = knn.integer_vectors(spark.createDataFrame([(1, [1e30, -0.01, -1.5])], "vec_id long, embedding array<double>")).first()["v"]
+    assert whole == [64e30, -1.0, -96.0]
+
+
+def test_knn_clusters_prune(spark):
+    rng = np.random.default_rng(7)
+    centres = rng.normal(size=(12, 16)) * 400
+    v = np.floor(np.repeat(centres, 250, axis=0) + rng.normal(size=(3000, 16)))
+    rows = spark.createDataFrame([(i, [float(x) for x in r]) for i, r in enumerate(v)], "id long, v array<double>")
+    old, report = knn.QUERY_BLOCK, {}
+    knn.QUERY_BLOCK = 13
     try:
-        got = sorted(tuple(r) for r in knn.top_k(data.where("id % 3 = 0"), data, k=7).collect())
+        got = sorted(tuple(r) for r in knn.top_k(rows.where("id % 20 = 0"), rows, k=5, report=report).collect())
     finally:
-        knn.QUERY_BLOCK, knn.DATA_SLICE = old
-    whole = np.floor(64 * v.astype(np.float32).astype(np.float64))
-    expect = []
-    for q in range(0, len(v), 3):
-        s = whole @ whole[q]
-        order = sorted((i for i in range(len(v)) if i != q), key=lambda i: (-s[i], i))[:7]
-        expect += [(q, r + 1, i, int(s[i])) for r, i in enumerate(order)]
-    assert got == sorted(expect)
+        knn.QUERY_BLOCK = old
+    assert got == slow_knn(list(range(3000)), v.astype(int), range(0, 3000, 20), 5)
+    assert report["groups"] >= 12 and report["replication"] < report["groups"] / 3
 
 
 def test_knn_few_and_none(spark):
