@@ -13,18 +13,16 @@ def _state(edges: DataFrame):
     return row[0], row[1]
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
+def connected_components(edges: DataFrame) -> DataFrame:
     """edges (a, b) of any one ordered type -> (node, root), root the smallest node of the component.
 
     Self loops, repeated and reversed edges and null ends (dropped) are allowed; an empty table gives an empty one. Each round is two
-    aggregates and two joins; minima combine before the shuffle, so a hub's edges never meet in one task.
+    aggregates and two joins; minima combine before the shuffle, so a hub's edges never meet in one task. Rounds go on until nothing changes (about the log of the longest path).
     """
     pairs = edges.where("a IS NOT NULL AND b IS NOT NULL AND a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     now = materialize(pairs.distinct(), "edges")
     state, first = _state(now), now
-    for _ in range(max_rounds):
-        if not state[0]:
-            break
+    while state[0]:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         large = both.join(low, "a").where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()

@@ -6,7 +6,8 @@ pruned as a whole. Differences accumulate downwards, as the masks widen, until l
 
 The uppermost nodes are spread over the cluster: max_diff + 1 disjoint masks cut the 64 bits, and two fingerprints that
 differ in at most max_diff bits agree on at least one of them, so each link lies below a node with a shared pattern.
-A node with too many fingerprints is cut again by other masks (the same argument), and in the end into pairs of slices.
+A node with too many fingerprints is cut again by other masks (the same argument) or into ranges of Gray ranks. Each range is summed up by its mask and
+pattern, the same tree is built over the ranges, and only pairs of ranges that it doesn't prune are sent to a task together.
 """
 
 from __future__ import annotations
@@ -24,8 +25,10 @@ from ledgerlens.llm.components import connected_components
 
 #: Fingerprints below one node that one task solves; above it the node is cut.
 LEAF = 1024
-#: Nodes above this are cut by further masks, those between LEAF and this into pairs of slices.
+#: Nodes above this are cut by further masks, those between LEAF and this into ranges of Gray ranks.
 NODE = 65_536
+#: Most ranges of one node.
+RANGES = 128
 
 
 def fingerprint(text: bytes, k: int = 3, seed: int = 42) -> int:
@@ -88,33 +91,52 @@ def _close(left: np.ndarray, right: np.ndarray, max_diff: int) -> np.ndarray:
     return np.bitwise_count(left ^ right) <= max_diff
 
 
-def close_pairs(f: np.ndarray, max_diff: int = 3, fan: int = 16) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Index pairs of f (uint64 in Gray order) within max_diff bits, by descending a tree of shared bit patterns."""
-    n = len(f)
-    levels, both, any_ = [], f, f
-    while len(both) > fan:
-        at = np.arange(0, len(both), fan)
-        both, any_ = np.bitwise_and.reduceat(both, at), np.bitwise_or.reduceat(any_, at)
-        levels.append((both, ~(both ^ any_)))
-    i, j = np.triu_indices(len(both))
+def tree(pattern: np.ndarray, mask: np.ndarray, fan: int = 16) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Levels of nodes (pattern, mask of shared bits) over leaves in Gray order, leaves first; a node holds the bits that its children share."""
+    levels = [(pattern & mask, mask)]
+    while len(levels[-1][0]) > fan:
+        p, m = levels[-1]
+        at = np.arange(0, len(p), fan)
+        both = np.bitwise_and.reduceat(p, at)
+        shared = np.bitwise_and.reduceat(m, at) & ~(both ^ np.bitwise_or.reduceat(p, at))
+        levels.append((both & shared, shared))
+    return levels
+
+
+def descend(levels: list[tuple[np.ndarray, np.ndarray]], max_diff: int = 3, fan: int = 16, seen: list[list[int]] | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Leaf pairs (i <= j) whose shared bits differ in at most max_diff places. A pair of nodes that differs in more is pruned with all below it.
+
+    seen, if given, counts per level, leaves first, the node pairs looked at and those kept.
+    """
     spread = np.arange(fan)
 
-    def descend(i, j, depth):
-        if depth < 0:
-            keep = (i < j) & _close(f[i], f[j], max_diff)
-            yield i[keep], j[keep]
-            return
+    def down(i: np.ndarray, j: np.ndarray, depth: int):
         pattern, mask = levels[depth]
         keep = np.bitwise_count((pattern[i] ^ pattern[j]) & mask[i] & mask[j]) <= max_diff
+        if seen is not None:
+            seen[depth][0] += len(i)
+            seen[depth][1] += int(keep.sum())
         i, j = i[keep], j[keep]
-        size = n if depth == 0 else len(levels[depth - 1][0])
+        if not depth:
+            yield i, j
+            return
+        size = len(levels[depth - 1][0])
         for s in range(0, len(i), 4096):
             a = np.repeat((i[s : s + 4096, None] * fan + spread)[:, :, None], fan, axis=2).ravel()
             b = np.repeat((j[s : s + 4096, None] * fan + spread)[:, None, :], fan, axis=1).ravel()
             keep = (a < size) & (b < size) & (a <= b)
-            yield from descend(a[keep], b[keep], depth - 1)
+            yield from down(a[keep], b[keep], depth - 1)
 
-    yield from descend(i, j, len(levels) - 1)
+    if seen is not None:
+        seen[:] = [[0, 0] for _ in levels]
+    if len(levels[0][0]):
+        yield from down(*np.triu_indices(len(levels[-1][0])), len(levels) - 1)
+
+
+def close_pairs(f: np.ndarray, max_diff: int = 3, fan: int = 16, seen: list | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs of f (uint64 in Gray order) within max_diff bits, by descending a tree of shared bit patterns."""
+    for i, j in descend(tree(f, np.full(len(f), (1 << 64) - 1, np.uint64), fan), max_diff, fan, seen):
+        yield i[i < j], j[i < j]
 
 
 def forest(n: int, i: np.ndarray, j: np.ndarray, label: np.ndarray | None = None) -> np.ndarray:
@@ -182,6 +204,34 @@ def _links(max_diff: int, small: int = 24):
     return run
 
 
+def _range_pairs(large: DataFrame, max_diff: int, leaf: int) -> DataFrame:
+    """(fp, node) below pairs of Gray ranges of large nodes (fp, node, n): only pairs that the tree over the ranges doesn't prune."""
+    rank = gray_rank(F.col("fp")).bitwiseXOR(F.lit(-(1 << 63)))  # unsigned order as a long
+    wanted = F.least(F.lit(RANGES), F.ceil(F.max("n") * 2 / F.lit(leaf))).cast("int")
+    cuts = F.percentile_approx("rank", [(i + 1) / RANGES for i in range(RANGES - 1)], 1_000)
+    rows = large.withColumn("rank", rank)
+    bounds = materialize(rows.groupBy("node").agg(cuts.alias("cuts"), wanted.alias("wanted")), "bounds")
+    place = F.size(F.filter("cuts", lambda c: c <= F.col("rank"))) * F.col("wanted") / F.lit(RANGES)
+    sliced = materialize(rows.join(bounds, "node").select("fp", "node", F.floor(place).cast("int").alias("slice")), "ranges")
+    summary = sliced.groupBy("node", "slice").agg(F.bit_and("fp").alias("low"), F.bit_or("fp").alias("high"))
+
+    def prune(table: pa.Table) -> pa.Table:
+        table = table.sort_by("slice")
+        low, high = (table.column(c).to_numpy().view(np.uint64) for c in ("low", "high"))
+        found = [np.stack(x) for x in descend(tree(low, ~(low ^ high)), max_diff)]
+        pairs = np.concatenate(found, axis=1) if found else np.zeros((2, 0), np.int64)
+        apart = pairs[0] != pairs[1]
+        paired = np.isin(pairs[0], pairs[:, apart])  # a range in any pair with another needs no task of its own
+        pairs = pairs[:, apart | ~paired]
+        slices = table.column("slice").to_numpy()
+        node = np.full(pairs.shape[1], table.column("node")[0].as_py(), np.int64)
+        return pa.table({"node": node, "one": slices[pairs[0]].astype(np.int32), "two": slices[pairs[1]].astype(np.int32)})
+
+    pairs = summary.groupBy("node").applyInArrow(prune, "node long, one int, two int")
+    ends = pairs.withColumn("slice", F.explode(F.array_distinct(F.array("one", "two"))))
+    return sliced.join(ends, ["node", "slice"]).select("fp", F.xxhash64("node", "one", "two").alias("node"))
+
+
 def link_fingerprints(fps: DataFrame, max_diff: int = 3, leaf: int = LEAF, node: int = NODE) -> DataFrame:
     """Links (a, b) between distinct fingerprints `fp` that connect exactly what differs by at most max_diff bits.
 
@@ -199,15 +249,8 @@ def link_fingerprints(fps: DataFrame, max_diff: int = 3, leaf: int = LEAF, node:
             cells, now = now.select("fp", "node"), None
         else:
             marked = now.join(large, "node", "left")
-            slices = F.ceil(F.col("n") * 2 / F.lit(leaf)).cast("int")
             cut = F.col("n") > leaf if level == 2 else F.col("n").between(leaf + 1, node)
-            own = F.pmod(F.xxhash64("fp"), F.col("slices"))
-            pairs = (
-                marked.where(cut).withColumn("slices", slices).withColumn("own", own)
-                .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)))
-                .select("fp", F.xxhash64("node", F.least("own", "other"), F.greatest("own", "other")).alias("node"))
-            )
-            cells = marked.where("n IS NULL").select("fp", "node").unionByName(pairs)
+            cells = marked.where("n IS NULL").select("fp", "node").unionByName(_range_pairs(marked.where(cut), max_diff, leaf))
             rest = marked.where(F.col("n") > node) if level < 2 else None
             now = rest.select("fp", "node") if rest is not None and not large.where(F.col("n") > node).isEmpty() else None
         solved = cells if solved is None else solved.unionByName(cells)
@@ -240,15 +283,18 @@ def near_duplicates(df: DataFrame, ids: str = "doc_id", text: str = "text", k: i
 
 
 def keep_one(df: DataFrame, ids: str = "doc_id", text: str = "text", k: int = 3, max_diff: int = 3) -> DataFrame:
-    """df with one row of each linked set: the one of the smallest id (null ids last, then the smallest hash of the row)."""
+    """df with one row of each linked set: the one of the smallest id (null ids last, then the smallest hash of the row).
+
+    Null and empty texts are one set with all others of fingerprint zero. Rows equal in every column become one before anything is
+    joined, with partial aggregates, so that no task gets all copies. Columns keep their names and values; an empty df gives an empty result.
+    """
     names = df.columns
     keyed = df.withColumn("__h", F.xxhash64(*names)).withColumn("__g", F.xxhash64(F.lit(1), *names))
-    rows = materialize(fingerprints(keyed.select(F.col(ids), "__h", "__g", F.col(text).alias("text")), "text", k), "fp")
-    first = F.min(F.struct(F.col(ids).isNull().alias("n"), F.col(ids).alias("i"), F.col("__h").alias("h"), F.col("__g").alias("g")))
-    keep = groups(rows, ids, max_diff).groupBy("root").agg(first.alias("x")).select(F.col("x.h").alias("__h"), F.col("x.g").alias("__g"))
-    copy = Window.partitionBy("__h", "__g").orderBy("__h")
-    found = keyed.join(materialize(keep, "keep"), ["__h", "__g"]).withColumn("__n", F.row_number().over(copy))
-    return found.where("__n = 1").select(*names)
+    rows = materialize(fingerprints(keyed.select(F.col(ids).alias("__id"), "__h", "__g", F.col(text).alias("__text")), "__text", k), "fp")
+    first = F.min(F.struct(F.col("__id").isNull().alias("n"), F.col("__id").alias("i"), F.col("__h").alias("h"), F.col("__g").alias("g")))
+    keep = groups(rows, "__id", max_diff).groupBy("root").agg(first.alias("x")).select(F.col("x.h").alias("__h"), F.col("x.g").alias("__g"))
+    one = keyed.dropDuplicates(["__h", "__g"])
+    return one.join(materialize(keep, "keep"), ["__h", "__g"], "left_semi").select(*names)
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -500,6 +500,35 @@ def test_close_pairs_is_complete():
         assert got == {(i, j) for i in range(n) for j in range(i + 1, n) if bin(int(f[i] ^ f[j])).count("1") <= 3}
 
 
+def test_tree_prunes_whole_groups():
+    rng = np.random.default_rng(3)
+    f = rng.integers(0, 1 << 63, 20_000, dtype=np.uint64) * np.uint64(2) + rng.integers(0, 2, 20_000, dtype=np.uint64)
+    f[1::50] = f[::50] ^ np.uint64(1 << 40)
+    g = f.copy()
+    for s in (1, 2, 4, 8, 16, 32):
+        g ^= g >> np.uint64(s)
+    f = f[np.argsort(g)]
+    seen = []
+    got = sum(len(i) for i, _ in simhash.close_pairs(f, seen=seen))
+    assert got >= 400
+    leaves = [20_000 // 16**d for d in range(len(seen))]
+    for (looked, kept), n in zip(seen, leaves):
+        assert kept <= looked
+    # Of all pairs of fingerprints few are ever compared: their groups were pruned above.
+    assert seen[0][0] < 0.5 * 20_000**2 / 2
+
+
+def test_keep_one_hot_rows_and_names(spark):
+    text = words(30, 1)
+    rows = [(5, text, "en", "s", 1)] * 400 + [(None, text, None, None, None), (5, text, "de", "s", 2), (7, words(30, 2), "en", None, 3)] + [(None, None, "x", "s", 0)] * 3 + [(None, "", "x", "s", 0)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, fp string, component string, root long")
+    got = simhash.keep_one(df).collect()
+    assert simhash.keep_one(df).columns == df.columns
+    assert sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in got) == [(False, 5), (False, 7), (True, 0)]
+    assert all(tuple(r) in rows for r in got)
+    assert Counter(tuple(r) for r in simhash.keep_one(df.repartition(7)).collect()) == Counter(tuple(r) for r in got)
+
+
 def test_near_duplicates_end_to_end(spark):
     rng = random.Random(7)
     rows = []
