@@ -14,8 +14,10 @@ from pyspark.sql import functions as F
 
 from ledgerlens.llm.common import fresh, load, materialize
 
-#: Most benchmark characters in one automaton (about 60 bytes of a worker's memory each); a larger benchmark is scanned for in blocks of this size.
+#: Most benchmark characters in one automaton (about 60 bytes of a worker's memory each); a larger benchmark is scanned for in blocks of whole items up to this size.
 BLOCK_CHARS = 4_000_000
+#: Most words in one automaton: each different one is a code point of its own, of which there are 1,112,063 without surrogates and 0.
+BLOCK_WORDS = 1_000_000
 #: ASCII bytes that are no letter and no digit become a space; A-Z become a-z; all other bytes stay.
 _TABLE = bytes(
     b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256)
@@ -80,28 +82,52 @@ class Windows:
         return len(parts), merged, names
 
 
-def offsets(text: str, spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+def offsets(text: str | bytes, spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """Character spans of the original text for word spans."""
-    raw = text.encode()
-    mapped = raw.translate(_TABLE)
-    space = np.frombuffer(b" " + mapped + b" ", np.uint8) == 32
+    if not spans:
+        return []
+    raw = text.encode() if isinstance(text, str) else text
+    space = np.frombuffer(b" " + raw.translate(_TABLE) + b" ", np.uint8) == 32
     starts, ends = np.flatnonzero(space[:-2] & ~space[1:-1]), np.flatnonzero(~space[1:-1] & space[2:]) + 1
-    return [(len(raw[: starts[a]].decode()), len(raw[: ends[b - 1]].decode())) for a, b in spans]
+    chars = np.r_[0, np.cumsum((np.frombuffer(raw, np.uint8) & 0xC0) != 0x80)]  # characters that begin before each byte
+    return [(int(chars[starts[a]]), int(chars[ends[b - 1]])) for a, b in spans]
+
+
+def blocks(items: Iterator[tuple[str | None, bytes]], width: int, chars: int = BLOCK_CHARS, most: int = BLOCK_WORDS) -> Iterator[list[tuple[str | None, bytes]]]:
+    """Items in blocks of at most `chars` bytes and `most` words. A longer item goes in pieces that overlap by width - 1 words, so no window is lost."""
+    own, size, count = [], 0, 0
+    for name, text in items:
+        parts = words(text)
+        pieces = [(text, len(parts))]
+        if len(text) > chars or len(parts) > most:
+            room = max(width, min(most, chars * len(parts) // max(len(text), 1)))
+            pieces = [(b" ".join(parts[a : a + room]), room) for a in range(0, max(1, len(parts) - width + 1), room - width + 1)]
+        for piece, n in pieces:
+            if own and (size + len(piece) > chars or count + n > most):
+                yield own
+                own, size, count = [], 0, 0
+            own.append((name, piece))
+            size, count = size + len(piece), count + n
+    if own:
+        yield own
 
 
 _BUILT: dict[tuple, Windows] = {}
 
-SCAN = "n_words long, spans array<struct<first:long,last:long>>, items array<string>"
+SCAN = "n_words long, spans array<struct<first:long,last:long,from:long,to:long>>, items array<string>"
 
 
 def _scan_block(df: DataFrame, text: str, items: list[tuple[str | None, bytes]], width: int) -> DataFrame:
-    """df with n_words, spans (merged hit word spans [first, last)) and items, by one automaton sent to every executor."""
+    """df with n_words, spans (merged hit word spans [first, last), and [from, to) in characters of the text) and items, by one automaton sent to every executor."""
     sent = df.sparkSession.sparkContext.broadcast(items)
     token = (hashlib.sha256(repr(items).encode()).hexdigest(), width)
     names = df.columns
     at = names.index(text)
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields] + [SCAN])
-    span = pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))
+    span = pa.list_(pa.struct([(x, pa.int64()) for x in ("first", "last", "from", "to")]))
+
+    def spans(text: bytes | None, found: list[tuple[int, int]]) -> list[dict]:
+        return [{"first": a, "last": b, "from": c, "to": d} for (a, b), (c, d) in zip(found, offsets(text or b"", found))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if token not in _BUILT:
@@ -109,10 +135,14 @@ def _scan_block(df: DataFrame, text: str, items: list[tuple[str | None, bytes]],
             _BUILT[token] = Windows(sent.value, width)
         windows = _BUILT[token]
         for batch in batches:
-            scans = [windows.scan(t.as_py() or b"") for t in batch.column(at).cast(pa.binary())]
+            scans, found = [], []
+            for t in batch.column(at).cast(pa.binary()):
+                raw = t.as_py()
+                scans.append(windows.scan(raw or b""))
+                found.append(spans(raw, scans[-1][1]))
             more = [
                 pa.array([n for n, _, _ in scans], pa.int64()),
-                pa.array([[{"first": a, "last": b} for a, b in s] for _, s, _ in scans], span),
+                pa.array(found, span),
                 pa.array([sorted(x) for _, _, x in scans], pa.list_(pa.string())),
             ]
             yield pa.RecordBatch.from_arrays([*batch.columns, *more], names=[*names, "n_words", "spans", "items"])
@@ -120,30 +150,28 @@ def _scan_block(df: DataFrame, text: str, items: list[tuple[str | None, bytes]],
     return df.mapInArrow(run, schema)
 
 
-def contaminated(df: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", width: int = 10, block: int = BLOCK_CHARS) -> DataFrame:
-    """df with `n_words`, `spans` (hit word spans, first to before last) and `items` (names with occurring windows).
+def contaminated(df: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", width: int = 10, block: int = BLOCK_CHARS, most: int = BLOCK_WORDS) -> DataFrame:
+    """df with `n_words`, `spans` (hit spans: words first to before last, characters of the original text from to before to) and `items` (names with occurring windows).
 
     A window is `width` consecutive words of an item, or the whole of a shorter item with words. Null and empty texts have
     no words; a null item text has no window; a null item name marks words but is not listed; repeated items and rows count once
     and stay repeated, respectively. Clashing columns of df are replaced. An empty df or benchmark gives no hits.
-    The benchmark is measured first: up to `block` characters it is one automaton, beyond that the texts are scanned once
+    Up to `block` bytes and `most` words the benchmark is one automaton and the texts are scanned once; beyond that they are scanned once
     for each block of that size and the blocks' hits are united.
     """
-    spark = df.sparkSession
     df = fresh(df, "n_words", "spans", "items")
-    items = benchmark.select(F.col(item).cast("string").alias("item"), F.col(item_text).alias("text")).where("text IS NOT NULL").distinct()
-    total = items.agg(F.sum(F.length("text"))).first()[0] or 0
-    pull = lambda x: [(r["item"], r["text"].encode()) for r in x.sort("item", "text").collect()]
-    if total <= block:
-        return _scan_block(df, text, pull(items), width)
+    items = benchmark.select(F.col(item).cast("string").alias("item"), F.col(item_text).alias("text")).where("text IS NOT NULL").distinct().sort("item", "text")
+    pieces = blocks(((r["item"], r["text"].encode()) for r in items.toLocalIterator()), width, block, most)
+    own, after = next(pieces, []), next(pieces, None)
+    if after is None:
+        return _scan_block(df, text, own, width)
     names = df.columns
-    count = int(total // block * 2 + 2)
     keyed = materialize(df.withColumn("__rid", F.monotonically_increasing_id()), "scan")
     hits = None
-    for b in range(count):
-        own = pull(items.where(F.pmod(F.xxhash64("item", "text"), F.lit(count)) == b))
-        found = materialize(_scan_block(keyed.select("__rid", text), text, own, width).drop(text), "hits")
+    while own:
+        found = materialize(_scan_block(keyed.select("__rid", F.col(text).alias("__text")), "__text", own, width).drop("__text"), "hits")
         hits = found if hits is None else hits.unionByName(found)
+        own, after = after, next(pieces, None)
     united = hits.groupBy("__rid").agg(
         F.max("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items")
     )
@@ -153,9 +181,10 @@ def contaminated(df: DataFrame, benchmark: DataFrame, text: str = "text", item:
 def _merge_spans(spans: str):
     """Union of word spans: sorted, and joined where they touch."""
     return F.expr(
-        f"""aggregate(array_sort({spans}), cast(array() AS array<struct<first:bigint,last:bigint>>), (done, s) ->
+        f"""aggregate(array_sort({spans}), cast(array() AS array<struct<first:bigint,last:bigint,from:bigint,to:bigint>>), (done, s) ->
         CASE WHEN size(done) > 0 AND s.first <= element_at(done, -1).last
-        THEN concat(slice(done, 1, size(done) - 1), array(named_struct('first', element_at(done, -1).first, 'last', greatest(element_at(done, -1).last, s.last))))
+        THEN concat(slice(done, 1, size(done) - 1), array(named_struct('first', element_at(done, -1).first, 'last', greatest(element_at(done, -1).last, s.last),
+            'from', element_at(done, -1).from, 'to', greatest(element_at(done, -1).to, s.to))))
         ELSE concat(done, array(s)) END)"""
     )
 

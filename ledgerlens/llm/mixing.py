@@ -11,6 +11,8 @@ from ledgerlens.llm.common import WORD, fresh, load, materialize
 
 #: Rows aimed at in one key range of one source.
 ROWS = 50_000
+#: Sources up to this many are put in order in one task; more are ranked in key ranges, with the same result.
+SOURCES = 200_000
 
 
 def n_words(text: Column) -> Column:
@@ -24,9 +26,13 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float
     at cap x its source's size and the excess goes to the others by weight. This is water filling: with sources
     sorted by cap / weight, the level is the largest of (total - caps before) / (weights from here on).
     """
-    order = Window.orderBy(F.col("source").asc_nulls_last())
-    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), F.pmod(F.row_number().over(order) - 1, F.lit(len(weights))) + 1)
-    table = sizes.withColumn("__w", weight).withColumn("__cap", F.col("source_size") * F.lit(cap))
+    sizes = materialize(sizes, "sources")
+    position = Window.orderBy(F.col("source").asc_nulls_last())
+    weight = lambda at: F.element_at(F.array(*[F.lit(float(w)) for w in weights]), F.pmod(at, F.lit(len(weights))).cast("int") + 1)
+    capped = F.col("source_size") * F.lit(cap)
+    if sizes.count() > SOURCES:
+        return _many_targets(sizes.withColumn("__cap", capped), weight, share)
+    table = sizes.withColumn("__w", weight(F.row_number().over(position) - 1)).withColumn("__cap", capped)
     level = Window.orderBy(F.col("__cap") / F.col("__w"), F.col("source").asc_nulls_last())
     everything = Window.partitionBy()
     table = (
@@ -38,23 +44,62 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float
     return table.select("source", "source_size", F.least("__cap", F.col("__level") * F.col("__w")).alias("target"))
 
 
-def mix(df: DataFrame, source: str = "source", text: str = "text", ids: tuple[str, ...] = ("doc_id",), weights=(3, 1, 2), share=1.5, cap=2.0, seed: str = "mix") -> DataFrame:
-    """df with `size`, `source_size`, `target`, `taken`, `epochs` and `part`.
-
-    A row's size is its number of words (null or empty text: 0). Rows of a source are put in the order of an md5 of
+def _many_targets(sizes: DataFrame, weight, share: float) -> DataFrame:
+    """The same without a task that holds all sources: ranks from key ranges and their counts, the level by raising it until no more sources stop at their caps."""
+    ranged = sizes.repartitionByRange(F.col("source").asc_nulls_last()).withColumn("__p", F.spark_partition_id())
+    ranged = materialize(ranged, "source-ranges")
+    before = ranged.groupBy("__p").agg(F.count("*").alias("__n"))
+    before = before.select("__p", (F.sum("__n").over(Window.orderBy("__p")) - F.col("__n")).alias("__before"))
+    inside = F.row_number().over(Window.partitionBy("__p").orderBy(F.col("source").asc_nulls_last()))
+    table = materialize(ranged.join(before, "__p").withColumn("__w", weight(F.col("__before") + inside - 1)), "source-weights")
+    total = float(table.agg(F.sum("source_size")).first()[0] or 0) * share
+    level, stopped = 0.0, -1
+    while True:
+        over = F.col("__cap") < F.lit(level) * F.col("__w")
+        caps, ws, n = table.agg(F.sum(F.when(over, F.col("__cap"))), F.sum(F.when(~over, F.col("__w"))), F.count(F.when(over, 1))).first()
+        if n == stopped or not ws:
+            break
+        level, stopped = (total - (caps or 0.0)) / ws, n
+    return table.select("source", "source_size", F.least("__cap", F.lit(level) * F.col("__w")).alias("target"))
+
+
+def _ranges(rows: DataFrame, digits: int) -> DataFrame:
+    """rows with `__range` (a key range in hash order) and `__rid`.
+
+    A range is a prefix of the key. Where a range is far above ROWS although the prefix is long enough, one key repeats: then the whole key, the size
+    and the stored row's partition cut it further, in the same order, so that no hot id meets in one task.
+    """
+    rows = rows.withColumn("__rid", F.monotonically_increasing_id())
+    rows = materialize(rows, "mix")
+    prefix = F.substring("__key", 1, digits)
+    crowded = materialize(rows.groupBy(F.col("__source").alias("__s"), prefix.alias("__p")).agg(F.count("*").alias("__n")).where(F.col("__n") > 8 * ROWS), "crowded")
+    if crowded.isEmpty():
+        return rows.withColumn("__range", prefix)
+    marked = rows.join(crowded, F.col("__source").eqNullSafe(F.col("__s")) & (prefix == F.col("__p")), "left")
+    width = lambda c, n: F.lpad(c.cast("string"), n, "0")
+    finer = F.concat(F.col("__key"), F.lit(":"), F.coalesce(F.col("__ids"), F.lit("")), F.lit(":"), width(F.col("size"), 19), width(F.shiftright("__rid", 33), 10))
+    return marked.withColumn("__range", F.when(F.col("__n").isNotNull(), finer).otherwise(prefix)).drop("__s", "__p", "__n")
+
+
+def mix(df: DataFrame, source: str = "source", text: str = "text", ids: tuple[str, ...] = ("doc_id",), weights=(3, 1, 2), share=1.5, cap=2.0, seed: str = "mix", words: str | None = None) -> DataFrame:
+    """df with `size`, `source_size`, `target`, `taken`, `epochs`, `part` and `first_word`.
+
+    A row's size is its number of words (null or empty text: 0), or the column `words` if that is named. Rows of a source are put in the order of an md5 of
     the seed and the ids, then ids and size; the source's budget is its target rounded down. Whole epochs come first
     (`epochs` times every row), then the rows in order until the budget ends: `part` (0 to size) words of a row,
     cut inside the row at which it ends. taken = epochs x size + part. A null source is a source of its own; null ids count as
     the text `null`; equal rows are interchangeable; sources without words take nothing; an empty df gives an empty result.
-    Columns with the added names are replaced.
+    Columns with the added names are replaced. The rows are stored once with a row number.
     """
     added = ("size", "source_size", "target", "taken", "epochs", "part", "first_word")
     names = [c for c in fresh(df, *added).columns]
     key = F.md5(F.concat_ws(":", F.lit(seed), *[F.coalesce(F.col(i).cast("string"), F.lit("null")) for i in ids]))
-    keyed = df.select(*names, n_words(F.col(text)).alias("size"), key.alias("__key"))
-    narrow = keyed.select(F.col(source).alias("__source"), "size", "__key")
+    together = F.concat_ws("\x1f", *[F.coalesce(F.col(i).cast("string"), F.lit("")) for i in ids])
+    size = n_words(F.col(text)) if words is None else F.coalesce(F.col(words), F.lit(0)).cast("long")
+    keyed = df.select(*names, F.col(source).alias("__source"), size.alias("size"), key.alias("__key"), together.alias("__ids"))
     digits = max(2, math.ceil(math.log(max(1, df.count() / ROWS), 16)))
-    ranges = materialize(narrow.groupBy("__source", F.substring("__key", 1, digits).alias("__range")).agg(F.sum("size").alias("__size")), "mix")
+    rows = _ranges(keyed, digits)
+    ranges = materialize(rows.groupBy("__source", "__range").agg(F.sum("size").alias("__size")), "mix-ranges")
     goals = targets(ranges.groupBy(F.col("__source").alias("source")).agg(F.sum("__size").alias("source_size")), weights, share, cap)
     before = Window.partitionBy("__source").orderBy("__range").rowsBetween(Window.unboundedPreceding, 0)
     offsets = (
@@ -62,10 +107,9 @@ def mix(df: DataFrame, source: str = "source", text: str = "text", ids: tuple[st
         .join(goals.withColumnRenamed("source", "__goal"), F.col("__source").eqNullSafe(F.col("__goal")))
         .select(F.col("__source").alias("__s"), F.col("__range").alias("__r"), "__from", "source_size", "target")
     )
-    rows = keyed.withColumn("__range", F.substring("__key", 1, digits))
-    inside = Window.partitionBy(source, "__range").orderBy("__key", *ids, "size").rowsBetween(Window.unboundedPreceding, 0)
+    inside = Window.partitionBy("__source", "__range").orderBy("__key", "__ids", "size", "__rid").rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumn("__upto", F.sum("size").over(inside))
-    rows = rows.join(offsets, F.col(source).eqNullSafe(F.col("__s")) & (F.col("__range") == F.col("__r")))
+    rows = rows.join(offsets, F.col("__source").eqNullSafe(F.col("__s")) & (F.col("__range") == F.col("__r")))
     budget = F.floor("target").cast("long")
     rows = rows.withColumn("first_word", F.col("__from") + F.col("__upto") - F.col("size"))
     rows = rows.withColumn("epochs", F.when(F.col("source_size") > 0, F.expr("cast(floor(target) as bigint) div source_size")).otherwise(F.lit(0)).cast("long"))
@@ -76,8 +120,8 @@ def mix(df: DataFrame, source: str = "source", text: str = "text", ids: tuple[st
 
 
 def op6_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = load(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    return mix(docs).select("doc_id", "size", "source_size", "target", "taken")
+    docs = load(spark, sf_dir, "documents").select("doc_id", "source", n_words(F.col("text")).alias("words"))
+    return mix(docs, words="words").select("doc_id", "size", "source_size", "target", "taken")
 
 
 OP6_SQL = r"""

@@ -11,6 +11,7 @@
 
 from __future__ import annotations
 
+import json
 import math
 
 import numpy as np
@@ -74,9 +75,9 @@ def shard(df: DataFrame, n_shards: int = 16, seed: int = 20) -> DataFrame:
     dealt = base.select(rid).withColumn("__part", F.pmod(F.xxhash64(F.lit(seed), F.col(rid)), F.lit(n_parts)).cast("int"))
     found = {r["__part"]: r["n"] for r in dealt.groupBy("__part").agg(F.count("*").alias("n")).collect()}
     matrix = communication_matrix([found.get(p, 0) for p in range(n_parts)], n_shards, seed)
-    ends = spark.createDataFrame(
-        [(p, np.cumsum(row).tolist()) for p, row in enumerate(matrix)], "__part int, __ends array<bigint>"
-    )
+    # The matrix goes in as one literal and is read by the JVM: no Python rows on the data's path.
+    table = json.dumps([{"__part": p, "__ends": np.cumsum(row).tolist()} for p, row in enumerate(matrix)])
+    ends = spark.range(1).select(F.inline(F.from_json(F.lit(table), "array<struct<__part:int,__ends:array<bigint>>>")))
     local = Window.partitionBy("__part").orderBy(F.xxhash64(F.lit(seed + 1), F.col(rid)), F.col(rid))
     ranked = dealt.withColumn("__rank", F.row_number().over(local).cast("long") - 1)
     sent = ranked.join(F.broadcast(ends), "__part").select(

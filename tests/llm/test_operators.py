@@ -421,6 +421,28 @@ def test_mix_budgets(spark):
     assert again == Counter((r["doc_id"], r["taken"]) for r in got)
 
 
+def test_mix_hot_id_and_many_sources(spark, monkeypatch):
+    rng = random.Random(4)
+    rows = [(rng.choice([7, 7, None, i]), words(rng.randint(0, 6), i), rng.choice(["a", "b", None, f"s{i % 9}"])) for i in range(400)]
+    plain = Counter((r["doc_id"], r["text"], r["source"], r["target"], r["taken"]) for r in mixing.mix(docs(spark, rows)).collect())
+    monkeypatch.setattr(mixing, "SOURCES", 2)
+    many = mixing.mix(docs(spark, rows)).collect()
+    target = {s: t for _, _, s, t, _ in plain}
+    assert all(r["target"] == pytest.approx(target[r["source"]]) for r in many)
+    monkeypatch.setattr(mixing, "ROWS", 4)  # ids that repeat far more often than that are cut by stored row
+    got = mixing.mix(docs(spark, rows).repartition(5)).collect()
+    taken, size, spans = Counter(), Counter(), defaultdict(list)
+    for r in got:
+        taken[r["source"]] += r["taken"]
+        size[r["source"]] += r["size"]
+        if r["size"]:
+            spans[r["source"]].append((r["first_word"], r["first_word"] + r["size"]))
+    assert len(got) == len(rows) and all(taken[s] == int(target[s] + 1e-9) for s in target)
+    for s, own in spans.items():  # every word of a source has one place
+        own.sort()
+        assert own[0][0] == 0 and own[-1][1] == size[s] and all(a[1] == b[0] for a, b in zip(own, own[1:]))
+
+
 def test_mix_edges(spark):
     assert mixing.mix(docs(spark, EDGE)).count() == len(EDGE)
     assert mixing.mix(docs(spark, [])).count() == 0
@@ -652,24 +674,36 @@ def slow_contamination(text, items, width=10):
     return len(w), len(hit), sorted(str(n) for n in names if n is not None)
 
 
-@pytest.mark.parametrize("block", [8_000_000, 150])
-def test_contamination_against_brute_force(spark, block):
+@pytest.mark.parametrize("block, most", [(8_000_000, 1_000_000), (150, 1_000_000), (60, 12), (8_000_000, 14)])
+def test_contamination_against_brute_force(spark, block, most):
     items = [(1, words(30, 1)), (2, "Short item"), (10, words(12, 3)), (11, words(12, 3)), (None, "null name here"), (12, None), (13, " -- "), (14, "Été çà"), (1, words(30, 1))]
     texts = [words(40, 9) + " " + words(30, 1) + " x", "a SHORT, item! short item", words(12, 3).upper().replace(" ", "-"), " ".join(words(30, 1).split()[5:16]), "null name here", "", None, "Été çà!", "shortitem short"]
     rows = [(i, t, "s") for i, t in enumerate(texts)] + [(0, texts[0], "s")]
     bench = spark.createDataFrame(items, "item_id long, text string")
-    got = decontamination.contaminated(docs(spark, rows).withColumnRenamed("lang", "items"), bench, block=block).collect()
+    got = decontamination.contaminated(docs(spark, rows).withColumnRenamed("lang", "items"), bench, block=block, most=most).collect()
     assert len(got) == len(rows)
     for r in got:
         n, hit, names = slow_contamination(r["text"], items)
         assert (r["n_words"], sum(s["last"] - s["first"] for s in r["spans"]), r["items"]) == (n, hit, names)
         if r["text"]:
-            for (a, b), s in zip(decontamination.offsets(r["text"], [(s["first"], s["last"]) for s in r["spans"]]), r["spans"]):
-                assert len(decontamination.words(r["text"][a:b].encode())) == s["last"] - s["first"]
+            whole = decontamination.words(r["text"].encode())
+            for s in r["spans"]:
+                part = r["text"][s["from"] : s["to"]]
+                assert decontamination.words(part.encode()) == whole[s["first"] : s["last"]] and part == part.strip(" ,!")
     assert decontamination.contaminated(docs(spark, []), bench).collect() == []
     assert all(r["spans"] == [] for r in decontamination.contaminated(docs(spark, rows), bench.where("false")).collect())
 
 
+def test_contamination_long_text(spark):
+    long = " ".join(f"w{i % 5_003} \u00e9" for i in range(300_000))
+    own = long.split()[400_000:400_012]
+    bench = spark.createDataFrame([("a", " ".join(own))], "item_id string, text string")
+    got = decontamination.contaminated(docs(spark, [(1, long, "s")]), bench).first()
+    n, hit = len(long.split()), sum(s["last"] - s["first"] for s in got["spans"])
+    assert got["n_words"] == n and hit >= 12 and got["items"] == ["a"]
+    assert all(" ".join(own[:10]) in long[s["from"] : s["to"]] or " ".join(own[1:11]) in long[s["from"] : s["to"]] for s in got["spans"])
+
+
 # op10
 
 
