@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import codecs
 import sys
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -76,13 +79,35 @@ def trigrams(cls: np.ndarray) -> np.ndarray:
     return (a[:-2] << 12) | (a[1:-1] << 6) | c
 
 
-def text_chunks(texts: list, limit: int = 1 << 20):
-    """Split a list of texts into (start, end) runs of about limit characters; every text stays whole."""
+#: Bytes of text that the operators look at together.
+BLOCK = 1 << 20
+
+
+def text_blocks(texts: pa.Array, limit: int = BLOCK) -> Iterator[tuple[int, int]]:
+    """(start, end) runs of a binary array of at most limit bytes, or of one text."""
     start = size = 0
-    for i, t in enumerate(texts):
-        size += len(t or "")
-        if size >= limit:
-            yield start, i + 1
-            start, size = i + 1, 0
+    for i, n in enumerate(np.diff(_offsets(texts)).tolist()):
+        if i > start and size + n > limit:
+            yield start, i
+            start, size = i, 0
+        size += n
     if start < len(texts):
         yield start, len(texts)
+
+
+def _offsets(texts: pa.Array) -> np.ndarray:
+    kind = np.int64 if pa.types.is_large_binary(texts.type) else np.int32
+    return np.frombuffer(texts.buffers()[1], kind)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, kind)
+
+
+def text_bytes(texts: pa.Array, i: int) -> memoryview:
+    """A text of a binary array without a copy; a null is empty."""
+    at, data = _offsets(texts), texts.buffers()[2]
+    return memoryview(b"") if data is None or not texts[i].is_valid else memoryview(data)[int(at[i]) : int(at[i + 1])]
+
+
+def decode_blocks(text: bytes | memoryview, size: int = BLOCK) -> Iterator[str]:
+    """A UTF-8 text in pieces of about size bytes; one piece at least."""
+    decoder = codecs.getincrementaldecoder("utf-8")("replace")
+    for at in range(0, max(1, len(text)), size):
+        yield decoder.decode(bytes(text[at : at + size]), at + size >= len(text))

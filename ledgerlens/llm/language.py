@@ -8,7 +8,6 @@ per language, by backward elimination. Texts stream through in blocks, so what i
 
 from __future__ import annotations
 
-import codecs
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,12 +15,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.common import N_GRAMS, fresh, id_crc, letter_codes, load, materialize
+from ledgerlens.llm.common import BLOCK, N_GRAMS, decode_blocks, fresh, id_crc, letter_codes, load, materialize, text_blocks, text_bytes
 
 #: Up to this many languages the model is a dense table (1 MB each); beyond that only the seen (trigram, language) pairs are held. Results agree.
 DENSE_LANGUAGES = 64
-#: Bytes of text looked at together, and segments that one EM step holds.
-BLOCK = 1 << 20
+#: Segments that one EM step holds.
 ROWS = 1 << 16
 SEGMENT = 80
 UND = "und"
@@ -38,33 +36,7 @@ def grams(codes: np.ndarray) -> np.ndarray:
 
 def decoded(text: bytes | memoryview, size: int = BLOCK) -> Iterator[np.ndarray]:
     """Letter codes of a UTF-8 text, in blocks of about size bytes."""
-    decoder = codecs.getincrementaldecoder("utf-8")("replace")
-    for at in range(0, max(1, len(text)), size):
-        yield letter_codes(decoder.decode(bytes(text[at : at + size]), at + size >= len(text)))
-
-
-def _blocks(texts: pa.Array, limit: int = BLOCK) -> Iterator[tuple[int, int]]:
-    """(start, end) runs of a binary array of at most limit bytes, or of one text."""
-    start = size = 0
-    for i, n in enumerate(np.diff(_offsets(texts)).tolist()):
-        if i > start and size + n > limit:
-            yield start, i
-            start, size = i, 0
-        size += n
-    if start < len(texts):
-        yield start, len(texts)
-
-
-def _offsets(texts: pa.Array) -> np.ndarray:
-    kind = np.int64 if pa.types.is_large_binary(texts.type) else np.int32
-    return np.frombuffer(texts.buffers()[1], kind)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, kind)
-
-
-def _bytes(texts: pa.Array, i: int) -> memoryview:
-    """A text without a copy; a null is empty."""
-    at = _offsets(texts)
-    data = texts.buffers()[2]
-    return memoryview(b"") if data is None or not texts[i].is_valid else memoryview(data)[int(at[i]) : int(at[i + 1])]
+    return map(letter_codes, decode_blocks(text, size))
 
 
 def count_trigrams(df: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
@@ -83,7 +55,7 @@ def count_trigrams(df: DataFrame, text: str = "text", lang: str = "lang") -> Dat
                 total += np.bincount(grams(codes)[codes[2:] > 0], minlength=N_GRAMS)
 
             for i, name in enumerate(langs):
-                data = _bytes(texts, i)
+                data = text_bytes(texts, i)
                 if len(data) <= BLOCK:  # short texts are counted together, parted by two codes that are no letters
                     for codes in decoded(data):
                         held.setdefault(name, []).extend((gap, codes))
@@ -242,9 +214,9 @@ def mixtures(model: Model, texts: list[str | None] | pa.Array, segment: int = SE
     out: list[tuple[str, float, dict[str, float]]] = [(UND, 0.0, {})] * len(texts)
     if not model.langs:
         return out
-    for a, b in _blocks(texts):
+    for a, b in text_blocks(texts):
         if b - a == 1:
-            ll, letter = _long_likelihoods(model, _bytes(texts, a), segment)
+            ll, letter = _long_likelihoods(model, text_bytes(texts, a), segment)
             keep, first = ([a], np.zeros(1, np.int64)) if letter else ([], None)
         else:
             ll, first, keep = _short_likelihoods(model, texts, a, b, segment)
@@ -256,7 +228,7 @@ def mixtures(model: Model, texts: list[str | None] | pa.Array, segment: int = SE
 
 def _short_likelihoods(model: Model, texts: pa.Array, a: int, b: int, segment: int) -> tuple[np.ndarray | None, np.ndarray | None, list[int]]:
     """Segment likelihoods of the texts a to b that have a letter, where each text's start, and these texts."""
-    codes = [letter_codes(str(_bytes(texts, i), "utf-8", "replace")) for i in range(a, b)]
+    codes = [letter_codes(str(text_bytes(texts, i), "utf-8", "replace")) for i in range(a, b)]
     keep = [i for i in range(a, b) if codes[i - a].any()]
     if not keep:
         return None, None, []

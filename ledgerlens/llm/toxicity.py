@@ -2,8 +2,8 @@
 
 Every text is restored first: tokens that look disguised (digits or signs among letters, letters spaced out, letters
 repeated) become a lattice of characters, and a Viterbi search under a character language model, whose counts come from
-all documents, finds the likeliest plain words. The restored words are then scored by a lexicon of words and word stems that
-is learned from labelled texts.
+all documents, finds the likeliest plain words (the two best different readings of a token count). The restored text is then scored by a lexicon of words and word stems that
+is learned from labelled texts, restored in the same way. Texts are read in pieces cut between words, so a long one is never held as words all at once.
 """
 
 from __future__ import annotations
@@ -21,12 +21,10 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.common import N_GRAMS, classes, fresh, id_crc, load, text_chunks, trigrams
+from ledgerlens.llm.common import BLOCK, N_GRAMS, classes, decode_blocks, id_crc, load, materialize, text_blocks, text_bytes, trigrams
 
-#: Labelled texts that the lexicon is fitted on, at most, chosen by a hash of their id; all text statistics cover all documents.
+#: Labelled documents that the lexicon is fitted on, at most, chosen by a hash of their id; their texts are read whole, and all text statistics cover all documents.
 MAX_LABELLED = 8_000
-#: Labelled texts longer than this (code points) are not fitted on; they are scored whole like any other.
-MAX_LABELLED_CHARS = 20_000
 
 #: What a sign or digit may stand for.
 LEET = {
@@ -34,6 +32,8 @@ LEET = {
     "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "[": "c", "{": "c", "<": "c", "€": "e", "£": "l", "¥": "y", "#": "h", "%": "x",
     "*": "aeiou", "а": "a", "е": "e", "о": "o", "р": "p", "с": "c", "у": "y", "х": "x", "і": "i",
 }
+#: Tokens up to this length are remembered with what was found in them.
+SHORT = 64
 _SUBSTITUTE, _DROP, _REPEAT = -1.0, -1.5, -0.7
 
 _EDGES = " \t\n\r\v\f.,;:?\"'`“”„«»‚‘’()[]{}<>…·—–-_/\\=~^&%#*+|!$@"
@@ -50,6 +50,22 @@ _PARTS = re.compile(r"[^\w@$!|+]+|_+")
 #: Three or more single characters parted by blanks.
 _SPACED = re.compile(r"(?<![^\W_])(?:[^\W_]|[@$!|+€£¥])(?:[ \t]{1,3}(?:[^\W_]|[@$!|+€£¥])){2,}(?![^\W_])")
 _GAP = re.compile(r"[ \t]{2,}")
+#: White space between two longer words, where no disguised word can be cut.
+_CUT = re.compile(r"(?<=\S\S)\s+(?=\S\S)")
+
+
+def pieces(text: bytes | memoryview, size: int = BLOCK) -> Iterator[str]:
+    """A UTF-8 text in pieces of about size bytes, cut where neither a word nor a run of spaced letters goes on; a stretch without such a place stays whole."""
+    carry = ""
+    for part in decode_blocks(text, size):
+        carry += part
+        cut = 0
+        for m in _CUT.finditer(carry, max(0, len(carry) - 4096)):
+            cut = m.end()
+        if cut:
+            yield carry[:cut]
+            carry = carry[cut:]
+    yield carry
 
 
 class CharModel:
@@ -219,13 +235,18 @@ class Restorer:
             out.setdefault(run, []).extend(w for x in forms for w in [x, *self.plain(x)])
         return out
 
-    def words(self, text: str) -> set[str]:
-        """Distinct words of a whole text, as written and restored."""
+    def words(self, text: bytes | memoryview, memory: dict[str, tuple[str, ...]]) -> set[str]:
+        """Distinct words of the tokens of a whole text, as written and restored; memory keeps those of short tokens."""
         out: set[str] = set()
-        for token in set(text.lower().split()):
-            out.update(self.token(token))
-        for run, found in self.spaced(text).items():
-            out.update((run, *found))
+        for piece in pieces(text):
+            for token in set(piece.lower().split()):
+                if (found := memory.get(token)) is None:
+                    found = self.token(token)
+                    if len(token) <= SHORT:
+                        if len(memory) > 200_000:
+                            memory.clear()
+                        memory[token] = found
+                out.update(found)
         return out
 
     def restore(self, text: str) -> str:
@@ -294,35 +315,37 @@ class Scorer:
     def token(self, token: str):
         """None for a token that says nothing, else (probability, word, stems that count in pairs)."""
         out = self.best(self.restorer.token(token))
-        if len(self.memory) >= self.remember:
-            self.memory.clear()
-        self.memory[token] = out
+        if len(token) <= SHORT:
+            if len(self.memory) >= self.remember:
+                self.memory.clear()
+            self.memory[token] = out
         return out
 
     def best(self, words):
         found = [(p, w, pairs) for w in words for p, pairs in [self.lexicon.word(w)] if p or pairs]
         return max(found) if found else None
 
-    def score(self, text: str) -> float:
+    def score(self, text: str | bytes | memoryview) -> float:
         known, unknown = self.memory.get, ()
         said: dict[str, tuple] = {}
-        singles = 0
-        for t in set(text.lower().split()):
-            x = known(t, unknown)
-            if x is unknown:
-                x = self.token(t)
-            if x is not None:
-                said[x[1]] = x
-            if len(t) == 1:
-                singles += 1
-        inside: list[float] = []
-        for run, words in (self.restorer.spaced(text) if singles else {}).items():
-            x = self.best(words)
-            if x is not None:
-                said[x[1]] = x
-            p = max((p for f, p in self.lexicon.inside if f in run), default=0.0)
-            if p > (x[0] if x else 0.0):
-                inside.append(p)
+        inside: dict[str, float] = {}
+        for piece in pieces(text.encode("utf-8", "replace") if isinstance(text, str) else text):
+            singles = 0
+            for t in set(piece.lower().split()):
+                x = known(t, unknown)
+                if x is unknown:
+                    x = self.token(t)
+                if x is not None:
+                    said[x[1]] = x
+                if len(t) == 1:
+                    singles += 1
+            for run, words in (self.restorer.spaced(piece) if singles else {}).items():
+                x = self.best(words)
+                if x is not None:
+                    said[x[1]] = x
+                p = max((p for f, p in self.lexicon.inside if f in run), default=0.0)
+                if p > (x[0] if x else 0.0):
+                    inside[run] = p
         clean, pairs = 1.0 - self.lexicon.base, Counter()
         for p, _, own in said.values():
             clean *= 1.0 - p
@@ -330,71 +353,87 @@ class Scorer:
         for f, n in pairs.items():
             if n > 1:
                 clean *= 1.0 - self.lexicon.weights[f]
-        for p in inside:
+        for p in inside.values():
             clean *= 1.0 - p
         return min(1.0, max(0.0, 1.0 - clean))
 
 
-def learn_lexicon(texts: list[str], labels: list[int], restorer: Restorer, least: float = 0.004, precision: float = 0.9) -> Lexicon:
-    """Greedy cover of the toxic texts by features that hardly occur in clean ones.
+def labelled_words(df: DataFrame, model: CharModel) -> DataFrame:
+    """df (__text, __label) -> (key, label, marks, words): hash and sketch of each whole text, and its distinct words as written and restored."""
+    sent = df.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        restorer, memory = Restorer(sent.value), {}
+        for batch in batches:
+            texts = batch.column(0).cast(pa.binary())
+            for i in range(batch.num_rows):
+                raw = text_bytes(texts, i)
+                key = xxhash.xxh64_intdigest(raw)
+                row = [pa.array([key - (1 << 64) if key >> 63 else key]), batch.column(1).slice(i, 1), pa.array([sketch(raw)], pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays([*row, pa.array([sorted(restorer.words(raw, memory))], pa.list_(pa.string()))], names=["key", "label", "marks", "words"])
+
+    return df.select("__text", "__label").mapInArrow(run, "key long, label int, marks array<long>, words array<string>")
+
+
+def learn_lexicon(rows: DataFrame, limit: int = MAX_LABELLED, least: float = 0.004, precision: float = 0.9) -> Lexicon:
+    """Greedy cover of the toxic texts by features that hardly occur in clean ones. rows: see labelled_words.
 
-    A feature needs `least` of the toxic texts (5 at least) and `precision`; near copies of a text count once.
+    A feature needs `least` of the toxic texts (5 at least) and `precision`; near copies of a text count once. Words are counted on the executors; the driver
+    gets the sketches, words and stems that enough toxic texts have, and for these the texts that have them.
     """
+    spark = rows.sparkSession
     seen: set = set()
-    rows: list[tuple[np.ndarray, int]] = []
-    number: dict[str, int] = {}
-    memory: dict[str, tuple[int, ...]] = {}
-    for text, label in zip(texts, labels):
-        marks = sketch(text)
-        known = not marks.isdisjoint(seen)
+    kept: list[tuple[int, int]] = []
+    for r in rows.select("key", "label", "marks").orderBy("key", "label").limit(limit).collect():
+        marks = {*enumerate(r["marks"])}
+        if marks.isdisjoint(seen):
+            kept.append((r["key"], r["label"]))
         seen |= marks
-        if known:
-            continue
-        own: set[int] = set()
-        for token in set(text.lower().split()):
-            if (found := memory.get(token)) is None:
-                if len(memory) > 200_000:
-                    memory.clear()
-                found = memory[token] = tuple(number.setdefault(w, len(number)) for w in restorer.token(token))
-            own.update(found)
-        rows.append((np.fromiter(own, np.int32, len(own)), label))
-    names = list(number)
-    del number, memory
-    # Sums of word counts come first: a stem whose words are rare among toxic texts needs no exact count.
-    pos = np.zeros(len(names), np.int64)
-    for words, label in rows:
-        if label:
-            pos[words] += 1
-    n_pos = sum(label for _, label in rows)
+    n_pos = sum(label for _, label in kept)
     need = max(5, math.ceil(least * n_pos))
-    base = min(0.3, (n_pos * 0.02 + 0.5) / (len(rows) + 1))
-    sums = Counter()
-    for i in np.flatnonzero(pos):
-        for f in stems(names[i]):
-            sums[f] += int(pos[i])
-    likely = {f for f, n in sums.items() if n >= need}
-    heads = {f[:3] for f in likely} | {names[i][:3] for i in np.flatnonzero(pos >= need)}
-    useful = np.array([w[:3] in heads for w in names], bool)
-    words_of = lambda ids: {names[i] for i in ids[useful[ids]]}
-    holders: dict[str, set[int]] = {}
-    for i, (ids, label) in enumerate(rows):
-        if label:
-            for f in doc_features(words_of(ids), likely):
-                holders.setdefault(f, set()).add(i)
-    holders = {f: h for f, h in holders.items() if len(h) >= need}
-    kept = {f.rstrip("2") for f in holders if "-" in f}
-    heads = {f[:3] for f in holders}
-    useful = np.array([w[:3] in heads for w in names], bool)
-    wrong = Counter()
-    for ids, label in rows:
-        if not label:
-            wrong.update(doc_features(words_of(ids), kept) & holders.keys())
-    rate = {f: (len(h) + 0.05) / (len(h) + wrong[f] + 0.1) for f, h in holders.items()}
-    good = {f for f, h in holders.items() if len(h) / (len(h) + wrong[f]) >= precision}
+    base = min(0.3, (n_pos * 0.02 + 0.5) / (len(kept) + 1))
+    if not n_pos:
+        return Lexicon({}, base)
+    few = spark.createDataFrame([(i, *x) for i, x in enumerate(kept)], "row int, key long, label int")
+    rows = rows.join(F.broadcast(few), ["key", "label"]).dropDuplicates(["row"])
+    counts = rows.where("label = 1").select(F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+    counts = materialize(counts, "toxic-words")
+    common_words = {r["word"] for r in counts.where(F.col("n") >= need).collect()}
+    # Sums of word counts come first: a stem whose words are rare among toxic texts needs no exact count.
+    stem = F.explode(F.transform(F.sequence(F.lit(4), F.least(F.lit(7), F.length("word") - 1)), lambda n: F.concat(F.substring(F.col("word"), F.lit(1), n), F.lit("-"))))
+    sums = counts.where(F.length("word") > 4).select(stem.alias("stem"), "n").groupBy("stem").agg(F.sum("n").alias("n"))
+    likely = {r["stem"] for r in sums.where(F.col("n") >= need).collect()}
+    heads = {f[:3] for f in likely | common_words}
+
+    def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for words in batch.column(2):
+                own = doc_features({w for w in map(str, words) if w[:3] in heads}, likely)
+                found.append([f for f in own if "-" in f or f in common_words])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.list_(pa.string()))], names=["row", "label", "features"])
+
+    found = rows.select("row", "label", "words").mapInArrow(features, "row int, label int, features array<string>")
+    found = materialize(found.select("row", "label", F.explode("features").alias("feature")), "toxic-features")
+    tally = found.groupBy("feature").agg(F.sum("label").alias("pos"), F.sum(1 - F.col("label")).alias("neg")).where(F.col("pos") >= need).collect()
+    wrong = {r["feature"]: r["neg"] for r in tally}
+    # Only features of which few clean texts hold a word can count; the others' texts stay where they are.
+    sure = [r["feature"] for r in tally if r["pos"] / (r["pos"] + r["neg"]) >= precision]
+    rate = {r["feature"]: (r["pos"] + 0.05) / (r["pos"] + r["neg"] + 0.1) for r in tally}
+    holders: dict[str, set[int]] = {f: set() for f in sure}
+    if sure:
+        named = spark.createDataFrame([(f,) for f in sure], "feature string")
+        for r in found.where("label = 1").join(F.broadcast(named), "feature").select("feature", "row").collect():
+            holders[r["feature"]].add(r["row"])
+    return Lexicon(cover(holders, wrong, rate, len(kept), need, precision), base)
+
+
+def cover(holders: dict[str, set[int]], wrong: dict[str, int], rate: dict[str, float], n_rows: int, need: int, precision: float) -> dict[str, float]:
+    """Weights of chosen features. holders: toxic texts by feature, of sure features; wrong and rate: clean texts and smoothed precision of all features that `need` toxic texts have."""
     weights: dict[str, float] = {}
-    left = set(range(len(rows)))
+    left = set(range(n_rows))
     specific = lambda f: 1 - 0.5 ** (f.index("-") - 1) if "-" in f else 1.0
-    order = set(good)
+    order = set(holders)
     while order:
         gain = {f: len(holders[f] & left) for f in order}
         order = {f for f in order if gain[f] >= need}
@@ -406,7 +445,7 @@ def learn_lexicon(texts: list[str], labels: list[int], restorer: Restorer, least
         order.remove(best)
     # Sure words that a chosen feature already covers stay as evidence of their own; likely stems of chosen pairs are weak evidence.
     chosen = set(weights)
-    for f in good:
+    for f in holders:
         if "-" not in f and wrong[f] == 0 and (len(holders[f]) >= 4 * need or any(w + "2" in chosen for w in stems(f))):
             weights.setdefault(f, min(0.995, rate[f]))
     unsure = []
@@ -419,14 +458,23 @@ def learn_lexicon(texts: list[str], labels: list[int], restorer: Restorer, least
     for f in weights:
         if "-" not in f and f.startswith(tuple(unsure)):
             weights[f] = min(weights[f], 0.4)
-    return Lexicon(weights, base)
+    return weights
 
 
-def sketch(text: str) -> set[tuple[int, int]]:
+def sketch(text: bytes | memoryview, width: int = 3) -> list[int]:
     """Four minima of hashes of the three-word shingles: near copies share one of them, other texts hardly ever do."""
-    words = text.lower().split()
-    hashes = np.array([xxhash.xxh64_intdigest(" ".join(words[i : i + 3])) for i in range(max(1, len(words) - 2))], np.uint64)
-    return {(k, int((hashes * np.uint64(2 * k * 0x9E3779B97F4A7C15 + 1 & (1 << 64) - 1)).min())) for k in range(4)}
+    best = [(1 << 64) - 1] * 4
+    tail: list[str] = []
+    for piece in pieces(text):
+        words = tail + piece.lower().split()
+        for a in range(0, max(len(words) - width + 1, 0), 1 << 16):
+            shingles = (" ".join(words[i : i + width]) for i in range(a, min(a + (1 << 16), len(words) - width + 1)))
+            hashes = np.fromiter(map(xxhash.xxh64_intdigest, shingles), np.uint64)
+            best = [min(b, int((hashes * np.uint64(2 * k * 0x9E3779B97F4A7C15 + 1 & (1 << 64) - 1)).min())) for k, b in enumerate(best)]
+        tail = words[-(width - 1) :]
+    if best[0] == (1 << 64) - 1:  # fewer words than a shingle
+        best = [xxhash.xxh64_intdigest(" ".join(tail), k) for k in range(4)]
+    return [x - (1 << 64) if x >> 63 else x for x in best]
 
 
 def char_model(df: DataFrame, text: str = "text") -> CharModel:
@@ -435,55 +483,60 @@ def char_model(df: DataFrame, text: str = "text") -> CharModel:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(N_GRAMS, np.int64)
         for batch in batches:
-            texts = batch.column(0).to_pylist()
-            for a, b in text_chunks(texts):
-                total += np.bincount(trigrams(classes("\n\n".join(t for t in texts[a:b] if t))), minlength=N_GRAMS)
+            texts = batch.column(0).cast(pa.binary())
+            for a, b in text_blocks(texts):
+                if b - a > 1:
+                    total += np.bincount(trigrams(classes("\n\n".join(str(text_bytes(texts, i), "utf-8", "replace") for i in range(a, b)))), minlength=N_GRAMS)
+                    continue
+                tail = np.zeros(2, np.uint8)
+                for part in decode_blocks(text_bytes(texts, a)):
+                    joined = np.concatenate((tail, classes(part)))
+                    total += np.bincount(trigrams(joined)[2:], minlength=N_GRAMS)
+                    tail = joined[-2:]
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["gram", "n"])
 
-    frame = df.select(text).mapInArrow(run, "gram int, n long").groupBy("gram").agg(F.sum("n").alias("n")).toPandas()
+    table = df.select(text).where(F.col(text).isNotNull()).mapInArrow(run, "gram int, n long").groupBy("gram").agg(F.sum("n").alias("n")).toArrow()
     counts = np.zeros(N_GRAMS)
-    counts[frame["gram"].to_numpy(dtype=np.int64)] = frame["n"].to_numpy()
+    counts[table.column("gram").to_numpy()] = table.column("n").to_numpy()
     return CharModel(counts)
 
 
 def train(docs: DataFrame, labels: DataFrame, ids: str = "doc_id", text: str = "text", label: str = "toxic", limit: int = MAX_LABELLED) -> tuple[CharModel, Lexicon]:
-    """Character model of all docs; lexicon of at most `limit` labelled texts, chosen by a hash. Null labels, ids and texts are left out."""
+    """Character model of all docs; lexicon of at most `limit` labelled documents, chosen by a hash of the id. Null labels, ids and texts are left out; of a repeated label the largest counts."""
     model = char_model(docs, text)
-    marked = labels.where(F.col(label).isNotNull() & F.col(ids).isNotNull()).groupBy(ids).agg(F.max(label).cast("int").alias("__label"))
-    chosen = marked.orderBy(F.xxhash64(ids), ids).limit(limit).collect()
-    few = docs.sparkSession.createDataFrame([tuple(r) for r in chosen], marked.schema)
-    rows = docs.select(ids, F.col(text).alias("__text")).where(F.col("__text").isNotNull() & (F.length("__text") <= MAX_LABELLED_CHARS))
-    picked = rows.join(F.broadcast(few), ids).select("__text", "__label").distinct().limit(limit).collect()
-    picked.sort(key=lambda r: (xxhash.xxh64_intdigest(r["__text"]), r["__label"]))
-    lexicon = learn_lexicon([r["__text"] for r in picked], [int(r["__label"] > 0) for r in picked], Restorer(model))
-    return model, lexicon
+    marked = labels.where(F.col(label).isNotNull() & F.col(ids).isNotNull()).groupBy(F.col(ids).alias("__id")).agg((F.max(label) > 0).cast("int").alias("__label"))
+    own = docs.select(F.col(ids).alias("__id"), F.col(text).alias("__text")).where("__text IS NOT NULL")
+    chosen = marked.join(own.select("__id"), "__id", "left_semi").orderBy(F.xxhash64("__id"), "__id").limit(limit)
+    few = materialize(chosen, "labelled")  # at most `limit` short rows
+    rows = own.join(F.broadcast(few), "__id").select("__text", "__label").distinct()
+    return model, learn_lexicon(materialize(labelled_words(rows, model), "labelled-words"), limit)
 
 
-def score_texts(df: DataFrame, model: CharModel, lexicon: Lexicon, text: str = "text", restore: bool = False) -> DataFrame:
-    """df with `score` (0 to 1) and `predicted` (1 from 0.5 on); with restore, `restored` has the text with disguised words plain.
+def score_texts(df: DataFrame, model: CharModel, lexicon: Lexicon, text: str = "text", restore: bool = False, keep: list[str] | None = None) -> DataFrame:
+    """df (or its columns `keep`) with `score` (0 to 1) and `predicted` (1 from 0.5 on); with restore, `restored` has the text with disguised words plain.
 
     Only the text is read, and all of it. Null and empty texts get the base rate of the lexicon. No row is dropped, repeated rows
     stay, an empty df gives an empty result; clashing columns are replaced.
     """
     added = ["score", "predicted"] + ["restored"] * restore
-    df = fresh(df, *added)
-    names = df.columns
-    at = names.index(text)
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields] + ["score double, predicted int"] + ["restored string"] * restore)
+    names = [c for c in (df.columns if keep is None else keep) if c.lower() not in added]
+    at = names.index(text) if text in names else len(names)
+    own = df.select(*names) if text in names else df.select(*names, F.col(text).alias("__text"))
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in own.schema.fields[: len(names)]] + ["score double, predicted int"] + ["restored string"] * restore)
     sent = df.sparkSession.sparkContext.broadcast((model, lexicon))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(*sent.value)
         for batch in batches:
-            texts = [t.as_py() for t in batch.column(at)]
-            scores = [scorer.score(t or "") for t in texts]
+            texts = batch.column(at).cast(pa.binary())
+            scores = [scorer.score(text_bytes(texts, i)) for i in range(batch.num_rows)]
             more = [pa.array(scores, pa.float64()), pa.array([int(s >= 0.5) for s in scores], pa.int32())]
             if restore:
-                more.append(pa.array([None if t is None else scorer.restorer.restore(t) for t in texts], pa.string()))
-            yield pa.RecordBatch.from_arrays([*batch.columns, *more], names=[*names, *added])
+                more.append(pa.array([scorer.restorer.restore(t.as_py()) if t.is_valid else None for t in batch.column(at)], pa.string()))
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], *more], names=[*names, *added])
 
-    return df.mapInArrow(run, schema)
+    return own.mapInArrow(run, schema)
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -491,4 +544,4 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = F.pmod(id_crc("doc_id"), F.lit(5)) == 0
     labels = load(spark, sf_dir, "labels").where(~held_out)
     model, lexicon = train(docs, labels)
-    return score_texts(docs, model, lexicon).select("doc_id", held_out.alias("held_out"), "score", "predicted")
+    return score_texts(docs, model, lexicon, keep=["doc_id"]).select("doc_id", held_out.alias("held_out"), "score", "predicted")

@@ -294,7 +294,7 @@ def test_language_against_brute_force(spark, monkeypatch):
         monkeypatch.setattr(language, "ROWS", rows)
         monkeypatch.setattr(language, "BLOCK", block)
         monkeypatch.setattr(language.decoded, "__defaults__", (block,))
-        monkeypatch.setattr(language._blocks, "__defaults__", (block,))
+        monkeypatch.setattr(common.text_blocks, "__defaults__", (block,))
         model = language.train(spark.createDataFrame(train, "text string, lang string"))
         for dense in (64, 0):
             triples = [(k, g, n) for k, name in enumerate(sorted(counts)) for g, n in counts[name].items()]
@@ -650,6 +650,82 @@ def test_toxicity_restores_whole_tokens():
         assert scorer.score(text) < 0.5, text
 
 
+def test_toxicity_decode_of_random_tokens(toxic_model):
+    """List Viterbi against all paths of short tokens, and against a plain dynamic program of long ones."""
+    model, _ = toxic_model
+    rng = random.Random(12)
+
+    def value(path):
+        score, a, b, w = 0.0, 0, 0, ""
+        for ch, cost in path:
+            score += cost
+            if ch:
+                c = toxicity.letter_class(ch)
+                score, a, b, w = score + model.step(a, b, c), b, c, w + ch
+        return (score + model.step(a, b, 0), w) if w else (-1e18, "")
+
+    from itertools import product
+
+    for _ in range(150):
+        token = "".join(rng.choices("abdeilorst01345@$!.-|(", k=rng.randint(1, 9)))
+        best = max((value(p) for p in product(*toxicity.lattice(token))), default=(-1e18, ""))
+        got = toxicity.decode(token, model)
+        assert (got[0] if got else "") == best[1], token
+    for _ in range(30):
+        token = "".join(rng.choices("abdeilorst01345@$!.-|(", k=rng.randint(60, 200)))
+        states = {(0, 0): (0.0, "")}
+        for choices in toxicity.lattice(token):
+            after = {}
+            for (a, b), (s, w) in states.items():
+                for ch, cost in choices:
+                    c = toxicity.letter_class(ch) if ch else 0
+                    key, x = ((b, c), (s + cost + model.step(a, b, c), w + ch)) if ch else ((a, b), (s + cost, w))
+                    after[key] = max(after.get(key, (-1e18, "")), x)
+            states = after
+        best = max((s + model.step(a, b, 0), w) for (a, b), (s, w) in states.items() if w)
+        again = toxicity.decode(token, model)[0]
+        assert len(again) == len(best[1]) and sum(x != y for x, y in zip(again, best[1])) <= 1, token
+
+
+def test_toxicity_pieces(spark, toxic_model):
+    rng = random.Random(5)
+    text = " ".join("".join(rng.choices("ab\u00e9\U0001f600", k=rng.randint(1, 9))) for _ in range(3_000)) + "  \n x y z " + "q" * 500
+    for size in (7, 64, 1_000):
+        own = [*toxicity.pieces(text.encode(), size)]
+        assert "".join(own) == text and len(own) > 3
+        assert {w for p in own for w in p.split()} == set(text.split())
+        assert not any(p[-2:].strip() and len(p.split()[-1]) == 1 for p in own[:-1])
+    assert [*toxicity.pieces(b"")] == [""]
+    model, lexicon = toxic_model
+    scorer = toxicity.Scorer(model, lexicon)
+    long = words(400_000, 4) + " b l o r g i t sn4rfle " + words(400_000, 5)
+    assert scorer.score(long) >= 0.5 > scorer.score(words(400_000, 4)) and scorer.score("") == pytest.approx(lexicon.base)
+
+
+def test_toxicity_brute_force_score(toxic_model):
+    """Scores are the noisy or of the best feature of every restored token, whatever memory and pieces do."""
+    model, lexicon = toxic_model
+    restorer = toxicity.Restorer(model)
+
+    def slow(text):
+        said = {}
+        for token in (text or "").lower().split():
+            found = [(p, w) for w in restorer.token(token) for p, _ in [lexicon.word(w)] if p]
+            if found:
+                said[max(found)[1]] = max(found)[0]
+        left = 1 - lexicon.base
+        for p in said.values():
+            left *= 1 - p
+        return 1 - left
+
+    scorer = toxicity.Scorer(model, toxicity.Lexicon({f: p for f, p in lexicon.weights.items() if not f.endswith("2")}, lexicon.base))
+    lexicon = scorer.lexicon
+    for _, text, _ in toxic_corpus(150, 9):
+        leet = text.replace("o", "0").replace("i", "1")
+        for t in (text, leet):
+            assert scorer.score(t) == pytest.approx(slow(t))
+
+
 def test_toxicity_empty(spark, toxic_model):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert toxicity.score_texts(empty, *toxic_model).collect() == []
