@@ -26,7 +26,6 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float
     at cap x its source's size and the excess goes to the others by weight. This is water filling: with sources
     sorted by cap / weight, the level is the largest of (total - caps before) / (weights from here on).
     """
-    sizes = materialize(sizes, "sources")
     position = Window.orderBy(F.col("source").asc_nulls_last())
     weight = lambda at: F.element_at(F.array(*[F.lit(float(w)) for w in weights]), F.pmod(at, F.lit(len(weights))).cast("int") + 1)
     capped = F.col("source_size") * F.lit(cap)
@@ -64,17 +63,16 @@ def _many_targets(sizes: DataFrame, weight, share: float) -> DataFrame:
 
 
 def _ranges(rows: DataFrame, digits: int) -> DataFrame:
-    """rows with `__range` (a key range in hash order) and `__rid`.
+    """rows with `__range` (a key range in hash order) and `__rid` (order of rows that are equal otherwise).
 
-    A range is a prefix of the key. Where a range is far above ROWS although the prefix is long enough, one key repeats: then the whole key, the size
-    and the stored row's partition cut it further, in the same order, so that no hot id meets in one task.
+    A range is a prefix of the key. Where a range is far above ROWS although the prefix is long enough, one key repeats: then the rows are stored with a
+    number, and the whole key, the size and the stored row's partition cut the range further, in the same order, so that no hot id meets in one task.
     """
-    rows = rows.withColumn("__rid", F.monotonically_increasing_id())
-    rows = materialize(rows, "mix")
     prefix = F.substring("__key", 1, digits)
-    crowded = materialize(rows.groupBy(F.col("__source").alias("__s"), prefix.alias("__p")).agg(F.count("*").alias("__n")).where(F.col("__n") > 8 * ROWS), "crowded")
+    crowded = rows.groupBy(F.col("__source").alias("__s"), prefix.alias("__p")).agg(F.count("*").alias("__n")).where(F.col("__n") > 8 * ROWS)
     if crowded.isEmpty():
-        return rows.withColumn("__range", prefix)
+        return rows.withColumn("__range", prefix).withColumn("__rid", F.lit(0).cast("long"))
+    rows = materialize(rows.withColumn("__rid", F.monotonically_increasing_id()), "mix")
     marked = rows.join(crowded, F.col("__source").eqNullSafe(F.col("__s")) & (prefix == F.col("__p")), "left")
     width = lambda c, n: F.lpad(c.cast("string"), n, "0")
     finer = F.concat(F.col("__key"), F.lit(":"), F.coalesce(F.col("__ids"), F.lit("")), F.lit(":"), width(F.col("size"), 19), width(F.shiftright("__rid", 33), 10))
@@ -89,7 +87,7 @@ def mix(df: DataFrame, source: str = "source", text: str = "text", ids: tuple[st
     (`epochs` times every row), then the rows in order until the budget ends: `part` (0 to size) words of a row,
     cut inside the row at which it ends. taken = epochs x size + part. A null source is a source of its own; null ids count as
     the text `null`; equal rows are interchangeable; sources without words take nothing; an empty df gives an empty result.
-    Columns with the added names are replaced. The rows are stored once with a row number.
+    Columns with the added names are replaced.
     """
     added = ("size", "source_size", "target", "taken", "epochs", "part", "first_word")
     names = [c for c in fresh(df, *added).columns]
@@ -121,6 +119,7 @@ def mix(df: DataFrame, source: str = "source", text: str = "text", ids: tuple[st
 
 def op6_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents").select("doc_id", "source", n_words(F.col("text")).alias("words"))
+    docs = materialize(docs, "words")  # texts are read and counted once
     return mix(docs, words="words").select("doc_id", "size", "source_size", "target", "taken")
 
 
