@@ -56,6 +56,9 @@ _CUT = re.compile(r"(?<=\S\S)\s+(?=\S\S)")
 
 def pieces(text: bytes | memoryview, size: int = BLOCK) -> Iterator[str]:
     """A UTF-8 text in pieces of about size bytes, cut where neither a word nor a run of spaced letters goes on; a stretch without such a place stays whole."""
+    if len(text) <= size:
+        yield str(text, "utf-8", "replace")
+        return
     carry = ""
     for part in decode_blocks(text, size):
         carry += part
@@ -243,7 +246,7 @@ class Restorer:
                 if (found := memory.get(token)) is None:
                     found = self.token(token)
                     if len(token) <= SHORT:
-                        if len(memory) > 200_000:
+                        if len(memory) > 100_000:
                             memory.clear()
                         memory[token] = found
                 out.update(found)
@@ -309,7 +312,7 @@ class Lexicon:
 class Scorer:
     """Scores texts; what a token adds is remembered, up to `remember` tokens."""
 
-    def __init__(self, model: CharModel, lexicon: Lexicon, remember: int = 300_000):
+    def __init__(self, model: CharModel, lexicon: Lexicon, remember: int = 150_000):
         self.restorer, self.lexicon, self.remember, self.memory = Restorer(model), lexicon, remember, {}
 
     def token(self, token: str):
