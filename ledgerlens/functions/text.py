@@ -2,24 +2,53 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Words that carry no identity in organization names.
-STOP_WORDS = ["the", "of", "and", "for", "a", "an", "inc", "llc", "corp", "co", "company", "corporation", "ltd", "llp", "lp", "pc"]
+#: Words that say nothing in the names of people, organizations and committees that are matched.
+STOP_WORDS = [
+    "the", "of", "for", "and", "in", "inc", "llc", "ltd", "co", "corp", "corporation", "company", "assoc", "association", "assn", "group",
+    "committee", "fund", "pac", "political", "action", "a", "an",
+]
+#: The profile resolver's two sets, legal forms and words that say nothing.
+LEGAL_FORMS = ["inc", "llc", "ltd", "co", "corp", "corporation", "company", "assoc", "association", "assn", "group", "pllc", "llp", "lp"]
+PROFILE_STOP_WORDS = ["the", "of", "for", "and", "in", "a", "an", "to", "committee", "fund", "pac", "political", "action"]
 #: Name suffixes that are no person by themselves.
 SUFFIXES = ["jr", "sr", "ii", "iii", "iv", "v", "md", "phd", "esq"]
-#: Spending categories in order; the first whose word occurs wins.
+#: Spending categories in order, with the parts of words that decide; the first that occurs wins.
 CATEGORIES = [
-    ("media", ["small", "tv", "radio", "advert", "media"]),
-    ("mail", ["red", "postage", "mail", "print"]),
-    ("digital", ["gear", "digital", "online", "web"]),
-    ("events", ["plate", "event", "catering", "venue"]),
-    ("payroll", ["widget", "salary", "payroll", "staff"]),
-    ("travel", ["bolt", "travel", "mileage", "hotel"]),
+    ("media_advertising", ["advertis", "media", "digital", "facebook", "google", "youtube", "radio", "television", "tv", "mail", "mailer", "billboard"]),
+    ("consulting_professional", ["consult", "strateg", "advis", "poll", "research", "analytics", "data", "professional service"]),
+    ("legal_compliance", ["legal", "attorney", "law", "compliance", "filing", "accounting", "audit", "treasurer"]),
+    ("travel_events", ["travel", "hotel", "flight", "airfare", "uber", "lyft", "mileage", "event", "venue", "catering"]),
+    ("payroll_staff", ["salary", "payroll", "wage", "stipend", "staff", "contract labor", "compensation"]),
+    ("fundraising", ["fundraising", "fundraiser", "donation platform", "ticket", "actblue"]),
+    ("printing_postage", ["print", "printing", "postage", "brochure", "flyer"]),
+    ("office_admin", ["rent", "office", "supplies", "phone", "internet", "utilities", "software", "license", "subscription"]),
 ]
+#: Nicknames and the names they stand for; read both ways, not chained.
+NICKNAMES = {
+    "MIKE": ["MICHAEL"], "TOM": ["THOMAS"], "BOB": ["ROBERT"], "ROB": ["ROBERT"], "BILL": ["WILLIAM"], "WILL": ["WILLIAM"], "JIM": ["JAMES"], "DAN": ["DANIEL"],
+    "SAM": ["SAMUEL", "SAMANTHA"], "CHUY": ["JESUS"], "JB": ["JAY ROBERT"], "PAT": ["PATRICK", "PATRICIA"], "TONY": ["ANTHONY"], "CHRIS": ["CHRISTOPHER", "CHRISTINE"],
+    "LIZ": ["ELIZABETH"], "BETH": ["ELIZABETH"], "KATE": ["KATHERINE", "KATHLEEN"], "KATIE": ["KATHERINE", "KATHLEEN"], "JOE": ["JOSEPH"], "DAVE": ["DAVID"],
+    "STEVE": ["STEVEN", "STEPHEN"], "RICK": ["RICHARD"], "DICK": ["RICHARD"], "ED": ["EDWARD"], "TED": ["THEODORE", "EDWARD"], "JEFF": ["JEFFREY"], "MATT": ["MATTHEW"],
+    "NICK": ["NICHOLAS"], "ALEX": ["ALEXANDER", "ALEXANDRA"], "JEN": ["JENNIFER"], "JENNY": ["JENNIFER"], "SUE": ["SUSAN"], "PEG": ["MARGARET"], "PEGGY": ["MARGARET"],
+}
+#: Party words and codes.
+PARTIES = {"DEMOCRAT": "DEM", "DEMOCRATIC": "DEM", "REPUBLICAN": "REP", "INDEPENDENT": "IND", "OTHER": "OTH", "GREEN": "GRE", "LIBERTARIAN": "LIB"}
+
+
+def aliases() -> dict[str, list[str]]:
+    """First names, lower case, with their direct aliases in both directions."""
+    out: dict[str, list[str]] = {}
+    for short, full in NICKNAMES.items():
+        for name in full:
+            out.setdefault(short.lower(), []).append(name.lower())
+            out.setdefault(name.lower(), []).append(short.lower())
+    return out
 
 
 def clean(c: Column) -> Column:
@@ -49,15 +78,15 @@ def city_key(city: Column, state: Column) -> Column:
 
 
 def spending_category(purpose: Column, rules: list[tuple[str, list[str]]] | None = None) -> Column:
-    """First category, in order, one of whose keywords is a substring; `other` if none is, `unspecified` for blanks."""
+    """First category, in order, one of whose keywords is a substring; `uncategorized` if none is or the text is blank."""
     low = F.lower(F.coalesce(purpose, F.lit("")))
-    out = F.when(F.trim(low) == "", F.lit("unspecified"))
+    out = F.when(F.trim(low) == "", F.lit("uncategorized"))
     for name, words in rules or CATEGORIES:
         test = F.lit(False)
         for w in words:
             test = test | low.contains(w)
         out = out.when(test, F.lit(name))
-    return out.otherwise(F.lit("other"))
+    return out.otherwise(F.lit("uncategorized"))
 
 
 def parse_amount(c: Column) -> Column:
@@ -92,15 +121,40 @@ def canonical_url(c: Column) -> Column:
 
 
 def name_matches(c: Column, search: str, min_prefix: int = 1) -> Column:
-    """Every word of the search is a prefix of some word of the name; blanks match nothing."""
-    words = [w for w in search.lower().split() if len(w) >= min_prefix]
+    """Every word of the search, or one of its nickname aliases, is a prefix of some word of the name; blanks match nothing.
+
+    A word with an apostrophe inside ("O'Neil") asks for the joined word or for its halves next to each other and in order (a half of one letter as a whole word),
+    and has no aliases. Letters alone in a search with longer words are left out, and a possessive 's counts as the word itself.
+    """
+    words = [re.sub(r"'s$", "", w) for w in re.findall(r"[a-z0-9]+(?:'[a-z0-9]+)*", search.lower().replace("\u2019", "'"))]
+    if any(len(w) > 1 for w in words):
+        words = [w for w in words if len(w) > 1 or not w.isalpha()]
+    words = [w for w in words if len(w) >= min_prefix]
     if not words:
         return F.lit(False)
-    parts = F.split(normalize_name(c), " ")
-    found = [F.exists(parts, (lambda word: lambda p: p.startswith(word))(w)) for w in words]
+    parts, known = F.split(normalize_name(c), " "), aliases()
+    has = lambda w: F.exists(parts, lambda p: p.startswith(w))
+    found = []
+    for w in words:
+        if "'" in w:
+            halves = w.split("'")
+            at = lambda i, h: F.get(parts, i) == h if len(h) == 1 else F.coalesce(F.get(parts, i).startswith(h), F.lit(False))
+            beside = F.exists(F.sequence(F.lit(0), F.size(parts)), lambda i: reduce(lambda a, b: a & b, [F.coalesce(at(i + k, h), F.lit(False)) for k, h in enumerate(halves)]))
+            found.append(has("".join(halves)) | beside)
+        else:
+            options = [reduce(lambda a, b: a & b, [has(x) for x in name.split()]) for name in [w, *known.get(w, [])]]
+            found.append(reduce(lambda a, b: a | b, options))
     return reduce(lambda a, b: a & b, found)
 
 
+def contains_fallback(c: Column, search: str, least: int = 4) -> Column:
+    """What a search falls back to if no name matches: its words in order anywhere in the text; false for fewer than `least` letters."""
+    words = re.findall(r"[a-z0-9]+(?:'[a-z0-9]+)*", search.lower())
+    if len(" ".join(words)) < least:
+        return F.lit(False)
+    return F.coalesce(F.lower(c).like("%" + "%".join(w.replace("'", "_") for w in words) + "%"), F.lit(False))
+
+
 def people(c: Column) -> Column:
     """Persons named in one cell: parts between `;`, `/` or ` and `; a sole `Last, First` is one person; suffixes and repeats go."""
     text = F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), r"\s+(?:and|&)\s+", ";")
@@ -115,6 +169,63 @@ def name_key(c: Column) -> Column:
     return F.when(F.size(words) > 0, F.concat_ws(" ", F.get(words, F.lit(0)), F.get(words, F.size(words) - 1)))
 
 
+def name_keys(c: Column) -> Column:
+    """The name key and those with a direct nickname alias of one word in place of the first name; two names agree if a key of one is the key of the other."""
+    key = name_key(c)
+    known = F.create_map(*[F.lit(x) for k, v in aliases().items() if " " not in k for x in (k, "|".join(n for n in v if " " not in n))])
+    first, last = F.split_part(key, F.lit(" "), F.lit(1)), F.split_part(key, F.lit(" "), F.lit(2))
+    other = F.filter(F.split(F.coalesce(F.element_at(known, first), F.lit("")), r"\|"), lambda n: n != "")
+    return F.when(key.isNotNull(), F.array_distinct(F.concat(F.array(key), F.transform(other, lambda n: F.concat_ws(" ", n, last)))))
+
+
+def split_metadata(c: Column) -> Column:
+    """struct(name, occupation, employer) of a cell such as `Name Occupation: x Employer: y`, the two in any order; without marks the whole cell is the name."""
+    text = F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), r"\s+", " "))
+    strip = lambda x: F.regexp_replace(x, r"^[ \-;,]+|[ \-;,]+$", "")
+    bare = strip(F.regexp_extract(text, r"(?i)^(.*?)(?:occupation|employer)\s*:", 1))
+    name = F.when(text.rlike(r"(?i)(?:occupation|employer)\s*:") & (bare != ""), bare).otherwise(text)
+    part = lambda own, other: F.nullif(strip(F.regexp_extract(text, rf"(?i){own}\s*:\s*(.*?)(?:{other}\s*:|$)", 1)), F.lit(""))
+    return F.struct(name.alias("name"), part("occupation", "employer").alias("occupation"), part("employer", "occupation").alias("employer"))
+
+
+def is_noise_name(c: Column) -> Column:
+    """Whether a name is blank or only digits, dots and blanks, as page numbers are."""
+    return F.coalesce(F.regexp_replace(c, "[\\s\u00a0]+", ""), F.lit("")).rlike("^[\\d.\u2026]*$")
+
+
+def office_code(c: Column) -> Column:
+    low = F.lower(F.trim(c))
+    return F.when(low.contains("house"), "H").when(low.contains("senate"), "S").when(low.contains("president"), "P")
+
+
+def district_code(c: Column, office: Column) -> Column:
+    """Two digits at the end of a House district; null for other offices."""
+    digits = F.regexp_extract(F.trim(c), r"(\d{1,2})$", 1)
+    return F.when((office == "H") & (digits != ""), F.lpad(digits, 2, "0"))
+
+
+def party_code(c: Column) -> Column:
+    """Three-letter code of a party: a code as it is, a known word's code, else null."""
+    text = F.upper(F.trim(c))
+    return F.when(F.length(text) == 3, text).otherwise(F.element_at(F.create_map(*[F.lit(x) for kv in PARTIES.items() for x in kv]), text))
+
+
+def zip5(c: Column) -> Column:
+    """First five digits in a row, or the empty text."""
+    return F.regexp_extract(F.coalesce(c, F.lit("")), r"(\d{5})", 1)
+
+
+def race_key(*parts: Column) -> Column:
+    """Lower-case runs of letters and digits of all parts, joined by hyphens; null and blank parts add nothing."""
+    text = F.concat_ws(" ", *[p.cast("string") for p in parts])
+    return F.regexp_replace(F.regexp_replace(F.lower(text), r"[^a-z0-9]+", "-"), r"^-+|-+$", "")
+
+
+def canonical_race_key(c: Column) -> Column:
+    """A race key without the ten hex digits that older keys ended in."""
+    return F.regexp_replace(c, r"-[0-9a-f]{10}$", "")
+
+
 def trigrams(c: Column) -> Column:
     """Distinct letter triples of each word with two blanks in front and one behind, lower case."""
     words = F.filter(F.split(F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), r"[^a-z0-9]+", " "), " "), lambda w: w != "")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerlens.functions.text import clean, trigrams
+from ledgerlens.functions.text import clean, trigrams, zip5
 
 
 def overlap_join(left: DataFrame, right: DataFrame, threshold: float, left_id: str = "left_id", right_id: str = "right_id", tokens: str = "tokens") -> DataFrame:
@@ -21,12 +21,15 @@ def overlap_join(left: DataFrame, right: DataFrame, threshold: float, left_id: s
     def rare(df: DataFrame, ids: str) -> DataFrame:
         parts = df.select(ids, F.explode(tokens).alias("t")).join(freq, "t").groupBy(ids).agg(F.array_sort(F.collect_list(F.struct("f", "t"))).alias("o"))
         n = F.size("o")
-        return parts.select(ids, F.transform("o", lambda x: x["t"]).alias("set"), F.explode(F.slice("o", F.lit(1), n - F.ceil(n * F.lit(threshold)).cast("int") + 1)).alias("x")).select(ids, "set", F.col("x.t").alias("t"))
+        return parts.select(ids, F.transform("o", lambda x: x["t"]).alias("set"), F.explode(F.slice("o", F.lit(1), n - F.ceil(n * F.lit(threshold) - F.lit(1e-9)).cast("int") + 1)).alias("x")).select(ids, "set", F.col("x.t").alias("t"))
 
     a, b = rare(left, left_id), rare(right, right_id)
-    near = a.withColumnRenamed("set", "sa").join(b.withColumnRenamed("set", "sb"), "t").where(F.least(F.size("sa"), F.size("sb")) >= F.greatest(F.size("sa"), F.size("sb")) * F.lit(threshold))
-    shared = F.size(F.array_intersect("sa", "sb"))
-    found = near.select(left_id, right_id, shared.alias("shared"), (F.size("sa") + F.size("sb")).alias("n")).dropDuplicates([left_id, right_id])
+    # Candidates travel as ids and sizes; sets are fetched once per candidate.
+    size = lambda df, to: df.select(*[c for c in df.columns if c != "set"], F.size("set").alias(to))
+    near = size(a, "na").join(size(b, "nb"), "t").where(F.least("na", "nb") >= F.greatest("na", "nb") * F.lit(threshold) - F.lit(1e-9)).select(left_id, right_id).distinct()
+    whole = lambda df, ids, to: df.select(ids, F.col(tokens).alias(to))
+    found = near.join(whole(left, left_id, "sa"), left_id).join(whole(right, right_id, "sb"), right_id)
+    found = found.select(left_id, right_id, F.size(F.array_intersect("sa", "sb")).alias("shared"), (F.size("sa") + F.size("sb")).alias("n"))
     found = found.withColumn("score", F.col("shared") / (F.col("n") - F.col("shared")))
     return found.where(F.col("score") >= threshold).select(left_id, right_id, "shared", F.round("score", 4).alias("score"))
 
@@ -49,13 +52,11 @@ def trigram_pairs(df: DataFrame, ids: str, text: str, threshold: float, block: l
     return overlap_join(left, right, threshold).where("left_id < right_id").select("left_id", "right_id", "score")
 
 
-def address_score(street_a: Column, street_b: Column, zip_a: Column, zip_b: Column, state_a: Column, state_b: Column, city_a: Column, city_b: Column) -> Column:
-    """1.0 same street and zip, 0.7 same zip and state, 0.5 same city and state, 0.2 same state, else 0."""
+def address_score(city_a: Column, state_a: Column, zip_a: Column, city_b: Column, state_b: Column, zip_b: Column) -> Column:
+    """1.0 same zip, city and state, 0.7 same zip and state, 0.5 same city and state, 0.2 same state, else 0 (also without a state)."""
     same = lambda a, b: F.coalesce(F.lower(clean(a)) == F.lower(clean(b)), F.lit(False))
-    return (
-        F.when(same(street_a, street_b) & same(zip_a, zip_b), 1.0).when(same(zip_a, zip_b) & same(state_a, state_b), 0.7)
-        .when(same(city_a, city_b) & same(state_a, state_b), 0.5).when(same(state_a, state_b), 0.2).otherwise(0.0)
-    )
+    zips = F.coalesce((zip5(zip_a) != "") & (zip5(zip_a) == zip5(zip_b)), F.lit(False))
+    return F.when(~same(state_a, state_b), 0.0).when(zips & same(city_a, city_b), 1.0).when(zips, 0.7).when(same(city_a, city_b), 0.5).otherwise(0.2)
 
 
 def tiered_match(left: DataFrame, right: DataFrame, tiers: list[tuple[str, list[str], float]], left_id: str, right_id: str, order: list, keep: int = 3) -> DataFrame:

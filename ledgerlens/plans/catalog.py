@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerlens.sources.civic import civic, table, with_views
+from ledgerlens.sources.civic import STORED, VIEWS, civic, stored, table, with_views
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -19,8 +19,8 @@ class Tables:
         self.spark, self.sf_dir = spark, sf_dir
 
     def __getattr__(self, name: str) -> DataFrame:
-        from ledgerlens.sources.civic import VIEWS
-
+        if name in STORED:
+            return stored(self.spark, self.sf_dir, name)
         return civic(self.spark, self.sf_dir, name) if name in VIEWS else table(self.spark, self.sf_dir, name)
 
 
@@ -40,8 +40,6 @@ def sql_query(name: str, sql: str, oracle: str | None = None) -> None:
     """Register one SQL text over tables and civic views; without an oracle the same text runs on DuckDB."""
     import re
 
-    from ledgerlens.sources.civic import VIEWS
-
     known = [*VIEWS, *"region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()]
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:

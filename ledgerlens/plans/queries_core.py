@@ -201,7 +201,16 @@ def _(t):
     return geography.state_shares(good(t), ["NATION_1", "NATION_2", "NATION_3"])
 
 
-@query("spending_categories", "SELECT CASE " + " ".join(f"WHEN {' OR '.join(f'contains(lower(purpose), {w!r})' for w in words)} THEN '{name}'" for name, words in __import__("ledgerlens.functions.text", fromlist=["x"]).CATEGORIES) + " ELSE 'other' END AS category, round(sum(amount), 2) AS total_amount, count(*) AS n, round(avg(amount), 2) AS mean_amount, min(purpose) AS sample FROM expenditures WHERE NOT archived GROUP BY 1")
+@query("spending_categories", """SELECT category, round(sum(amount), 2) AS total_amount, count(*) AS n, round(avg(amount), 2) AS mean_amount, min(purpose) AS sample FROM (SELECT amount, purpose, CASE
+WHEN regexp_matches(lower(purpose), 'advertis|media|digital|facebook|google|youtube|radio|television|tv|mail|billboard') THEN 'media_advertising'
+WHEN regexp_matches(lower(purpose), 'consult|strateg|advis|poll|research|analytics|data|professional service') THEN 'consulting_professional'
+WHEN regexp_matches(lower(purpose), 'legal|attorney|law|compliance|filing|accounting|audit|treasurer') THEN 'legal_compliance'
+WHEN regexp_matches(lower(purpose), 'travel|hotel|flight|airfare|uber|lyft|mileage|event|venue|catering') THEN 'travel_events'
+WHEN regexp_matches(lower(purpose), 'salary|payroll|wage|stipend|staff|contract labor|compensation') THEN 'payroll_staff'
+WHEN regexp_matches(lower(purpose), 'fundrais(?:ing|er)|donation platform|ticket|actblue') THEN 'fundraising'
+WHEN regexp_matches(lower(purpose), 'print|postage|brochure|flyer') THEN 'printing_postage'
+WHEN regexp_matches(lower(purpose), 'rent|office|supplies|phone|internet|utilities|software|license|subscription') THEN 'office_admin'
+ELSE 'uncategorized' END AS category FROM expenditures WHERE NOT archived) GROUP BY 1""")
 def _(t):
     rows = t.expenditures.where(current_native()).withColumn("category", spending_category(F.col("purpose")))
     return rows.groupBy("category").agg(F.round(F.sum("amount"), 2).alias("total_amount"), F.count("*").alias("n"), F.round(F.avg("amount"), 2).alias("mean_amount"), F.min("purpose").alias("sample"))

@@ -121,15 +121,6 @@ def _(t):
     return kernels.betweenness(small_network(t))
 
 
-@query("committee_families", "WITH RECURSIVE p AS (SELECT DISTINCT a.committee_id AS a, b.committee_id AS b FROM links a JOIN links b ON a.candidate_id = b.candidate_id AND a.committee_id < b.committee_id JOIN committees x ON x.committee_id = a.committee_id JOIN committees y ON y.committee_id = b.committee_id WHERE x.nation_id = y.nation_id), q AS (SELECT a AS node, b AS other FROM p UNION SELECT b, a FROM p), h(node, root) AS (SELECT node, node FROM q UNION SELECT q.other, h.root FROM h JOIN q ON h.node = q.node) SELECT node AS committee_id, min(root) AS family_id FROM h GROUP BY 1")
-def _(t):
-    own = t.links.join(t.committees.select("committee_id", "nation_id"), "committee_id")
-    a, b = own.alias("a"), own.alias("b")
-    pairs = a.join(b, (F.col("a.candidate_id") == F.col("b.candidate_id")) & (F.col("a.nation_id") == F.col("b.nation_id")) & (F.col("a.committee_id") < F.col("b.committee_id")))
-    found = graph.components(pairs.select(F.col("a.committee_id").alias("src"), F.col("b.committee_id").alias("dst")).distinct())
-    return found.select(F.col("node").alias("committee_id"), F.col("component").alias("family_id"))
-
-
 @query("money_destinations", f"WITH s AS (SELECT state, committee_id, round(sum(amount), 2) AS flow FROM receipts WHERE {GOOD} GROUP BY ALL) SELECT state, committee_id, flow FROM s WHERE flow >= 1000 ORDER BY flow DESC, state, committee_id LIMIT 100")
 def _(t):
     flows = good(t).groupBy("state", "committee_id").agg(F.round(F.sum("amount"), 2).alias("flow"))

@@ -90,12 +90,12 @@ def _(t):
     return matching.trigram_pairs(t.part, "p_partkey", "p_name", 0.3, ["p_brand", "p_size"])
 
 
-@query("address_score", "SELECT a.s_suppkey AS left_id, b.c_custkey AS right_id, CASE WHEN a.s_suppkey % 5 = b.c_custkey % 5 AND a.s_suppkey % 7 = b.c_custkey % 7 THEN 1.0::DOUBLE WHEN a.s_suppkey % 7 = b.c_custkey % 7 THEN 0.7 WHEN a.s_suppkey % 3 = b.c_custkey % 3 THEN 0.5 ELSE 0.2 END AS score FROM supplier a JOIN customer b ON a.s_nationkey = b.c_nationkey")
+@query("address_score", """SELECT d.ein, d.person_name, b.donor_key, CASE WHEN d.state <> b.state THEN 0.0::DOUBLE WHEN substr(d.zip, 1, 5) = substr(b.zip, 1, 5) AND lower(d.city) = lower(b.city) THEN 1.0 WHEN substr(d.zip, 1, 5) = substr(b.zip, 1, 5) THEN 0.7
+WHEN lower(d.city) = lower(b.city) THEN 0.5 ELSE 0.2 END AS score FROM directors527 d JOIN donor_book b ON upper(d.state) = upper(b.state) WHERE b.total_amount > 900000""")
 def _(t):
-    rows = t.supplier.join(t.customer, F.col("s_nationkey") == F.col("c_nationkey"))
-    part = lambda c, n: (F.col(c) % n).cast("string")
-    score = matching.address_score(part("s_suppkey", 5), part("c_custkey", 5), part("s_suppkey", 7), part("c_custkey", 7), F.col("s_nationkey").cast("string"), F.col("c_nationkey").cast("string"), part("s_suppkey", 3), part("c_custkey", 3))
-    return rows.select(F.col("s_suppkey").alias("left_id"), F.col("c_custkey").alias("right_id"), score.alias("score"))
+    donors = t.donor_book.where("total_amount > 900000").select("donor_key", F.col("city").alias("c"), F.col("state").alias("s"), F.col("zip").alias("z"))
+    rows = t.directors527.join(donors, F.upper("state") == F.upper("s"))
+    return rows.select("ein", "person_name", "donor_key", matching.address_score(*map(F.col, ("city", "state", "zip", "c", "s", "z"))).alias("score"))
 
 
 @query("tiered_match", """WITH l AS (SELECT c_custkey, c_nationkey AS nation, c_mktsegment AS seg, (c_custkey % 40)::BIGINT AS num FROM customer), r AS (SELECT s_suppkey, s_nationkey AS nation, (s_suppkey % 40)::BIGINT AS num, s_acctbal FROM supplier),

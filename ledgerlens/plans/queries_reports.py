@@ -46,9 +46,6 @@ WHERE c.race_key = 'Brand#7' GROUP BY c.candidate_id, c.candidate_name""",
     "race_office_candidates": """
 SELECT c.candidate_id, c.candidate_name, round(sum(e.amount), 2) AS total_amount FROM candidates c JOIN expenditures e ON c.candidate_id = e.candidate_id
 WHERE c.race_key = 'Brand#7' AND c.office = 'PROMO' GROUP BY c.candidate_id, c.candidate_name""",
-    "lobbying_donor_overlap": f"""
-SELECT c.committee_id, c.committee_name, r.state, round(sum(r.amount), 2) AS total_amount FROM committees c LEFT JOIN receipts r ON c.committee_id = r.committee_id
-WHERE {GOOD} AND r.region = 'ASIA' GROUP BY c.committee_id, c.committee_name, r.state""",
     "dual_system_donors": """
 SELECT a.donor_key, a.x AS state_amount, b.y AS other_amount, round(a.x + b.y, 2) AS both_amount
 FROM (SELECT donor_key, round(sum(amount), 2) AS x FROM receipts WHERE committee_id < 50 GROUP BY donor_key) a
@@ -67,10 +64,6 @@ SELECT CASE WHEN purpose ILIKE '%gear%' THEN 'digital' WHEN purpose ILIKE '%plat
 count(*) AS n, round(sum(amount), 2) AS total_amount FROM expenditures GROUP BY 1""",
     "competitive_races": "SELECT race_key, office, count(*) AS candidates FROM candidates GROUP BY race_key, office HAVING count(*) >= 3",
     "single_committee_check": f"SELECT committee_id, count(*) AS n, round(sum(amount), 2) AS total_amount, min(received_date) AS first_day, max(received_date) AS last_day FROM receipts WHERE {GOOD} AND committee_id = 42 GROUP BY committee_id",
-    "director_donor_overlap": f"""
-SELECT s.s_name AS director, r.donor_name, round(sum(r.amount), 2) AS total_amount FROM supplier s LEFT JOIN receipts r ON s.s_suppkey = r.donor_id
-WHERE {GOOD} GROUP BY s.s_name, r.donor_name""",
-    "org_triple": "SELECT payee_name, count(DISTINCT committee_id) AS committees, count(DISTINCT race_key) AS races, count(DISTINCT candidate_id) AS candidates FROM expenditures GROUP BY payee_name",
     "org_top_spenders": "SELECT s.committee_name, round(sum(e.amount), 2) AS total_amount FROM expenditures e JOIN committees s ON e.committee_id = s.committee_id WHERE cast(year(e.expended_date) AS INT) IN (1998, 1999) GROUP BY s.committee_name",
 }
 

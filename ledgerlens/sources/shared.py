@@ -40,6 +40,12 @@ def _delete(spark: SparkSession, path: str) -> None:
     _WRITTEN.discard(path)
 
 
+def exists(df: DataFrame) -> bool:
+    """Whether what materialize() wrote for df is still there."""
+    path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._ledgerlens_path)
+    return path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).exists(path)
+
+
 def discard(df: DataFrame | None) -> None:
     """Delete what materialize() wrote for df, once nothing reads it any more."""
     path = getattr(df, "_ledgerlens_path", None)
