@@ -126,16 +126,14 @@ class Api:
     def reconciliation(self, floor: float = 1000.0, n: int = 50) -> DataFrame:
         return filings.recon_outliers(filings.reconcile(self.t.filings, self.t.receipts), floor, n)
 
-    def cogiving(self, top: int = 60, shared: int = 2, least: float = 1000.0) -> DataFrame:
-        return graph.shared_pairs(self.edges(), "donor_key", "committee_id", "total_amount", shared, least, top)
+    def cogiving(self, donors: int = 800, edges: int = 1200, least: float = 5000.0, shared: int = 2) -> DataFrame:
+        return graph.cogiving(self.edges(), self.t.links, donors, edges, least, shared)
 
-    def similarity(self, shared: int = 3) -> DataFrame:
-        return graph.shared_pairs(self.edges(), "committee_id", "donor_key", "total_amount", shared)
+    def similarity(self, committees: int = 500, edges: int = 1200, shared: int = 3, least: float = 10_000.0) -> DataFrame:
+        return graph.similarity(self.edges(), committees, edges, shared, least)
 
-    def competition(self, shared: int = 3) -> DataFrame:
-        counts = self.t.links.groupBy("committee_id").agg(F.count("*").alias("n"))
-        money = self.edges().join(self.t.links, "committee_id").join(counts, "committee_id").groupBy("donor_key", "candidate_id").agg(F.sum(F.col("total_amount") / F.col("n")).alias("amount"))
-        return graph.shared_pairs(money, "candidate_id", "donor_key", "amount", shared, top=20)
+    def competition(self, candidates: int = 250, edges: int = 1200, shared: int = 2, least: float = 2_500.0) -> DataFrame:
+        return graph.competition(self.edges(), self.t.links, candidates, edges, shared, least)
 
     def risk(self) -> DataFrame:
         recon = filings.mismatch_status(filings.reconcile(self.t.filings, self.t.receipts))

@@ -77,3 +77,12 @@ def entity_risk(recon: DataFrame, spikes: DataFrame, flags: DataFrame) -> DataFr
     b = flags.select("committee_id", F.lit("concentration").alias("kind"), F.col("hhi").alias("measure"), level("hhi", 2500.0).alias("severity"))
     c = recon.where("status = 'mismatch'").select("committee_id", F.lit("reconciliation").alias("kind"), F.abs("difference").alias("measure"), level("difference", 10000.0).alias("severity"))
     return a.unionByName(b).unionByName(c)
+
+
+def overlap_network(matches: DataFrame, edges: DataFrame, cap: int) -> DataFrame:
+    """(edge_type, src, dst, weight): matched donors of both registers and the local ones' gifts to committees; the `cap` heaviest of each."""
+    known = matches.select("donor_key").distinct()
+    gifts = edges.join(known, "donor_key", "left_semi").select(F.lit("gift").alias("edge_type"), F.col("donor_key").alias("src"), F.concat(F.lit("committee:"), F.col("committee_id").cast("string")).alias("dst"), F.col("total_amount").alias("weight"))
+    links = matches.select(F.lit("match").alias("edge_type"), F.col("federal_key").alias("src"), F.col("donor_key").alias("dst"), F.col("confidence").alias("weight"))
+    rank = F.row_number().over(Window.partitionBy("edge_type").orderBy(F.desc("weight"), "src", "dst"))
+    return links.unionByName(gifts).withColumn("__n", rank).where(F.col("__n") <= cap).drop("__n")

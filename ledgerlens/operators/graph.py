@@ -25,17 +25,88 @@ def bridge_ratio(edges: DataFrame, labels: DataFrame) -> DataFrame:
     return out.select("node", F.when(F.col("label").isNotNull() & (F.col("n") > 0), F.round(F.col("x") / F.col("n"), 4)).alias("bridge_ratio"), F.col("n").alias("known_edges"))
 
 
-def shared_pairs(edges: DataFrame, member: str, group: str, amount: str, min_shared: int = 1, min_amount: float = 0.0, top: int | None = None, digits: int = 2) -> DataFrame:
+def shared_pairs(edges: DataFrame, member: str, group: str, amount: str, min_shared: int = 1, min_amount: float = 0.0, top: int | None = None, digits: int = 2, members: DataFrame | None = None) -> DataFrame:
     """Unordered pairs of members with shared groups: count, and the sum of the smaller amounts.
 
-    edges has one row per (member, group). `top` keeps each group's largest members by amount before pairing, which bounds the pairs of a group.
+    edges has one row per (member, group). What a group can make is bounded by the definition: `top` keeps each group's largest members by amount, `members`
+    (one column, a pool of bounded size) only those. A group's members then form one short sorted array, from which its pairs are made in place.
     """
     rows = edges.select(F.col(member).alias("m"), F.col(group).alias("g"), F.col(amount).alias("a"))
+    names = None
+    if members is not None:  # pairs of numbers in the order of the names are far smaller than pairs of names
+        pool = members.select(F.col(members.columns[0]).alias("m")).distinct()
+        names = materialize(pool.withColumn("i", F.row_number().over(Window.orderBy("m"))), "pool")
+        rows = rows.join(F.broadcast(names), "m").select(F.col("i").alias("m"), "g", "a")
     if top:
         rows = rows.withColumn("__n", F.row_number().over(Window.partitionBy("g").orderBy(F.desc("a"), "m"))).where(F.col("__n") <= top).drop("__n")
-    left, right = rows.select("g", F.col("m").alias("m1"), F.col("a").alias("a1")), rows.select("g", F.col("m").alias("m2"), F.col("a").alias("a2"))
-    pairs = left.join(right, "g").where("m1 < m2").groupBy("m1", "m2").agg(F.count("*").alias("shared"), F.round(F.sum(F.least("a1", "a2")), digits).alias("weight"))
-    return pairs.where((F.col("shared") >= min_shared) & (F.col("weight") >= min_amount))
+    if not top and members is None:
+        left, right = rows.select("g", F.col("m").alias("m1"), F.col("a").alias("a1")), rows.select("g", F.col("m").alias("m2"), F.col("a").alias("a2"))
+        pairs = left.join(right, "g").where("m1 < m2")
+    else:
+        lists = rows.groupBy("g").agg(F.array_sort(F.collect_list(F.struct("m", "a"))).alias("xs")).where(F.size("xs") > 1)
+        first = lists.select("xs", F.posexplode("xs").alias("i", "x"))
+        pairs = first.select("x", F.explode(F.slice("xs", F.col("i") + 2, F.size("xs"))).alias("y")).select(F.col("x.m").alias("m1"), F.col("x.a").alias("a1"), F.col("y.m").alias("m2"), F.col("y.a").alias("a2"))
+    found = pairs.groupBy("m1", "m2").agg(F.count("*").alias("shared"), F.round(F.sum(F.least("a1", "a2")) + F.lit(1e-6), digits).alias("weight"))
+    found = found.where((F.col("shared") >= min_shared) & (F.col("weight") >= min_amount))
+    if names is None:
+        return found
+    name = lambda k: F.broadcast(names.select(F.col("i").alias(f"m{k}"), F.col("m").alias(f"__{k}")))
+    return found.join(name(1), "m1").join(name(2), "m2").select(F.col("__1").alias("m1"), F.col("__2").alias("m2"), "shared", "weight")
+
+
+def largest(edges: DataFrame, key: str, n: int, amount: str = "total_amount") -> DataFrame:
+    """The n keys of the largest sums."""
+    return edges.groupBy(key).agg(F.round(F.sum(amount), 2).alias("__s")).orderBy(F.desc("__s"), key).limit(n).select(key)
+
+
+def heaviest(pairs: DataFrame, n: int) -> DataFrame:
+    return pairs.orderBy(F.desc("weight"), F.desc("shared"), "m1", "m2").limit(n)
+
+
+def candidate_money(edges: DataFrame, links: DataFrame) -> DataFrame:
+    """(donor_key, candidate_id, amount): a committee's gift split over its linked candidates."""
+    return candidate_money_of(edges, links, links)
+
+
+def candidate_money_of(edges: DataFrame, links: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The same for the wanted links only; a gift is still split over all links of the committee."""
+    own = lambda df: df.where("candidate_id IS NOT NULL").select("committee_id", "candidate_id").distinct()
+    counts = own(links).groupBy("committee_id").agg(F.count("*").alias("n"))
+    rows = edges.join(own(wanted), "committee_id").join(counts, "committee_id")
+    return rows.groupBy("donor_key", "candidate_id").agg(F.round(F.sum(F.col("total_amount") / F.col("n")), 6).alias("amount"))
+
+
+def cogiving(edges: DataFrame, links: DataFrame, donor_limit: int = 800, edge_limit: int = 1200, min_amount: float = 5000.0, min_shared: int = 2) -> DataFrame:
+    """Pairs of the largest donors by shared targets: committees in one pass, linked candidates (gifts split) in another.
+
+    Each pass has its own minima and keeps its 4 x edge_limit heaviest pairs; the passes are added, so that one gift may count in both, and the heaviest edge_limit stay.
+    """
+    edges = edges.select("donor_key", "committee_id", "total_amount")
+    pool = largest(edges, "donor_key", donor_limit)
+    few = edges.join(F.broadcast(pool), "donor_key", "left_semi")
+    committees = heaviest(shared_pairs(few, "donor_key", "committee_id", "total_amount", min_shared, min_amount, members=pool), 4 * edge_limit)
+    candidates = heaviest(shared_pairs(candidate_money(few, links), "donor_key", "candidate_id", "amount", min_shared, min_amount, members=pool), 4 * edge_limit)
+    zero = F.lit(0).cast("long")
+    both = committees.select("m1", "m2", F.col("shared").alias("c"), zero.alias("k"), "weight").unionByName(candidates.select("m1", "m2", zero.alias("c"), F.col("shared").alias("k"), "weight"))
+    merged = both.groupBy("m1", "m2").agg(F.sum("c").alias("shared_committees"), F.sum("k").alias("shared_candidates"), F.sum(F.col("c") + F.col("k")).alias("shared"), F.round(F.sum("weight"), 2).alias("weight"))
+    return heaviest(merged, edge_limit)
+
+
+def similarity(edges: DataFrame, committee_limit: int = 500, edge_limit: int = 1200, min_shared: int = 3, min_amount: float = 10_000.0) -> DataFrame:
+    """Pairs of the largest committees by shared donors, of the largest donors (six for each committee of the limit, 600 to 6,000)."""
+    edges = edges.select("donor_key", "committee_id", "total_amount")
+    pool = largest(edges, "committee_id", committee_limit)
+    few = edges.join(F.broadcast(largest(edges, "donor_key", min(max(committee_limit * 6, 600), 6_000))), "donor_key", "left_semi")
+    return heaviest(shared_pairs(few, "committee_id", "donor_key", "total_amount", min_shared, min_amount, members=pool), edge_limit)
+
+
+def competition(edges: DataFrame, links: DataFrame, candidate_limit: int = 250, edge_limit: int = 1200, min_shared: int = 2, min_amount: float = 2_500.0, top: int = 20) -> DataFrame:
+    """Pairs of candidates by shared donors: the largest donors (25 for each candidate of the limit, 1,500 to 8,000), the largest candidates among them, each donor's `top` candidates."""
+    edges = edges.select("donor_key", "committee_id", "total_amount")
+    few = edges.join(F.broadcast(largest(edges, "donor_key", min(max(candidate_limit * 25, 1_500), 8_000))), "donor_key", "left_semi")
+    money = materialize(candidate_money(few, links).where("amount > 0"), "candidate-money")
+    own = money.join(F.broadcast(largest(money, "candidate_id", candidate_limit, "amount")), "candidate_id", "left_semi")
+    return heaviest(shared_pairs(own, "candidate_id", "donor_key", "amount", min_shared, min_amount, top=top), edge_limit)
 
 
 def hops(edges: DataFrame, start: DataFrame, max_hops: int = 3) -> DataFrame:
@@ -52,11 +123,11 @@ def hops(edges: DataFrame, start: DataFrame, max_hops: int = 3) -> DataFrame:
     return seen
 
 
-def components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, component): the smallest node reachable, by minimum labels with pointer jumping. Nodes without edges are not listed."""
     both = materialize(endpoints(edges.withColumn("weight", F.lit(1.0))).select("node", "other").distinct(), "edges")
     label = both.groupBy("node").agg(F.least(F.min("other"), F.col("node")).alias("component"))
-    for _ in range(max_rounds):
+    while True:  # labels only fall, so this ends
         label = materialize(label, "labels")
         near = both.join(label.select(F.col("node").alias("other"), F.col("component").alias("c")), "other").groupBy("node").agg(F.min("c").alias("c"))
         lower = label.join(near, "node").select("node", "component", F.least("component", "c").alias("next"))
@@ -99,6 +170,23 @@ def influence(degrees: DataFrame, ranks: DataFrame, kinds: DataFrame) -> DataFra
     return rows.crossJoin(F.broadcast(top)).select("node", "kind", F.round(score, 4).alias("influence"))
 
 
+def metrics(edges: DataFrame, labels: DataFrame, sources: int = 32, seed: int = 42) -> DataFrame:
+    """One row per node of a bounded network: degrees, sampled betweenness, community and bridge ratio. Beyond the kernels' bound it raises."""
+    from ledgerlens.operators import kernels
+
+    out = degree_centrality(edges).join(kernels.betweenness(edges), "node", "left").join(kernels.louvain(edges), "node", "left")
+    return out.join(bridge_ratio(edges, labels), "node", "left")
+
+
+def capped_layers(layers: dict[str, DataFrame], per_layer: int, cap: int) -> DataFrame:
+    """Edges (src, dst, weight) of several layers: the heaviest of each, then the heaviest of all."""
+    union = None
+    for name, df in layers.items():
+        own = df.select(F.lit(name).alias("layer"), "src", "dst", "weight").orderBy(F.desc("weight"), "src", "dst").limit(per_layer)
+        union = own if union is None else union.unionByName(own)
+    return union.orderBy(F.desc("weight"), "layer", "src", "dst").limit(cap)
+
+
 def ego(edges: DataFrame, node: str, caps: dict[str, int]) -> DataFrame:
     """Edges at a node, per type the largest up to its cap, the rest folded into one `other` edge per type; weights are rounded first."""
     own = edges.where((F.col("src") == node) | (F.col("dst") == node)).withColumn("weight", F.round("weight", 2))

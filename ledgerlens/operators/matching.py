@@ -62,13 +62,15 @@ def address_score(city_a: Column, state_a: Column, zip_a: Column, city_b: Column
 def tiered_match(left: DataFrame, right: DataFrame, tiers: list[tuple[str, list[str], float]], left_id: str, right_id: str, order: list, keep: int = 3) -> DataFrame:
     """First tier with a match wins per left row; of its matches the first `keep` in the order stay, with the tier's confidence.
 
-    A tier is (name, equal columns, confidence); blank or null columns never match.
+    A tier is (name, equal columns, confidence); blank or null columns never match. The order is one of the right rows, so of each tier key only
+    its first `keep` right rows are joined: a left row meets at most `keep` rows a tier, however crowded a key is.
     """
     union = None
     for rank, (name, columns, confidence) in enumerate(tiers):
         a, b = left, right
         for c in columns:
             a, b = a.where(F.coalesce(F.trim(F.col(c).cast("string")), F.lit("")) != ""), b.where(F.col(c).isNotNull())
+        b = b.withColumn("__r", F.row_number().over(Window.partitionBy(*columns).orderBy(*order))).where(F.col("__r") <= keep).drop("__r")
         found = a.select(left_id, *columns).join(b.select(right_id, *dict.fromkeys([*columns, *[c for c in right.columns if c not in (right_id, *columns)]])), columns)
         found = found.select(left_id, right_id, *[c for c in right.columns if c not in (right_id, *[x for t in tiers for x in t[1]])], F.lit(rank).alias("__rank"), F.lit(name).alias("tier"), F.lit(confidence).alias("confidence"))
         union = found if union is None else union.unionByName(found)

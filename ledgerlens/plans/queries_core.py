@@ -160,11 +160,6 @@ def _(t):
     return trends.size_bands_by_year(good(t))
 
 
-@query("vendor_growth_yoy", "SELECT payee_name, before, after, round(after / before, 4) AS ratio FROM (SELECT payee_name, round(sum(amount) FILTER (WHERE year(expended_date) = 1998), 2) AS before, round(sum(amount) FILTER (WHERE year(expended_date) = 1999), 2) AS after FROM expenditures GROUP BY 1) WHERE before > 0 AND after > 0")
-def _(t):
-    return trends.growth(t.expenditures, "payee_name", 1998, 1999)
-
-
 @query("cycle_totals_null_kept", "SELECT committee_id, (year(received_date) + year(received_date) % 2)::INT AS cycle, round(sum(amount), 2) AS total_amount, count(*) AS n FROM receipts WHERE amount > 0 AND NOT coalesce(archived, FALSE) GROUP BY ALL")
 def _(t):
     return trends.cycle_totals(t.receipts.where(all_receipts()), ("committee_id",))

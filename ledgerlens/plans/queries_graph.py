@@ -41,27 +41,43 @@ def _(t):
     return graph.bridge_ratio(network(t), labels)
 
 
-@query("cogiving_pairs", f"WITH {EDGES}, k AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY committee_id ORDER BY total_amount DESC, donor_key) AS n FROM e) WHERE n <= 60) SELECT a.donor_key AS m1, b.donor_key AS m2, count(*) AS shared, round(sum(least(a.total_amount, b.total_amount)), 2) AS weight FROM k a JOIN k b ON a.committee_id = b.committee_id AND a.donor_key < b.donor_key GROUP BY ALL HAVING count(*) >= 2 AND round(sum(least(a.total_amount, b.total_amount)), 2) >= 1000")
+_HEAVY = "ORDER BY weight DESC, shared DESC, m1, m2 LIMIT"
+_POOL = "SELECT {k} FROM (SELECT {k}, round(sum({a}), 2) AS s FROM {t} GROUP BY 1 ORDER BY s DESC, {k} LIMIT {n})"
+_MONEY = "lk AS (SELECT DISTINCT committee_id, candidate_id FROM links WHERE candidate_id IS NOT NULL), lc AS (SELECT committee_id, count(*) AS n FROM lk GROUP BY 1)"
+
+
+def _pairs(table: str, member: str, group: str, amount: str, shared: int, least: float, limit: int) -> str:
+    weight = f"round(sum(least(a.{amount}, b.{amount})) + 1e-6::DOUBLE, 2)"
+    return f"SELECT a.{member} AS m1, b.{member} AS m2, count(*) AS shared, {weight} AS weight FROM {table} a JOIN {table} b ON a.{group} = b.{group} AND a.{member} < b.{member} GROUP BY ALL HAVING count(*) >= {shared} AND {weight} >= {least} {_HEAVY} {limit}"
+
+
+@query("cogiving_pairs", f"""WITH {EDGES}, {_MONEY}, f AS (SELECT donor_key, committee_id, total_amount FROM e WHERE donor_key IN ({_POOL.format(k='donor_key', a='total_amount', t='e', n=800)})),
+g AS (SELECT donor_key, candidate_id, round(sum(total_amount / n), 6) AS amount FROM f JOIN lk USING (committee_id) JOIN lc USING (committee_id) GROUP BY ALL),
+p AS ({_pairs('f', 'donor_key', 'committee_id', 'total_amount', 2, 5000, 4800)}), q AS ({_pairs('g', 'donor_key', 'candidate_id', 'amount', 2, 5000, 4800)}),
+u AS (SELECT m1, m2, shared AS c, 0 AS k, weight FROM p UNION ALL SELECT m1, m2, 0, shared, weight FROM q)
+SELECT m1, m2, sum(c)::BIGINT AS shared_committees, sum(k)::BIGINT AS shared_candidates, sum(c + k)::BIGINT AS shared, round(sum(weight), 2) AS weight FROM u GROUP BY ALL {_HEAVY} 1200""")
 def _(t):
-    return graph.shared_pairs(edges(t), "donor_key", "committee_id", "total_amount", 2, 1000.0, top=60)
+    return graph.cogiving(edges(t), t.links)
 
 
-@query("committee_similarity", f"WITH {EDGES} SELECT a.committee_id AS m1, b.committee_id AS m2, count(*) AS shared, round(sum(least(a.total_amount, b.total_amount)), 2) AS weight FROM e a JOIN e b ON a.donor_key = b.donor_key AND a.committee_id < b.committee_id GROUP BY ALL HAVING count(*) >= 3")
+@query("committee_similarity", f"""WITH {EDGES}, f AS (SELECT donor_key, committee_id, total_amount FROM e WHERE donor_key IN ({_POOL.format(k='donor_key', a='total_amount', t='e', n=3000)}) AND committee_id IN ({_POOL.format(k='committee_id', a='total_amount', t='e', n=500)}))
+{_pairs('f', 'committee_id', 'donor_key', 'total_amount', 3, 10000, 1200)}""")
 def _(t):
-    return graph.shared_pairs(edges(t), "committee_id", "donor_key", "total_amount", 3)
+    return graph.similarity(edges(t))
 
 
-@query("candidate_competition", f"WITH {EDGES}, lc AS (SELECT committee_id, count(*) AS n FROM links GROUP BY 1), d AS (SELECT donor_key, candidate_id, round(sum(total_amount / n), 9) AS amount FROM e JOIN links USING (committee_id) JOIN lc USING (committee_id) GROUP BY ALL), k AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY donor_key ORDER BY amount DESC, candidate_id) AS n FROM d) WHERE n <= 20) SELECT a.candidate_id AS m1, b.candidate_id AS m2, count(*) AS shared, round(sum(least(a.amount, b.amount)) + 1e-6::DOUBLE, 2) AS weight FROM k a JOIN k b ON a.donor_key = b.donor_key AND a.candidate_id < b.candidate_id GROUP BY ALL HAVING count(*) >= 20")
+@query("candidate_competition", f"""WITH {EDGES}, {_MONEY}, f AS (SELECT * FROM e WHERE donor_key IN ({_POOL.format(k='donor_key', a='total_amount', t='e', n=6250)})),
+g AS (SELECT donor_key, candidate_id, round(sum(total_amount / n), 6) AS amount FROM f JOIN lk USING (committee_id) JOIN lc USING (committee_id) GROUP BY ALL HAVING round(sum(total_amount / n), 6) > 0),
+o AS (SELECT * FROM g WHERE candidate_id IN ({_POOL.format(k='candidate_id', a='amount', t='g', n=250)})),
+k AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY donor_key ORDER BY amount DESC, candidate_id) AS n FROM o) WHERE n <= 20) {_pairs('k', 'candidate_id', 'donor_key', 'amount', 2, 2500, 1200)}""")
 def _(t):
-    counts = t.links.groupBy("committee_id").agg(F.count("*").alias("n"))
-    money = edges(t).join(t.links, "committee_id").join(counts, "committee_id").groupBy("donor_key", "candidate_id").agg(F.round(F.sum(F.col("total_amount") / F.col("n")), 9).alias("amount"))
-    return graph.shared_pairs(money, "candidate_id", "donor_key", "amount", 20, top=20, digits=9).withColumn("weight", F.round(F.col("weight") + F.lit(1e-6), 2))
+    return graph.competition(edges(t), t.links)
 
 
-@query("bfs_hops", "WITH RECURSIVE q AS (SELECT DISTINCT 's' || l_suppkey AS src, 'p' || l_partkey AS dst FROM lineitem WHERE l_quantity >= 49), b AS (SELECT src AS node, dst AS other FROM q UNION SELECT dst, src FROM q), h(node, hop) AS (SELECT 's1', 0 UNION SELECT b.other, h.hop + 1 FROM h JOIN b ON h.node = b.node WHERE h.hop < 3) SELECT node, min(hop)::INT AS hop FROM h GROUP BY 1")
+@query("bfs_hops", "WITH RECURSIVE q AS (SELECT DISTINCT 's' || l_suppkey AS src, 'p' || l_partkey AS dst FROM lineitem), b AS (SELECT src AS node, dst AS other FROM q UNION SELECT dst, src FROM q), h(node, hop) AS (SELECT 's1', 0 UNION SELECT b.other, h.hop + 1 FROM h JOIN b ON h.node = b.node WHERE h.hop < 3) SELECT node, min(hop)::INT AS hop FROM h GROUP BY 1")
 def _(t):
-    rows = t.lineitem.where("l_quantity >= 49").select(F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("src"), F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("dst"), F.lit(1.0).alias("weight"))
-    start = t.region.limit(1).select(F.lit("s1").alias("node"))
+    rows = t.lineitem.select(F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("src"), F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("dst"), F.lit(1.0).alias("weight"))
+    start = t.spark.range(1).select(F.lit("s1").alias("node"))
     return graph.hops(rows, start, 3)
 
 
@@ -69,7 +85,7 @@ def _(t):
 def _(t):
     """Follow the money from committee 1 over all edges: donors to committees to linked candidates. No oracle; tested against brute force."""
     links = t.links.select(F.concat(F.lit("committee:"), F.col("committee_id").cast("string")).alias("src"), F.concat(F.lit("candidate:"), F.col("candidate_id").cast("string")).alias("dst"), F.lit(1.0).alias("weight"))
-    start = t.region.limit(1).select(F.lit("committee:1").alias("node"))
+    start = t.spark.range(1).select(F.lit("committee:1").alias("node"))
     return graph.hops(network(t).unionByName(links), start, 3)
 
 
@@ -94,18 +110,32 @@ def _(t):
     return graph.channel_graph(a.unionByName(b), ["receipt", "payment"])
 
 
-@query("pagerank_fixed_iter")
+def _rank_sql(rounds: int = 25, damping: float = 0.85) -> str:
+    """The rounds of PageRank one by one; ends with `pr` (node, rank relative to the largest)."""
+    ctes = [NET, BOTH, "w AS (SELECT node, other, sum(weight) AS w FROM b GROUP BY ALL)", "tot AS (SELECT node, sum(w) AS total FROM w GROUP BY 1)", "sh AS MATERIALIZED (SELECT node, other, w / total AS p FROM w JOIN tot USING (node) WHERE total > 0)", "nn AS (SELECT count(*) AS n FROM tot)", "r0 AS MATERIALIZED (SELECT node, 1.0::DOUBLE / n AS rank FROM tot, nn)"]
+    for i in range(rounds):
+        ctes.append(f"r{i + 1} AS MATERIALIZED (SELECT t.node, (1 - {damping}::DOUBLE) / n + {damping}::DOUBLE * (coalesce(g.got, 0) + (SELECT coalesce(sum(rank), 0) FROM r{i} JOIN tot USING (node) WHERE total <= 0) / n) AS rank FROM tot t CROSS JOIN nn LEFT JOIN (SELECT other, sum(p * rank) AS got FROM sh JOIN r{i} USING (node) GROUP BY 1) g ON t.node = g.other)")
+    return ", ".join(ctes) + f", pr AS (SELECT node, round(rank / (SELECT max(rank) FROM r{rounds}), 6) AS rank FROM r{rounds})"
+
+
+@query("pagerank_fixed_iter", f"WITH {_rank_sql()} SELECT * FROM pr")
 def _(t):
     return graph.pagerank(network(t))
 
 
-@query("influence_score")
+@query("influence_score", f"WITH {_rank_sql()}, d AS (SELECT node, round(sum(weight), 2) AS wd, count(DISTINCT other) AS dg, split_part(node, ':', 1) AS kind FROM b GROUP BY 1) SELECT node, kind, round(0.55::DOUBLE * wd / max(wd) OVER (PARTITION BY kind) + 0.25::DOUBLE * dg / max(dg) OVER (PARTITION BY kind) + 0.20::DOUBLE * rank / max(rank) OVER (), 4) AS influence FROM d JOIN pr USING (node)")
 def _(t):
     net = network(t)
     degrees = graph.degree_centrality(net)
     return graph.influence(degrees, graph.pagerank(net), degrees.select("node", F.split_part("node", F.lit(":"), F.lit(1)).alias("kind")))
 
 
+@query("network_metrics")
+def _(t):
+    labels = small_network(t).select(F.col("src").alias("node")).distinct().withColumn("label", F.lit("state")).unionByName(t.committees.select(F.concat(F.lit("committee:"), F.col("committee_id").cast("string")).alias("node"), F.when(F.col("nation_id") % 2 == 0, "state").otherwise("federal").alias("label")))
+    return graph.metrics(small_network(t), labels)
+
+
 @query("label_propagation")
 def _(t):
     return kernels.label_propagation(small_network(t))
@@ -134,12 +164,25 @@ def _(t):
     return a.join(b, F.col("a.payee") == F.col("b.payer")).select(F.col("a.payer").alias("payer"), F.col("a.payee").alias("middle"), F.col("b.payee").alias("receiver"), F.least("a.amount", "b.amount").alias("through"))
 
 
-@query("multilayer_network", f"WITH a AS (SELECT 'receipt' AS layer, state AS src, 'k' || committee_id AS dst, round(sum(amount), 2) AS weight FROM receipts WHERE {GOOD} GROUP BY ALL), b AS (SELECT 'payment' AS layer, 'k' || committee_id AS src, payee_name AS dst, round(sum(amount), 2) AS weight FROM expenditures GROUP BY ALL), u AS (SELECT * FROM a UNION ALL SELECT * FROM b) SELECT layer, src, dst, weight, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY layer ORDER BY weight DESC, src, dst) AS rank FROM u) WHERE rank <= 50")
-def _(t):
-    from pyspark.sql import Window
+_LAYERS = f"""a AS (SELECT 'receipt' AS layer, state AS src, 'k' || committee_id AS dst, round(sum(amount), 2) AS weight FROM receipts WHERE {GOOD} GROUP BY ALL), b AS (SELECT 'payment' AS layer, 'k' || committee_id AS src, payee_name AS dst, round(sum(amount), 2) AS weight FROM expenditures WHERE d2_part IS NULL OR d2_part NOT LIKE '9%' GROUP BY ALL),
+o AS (SELECT 'outside' AS layer, 'k' || committee_id AS src, 'c' || candidate_id AS dst, round(sum(amount), 2) AS weight FROM expenditures WHERE d2_part LIKE '9%' GROUP BY ALL)"""
+_TOP50 = "SELECT * FROM (SELECT * FROM {x} ORDER BY weight DESC, src, dst LIMIT 50)"
 
+
+@query("multilayer_network", f"WITH {_LAYERS} SELECT layer, src, dst, weight FROM ({' UNION ALL '.join(_TOP50.format(x=x) for x in 'abo')}) ORDER BY weight DESC, layer, src, dst LIMIT 120")
+def _(t):
     node = F.concat(F.lit("k"), F.col("committee_id").cast("string"))
-    a = good(t).groupBy(F.lit("receipt").alias("layer"), F.col("state").alias("src"), node.alias("dst")).agg(F.round(F.sum("amount"), 2).alias("weight"))
-    b = t.expenditures.groupBy(F.lit("payment").alias("layer"), node.alias("src"), F.col("payee_name").alias("dst")).agg(F.round(F.sum("amount"), 2).alias("weight"))
-    rank = F.row_number().over(Window.partitionBy("layer").orderBy(F.desc("weight"), "src", "dst"))
-    return a.unionByName(b).withColumn("rank", rank).where(F.col("rank") <= 50)
+    outside = F.coalesce(F.col("d2_part").startswith("9"), F.lit(False))
+    total = F.round(F.sum("amount"), 2).alias("weight")
+    return graph.capped_layers({
+        "receipt": good(t).groupBy(F.col("state").alias("src"), node.alias("dst")).agg(total),
+        "payment": t.expenditures.where(~outside).groupBy(node.alias("src"), F.col("payee_name").alias("dst")).agg(total),
+        "outside": t.expenditures.where(outside).groupBy(node.alias("src"), F.concat(F.lit("c"), F.col("candidate_id").cast("string")).alias("dst")).agg(total),
+    }, 50, 120)
+
+
+@query("federal_donor_candidates", f"WITH {EDGES}, {_MONEY}, g AS (SELECT donor_key, candidate_id, round(sum(total_amount / n), 6) AS amount FROM e JOIN lk USING (committee_id) JOIN lc USING (committee_id) JOIN candidate_book USING (candidate_id) WHERE register = 'federal' GROUP BY ALL) SELECT donor_key AS src, candidate_id AS dst, round(amount + 1e-7::DOUBLE, 2) AS weight FROM g ORDER BY round(amount + 1e-7::DOUBLE, 2) DESC, donor_key, candidate_id LIMIT 1000")
+def _(t):
+    federal = t.links.join(t.candidate_book.where("register = 'federal'").select("candidate_id"), "candidate_id", "left_semi")
+    money = graph.candidate_money_of(edges(t).select("donor_key", "committee_id", "total_amount"), t.links, federal)
+    return money.select(F.col("donor_key").alias("src"), F.col("candidate_id").alias("dst"), F.round(F.col("amount") + F.lit(1e-7), 2).alias("weight")).orderBy(F.desc("weight"), "src", "dst").limit(1000)

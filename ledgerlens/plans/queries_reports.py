@@ -23,18 +23,6 @@ GROUP BY donor_name ORDER BY total_amount DESC, donor_name LIMIT 30""",
     "top_donors_excluding": f"""
 SELECT donor_name, round(sum(amount), 2) AS total_amount, count(*) AS n FROM receipts WHERE {GOOD} AND donor_name NOT ILIKE '%000001%' AND received_date BETWEEN DATE '1999-01-01' AND DATE '1999-12-31'
 GROUP BY donor_name ORDER BY total_amount DESC, donor_name LIMIT 30""",
-    "single_donor_dominance": f"""
-WITH d AS (SELECT filing_id, donor_key, sum(amount) AS s FROM receipts WHERE {GOOD} GROUP BY filing_id, donor_key),
-t AS (SELECT committee_id, state, round(sum(amount), 2) AS total FROM receipts WHERE {GOOD} GROUP BY committee_id, state),
-k AS (SELECT committee_id, sum(total) AS everything FROM t GROUP BY committee_id)
-SELECT t.committee_id, t.state, t.total, round(t.total / k.everything, 4) AS share FROM t JOIN k ON t.committee_id = k.committee_id WHERE t.total / k.everything > 0.06""",
-    "committee_transfers_year": """
-SELECT committee_id, round(sum(amount), 2) AS total_amount, count(DISTINCT donor_key) AS payers, count(*) AS n FROM receipts
-WHERE d2_part ILIKE '2a%' AND received_date BETWEEN DATE '1999-01-01' AND DATE '1999-12-31' GROUP BY committee_id""",
-    "top_vendors_year": """
-SELECT payee_name, round(sum(amount), 2) AS total_amount, count(DISTINCT committee_id) AS clients, count(*) AS n FROM expenditures
-WHERE expended_date BETWEEN DATE '1999-01-01' AND DATE '1999-12-31' GROUP BY payee_name ORDER BY total_amount DESC, payee_name LIMIT 30""",
-    "shared_vendors": "SELECT payee_name, count(DISTINCT committee_id) AS clients, round(sum(amount), 2) AS total_amount FROM expenditures GROUP BY payee_name HAVING count(DISTINCT committee_id) >= 10",
     "ie_by_candidate": """
 SELECT candidate_id, min(race_key) AS race_key, round(coalesce(sum(CASE WHEN supporting THEN amount END), 0), 2) AS support, round(coalesce(sum(CASE WHEN opposing THEN amount END), 0), 2) AS oppose
 FROM expenditures WHERE d2_part LIKE '9%' GROUP BY candidate_id""",
@@ -46,23 +34,6 @@ WHERE c.race_key = 'Brand#7' GROUP BY c.candidate_id, c.candidate_name""",
     "race_office_candidates": """
 SELECT c.candidate_id, c.candidate_name, round(sum(e.amount), 2) AS total_amount FROM candidates c JOIN expenditures e ON c.candidate_id = e.candidate_id
 WHERE c.race_key = 'Brand#7' AND c.office = 'PROMO' GROUP BY c.candidate_id, c.candidate_name""",
-    "dual_system_donors": """
-SELECT a.donor_key, a.x AS state_amount, b.y AS other_amount, round(a.x + b.y, 2) AS both_amount
-FROM (SELECT donor_key, round(sum(amount), 2) AS x FROM receipts WHERE committee_id < 50 GROUP BY donor_key) a
-JOIN (SELECT donor_key, round(sum(amount), 2) AS y FROM receipts WHERE committee_id >= 50 GROUP BY donor_key) b ON a.donor_key = b.donor_key
-ORDER BY both_amount DESC, a.donor_key LIMIT 100""",
-    "small_dollar_trend": f"""
-SELECT cast(year(received_date) AS INT) AS year, round(coalesce(sum(CASE WHEN amount < 20000 THEN amount END), 0), 2) AS small, round(coalesce(sum(CASE WHEN amount >= 20000 THEN amount END), 0), 2) AS large
-FROM receipts WHERE {GOOD} AND received_date IS NOT NULL GROUP BY 1""",
-    "race_year": """
-SELECT committee_id, race_key, round(sum(amount), 2) AS total_amount FROM expenditures WHERE race_key IN ('Brand#1', 'Brand#2') AND expended_date >= DATE '2000-01-01' GROUP BY committee_id, race_key""",
-    "pure_stockpile_committees": """
-SELECT r.committee_id, r.state, round(sum(r.amount), 2) AS total_amount FROM receipts r
-WHERE r.state NOT IN (SELECT n_name FROM nation JOIN supplier ON s_nationkey = n_nationkey WHERE s_acctbal > 9000) GROUP BY r.committee_id, r.state HAVING sum(r.amount) > 100000""",
-    "expenditure_purpose_breakdown": """
-SELECT CASE WHEN purpose ILIKE '%gear%' THEN 'digital' WHEN purpose ILIKE '%plate%' THEN 'events' WHEN purpose ILIKE '%widget%' THEN 'payroll' ELSE 'other' END AS purpose_class,
-count(*) AS n, round(sum(amount), 2) AS total_amount FROM expenditures GROUP BY 1""",
-    "competitive_races": "SELECT race_key, office, count(*) AS candidates FROM candidates GROUP BY race_key, office HAVING count(*) >= 3",
     "single_committee_check": f"SELECT committee_id, count(*) AS n, round(sum(amount), 2) AS total_amount, min(received_date) AS first_day, max(received_date) AS last_day FROM receipts WHERE {GOOD} AND committee_id = 42 GROUP BY committee_id",
     "org_top_spenders": "SELECT s.committee_name, round(sum(e.amount), 2) AS total_amount FROM expenditures e JOIN committees s ON e.committee_id = s.committee_id WHERE cast(year(e.expended_date) AS INT) IN (1998, 1999) GROUP BY s.committee_name",
 }

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ledgerlens.plans import queries_core, queries_cross, queries_graph, queries_match, queries_pages, queries_reports, queries_sources  # noqa: F401
+from ledgerlens.plans import queries_core, queries_cross, queries_graph, queries_match, queries_newsroom, queries_pages, queries_reports, queries_sources  # noqa: F401
 from ledgerlens.plans.catalog import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

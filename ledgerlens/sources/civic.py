@@ -67,9 +67,11 @@ DIRECTORS527 = f"SELECT s.s_suppkey AS ein, concat({_P}, ' Fund') AS org_name, c
 SPENDING527 = f"SELECT l.l_suppkey AS ein, concat('Org ', cast(l.l_suppkey AS VARCHAR(10))) AS org_name, CASE WHEN l.l_returnflag = 'R' THEN concat({_P}, ' East') ELSE concat({_P}) END AS recipient_name, CASE WHEN l.l_linestatus = 'F' THEN 'IL' ELSE 'WI' END AS state, l.l_extendedprice AS amount, cast(l.l_shipdate AS DATE) AS paid_on FROM {{lineitem}} l JOIN {{part}} p ON l.l_partkey = p.p_partkey"
 CANDIDATE_BOOK = f"SELECT p.p_partkey AS candidate_id, CASE WHEN p.p_size % 2 = 0 THEN 'state' ELSE 'federal' END AS register, concat({_P}) AS candidate_name FROM {{part}} p"
 
+FEDERAL_DONORS = f"SELECT concat('F', cast(c.c_custkey AS VARCHAR(10))) AS federal_key, upper(concat({_P})) AS federal_name, round(c.c_acctbal * 40, 2) AS federal_total, concat('City ', cast((c.c_custkey + c.c_custkey % 2) % 11 AS VARCHAR(10))) AS city, n.n_name AS state, concat(cast(60000 + c.c_custkey % 37 + c.c_custkey % 3 AS VARCHAR(10)), '') AS zip FROM {{customer}} c JOIN {{part}} p ON p.p_partkey = c.c_custkey JOIN {{nation}} n ON c.c_nationkey = n.n_nationkey"
+
 VIEWS = {"receipts": RECEIPTS, "expenditures": EXPENDITURES, "filings": FILINGS, "candidates": CANDIDATES, "links": LINKS, "committees": COMMITTEES} | {
     "lobby_clients": LOBBY_CLIENTS, "lobby_entities": LOBBY_ENTITIES, "payee_book": PAYEE_BOOK, "donor_book": DONOR_BOOK, "committee_book": COMMITTEE_BOOK, "orgs527": ORGS527,
-    "directors527": DIRECTORS527, "spending527": SPENDING527, "candidate_book": CANDIDATE_BOOK,
+    "directors527": DIRECTORS527, "spending527": SPENDING527, "candidate_book": CANDIDATE_BOOK, "federal_donors": FEDERAL_DONORS,
 }
 #: Views that most queries read: written once per session and state of their tables, as the refresh job does, and read from there.
 STORED = {"receipts", "expenditures"}
