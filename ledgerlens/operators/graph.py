@@ -25,28 +25,29 @@ def bridge_ratio(edges: DataFrame, labels: DataFrame) -> DataFrame:
     return out.select("node", F.when(F.col("label").isNotNull() & (F.col("n") > 0), F.round(F.col("x") / F.col("n"), 4)).alias("bridge_ratio"), F.col("n").alias("known_edges"))
 
 
-def shared_pairs(edges: DataFrame, member: str, group: str, amount: str, min_shared: int = 1, min_amount: float = 0.0, top: int | None = None, digits: int = 2, members: DataFrame | None = None) -> DataFrame:
+def shared_pairs(edges: DataFrame, member: str, group: str, amount: str, min_shared: int = 1, min_amount: float = 0.0, top: int | None = None, digits: int = 2, members: DataFrame | None = None, times: str | None = None) -> DataFrame:
     """Unordered pairs of members with shared groups: count, and the sum of the smaller amounts.
 
     edges has one row per (member, group). What a group can make is bounded by the definition: `top` keeps each group's largest members by amount, `members`
-    (one column, a pool of bounded size) only those. A group's members then form one short sorted array, from which its pairs are made in place.
+    (one column, a pool of bounded size) only those, by number, so that a pair is a few bytes.
+    `times`: a column that says how many equal groups a group stands for.
     """
-    rows = edges.select(F.col(member).alias("m"), F.col(group).alias("g"), F.col(amount).alias("a"))
+    rows = edges.select(F.col(member).alias("m"), F.col(group).alias("g"), F.col(amount).alias("a"), (F.col(times) if times else F.lit(1)).cast("long").alias("k"))
     names = None
     if members is not None:  # pairs of numbers in the order of the names are far smaller than pairs of names
         pool = members.select(F.col(members.columns[0]).alias("m")).distinct()
         names = materialize(pool.withColumn("i", F.row_number().over(Window.orderBy("m"))), "pool")
-        rows = rows.join(F.broadcast(names), "m").select(F.col("i").alias("m"), "g", "a")
+        rows = rows.join(F.broadcast(names), "m").select(F.col("i").alias("m"), "g", "a", "k")
     if top:
         rows = rows.withColumn("__n", F.row_number().over(Window.partitionBy("g").orderBy(F.desc("a"), "m"))).where(F.col("__n") <= top).drop("__n")
-    if not top and members is None:
-        left, right = rows.select("g", F.col("m").alias("m1"), F.col("a").alias("a1")), rows.select("g", F.col("m").alias("m2"), F.col("a").alias("a2"))
-        pairs = left.join(right, "g").where("m1 < m2")
+    if top:  # a short sorted array per group, from which its pairs are made in place
+        lists = rows.groupBy("g").agg(F.array_sort(F.collect_list(F.struct("m", "a"))).alias("xs"), F.max("k").alias("k")).where(F.size("xs") > 1)
+        first = lists.select("k", "xs", F.posexplode("xs").alias("i", "x"))
+        pairs = first.select("k", "x", F.explode(F.slice("xs", F.col("i") + 2, F.size("xs"))).alias("y")).select("k", F.col("x.m").alias("m1"), F.col("x.a").alias("a1"), F.col("y.m").alias("m2"), F.col("y.a").alias("a2"))
     else:
-        lists = rows.groupBy("g").agg(F.array_sort(F.collect_list(F.struct("m", "a"))).alias("xs")).where(F.size("xs") > 1)
-        first = lists.select("xs", F.posexplode("xs").alias("i", "x"))
-        pairs = first.select("x", F.explode(F.slice("xs", F.col("i") + 2, F.size("xs"))).alias("y")).select(F.col("x.m").alias("m1"), F.col("x.a").alias("a1"), F.col("y.m").alias("m2"), F.col("y.a").alias("a2"))
-    found = pairs.groupBy("m1", "m2").agg(F.count("*").alias("shared"), F.round(F.sum(F.least("a1", "a2")) + F.lit(1e-6), digits).alias("weight"))
+        left, right = rows.select("g", "k", F.col("m").alias("m1"), F.col("a").alias("a1")), rows.select(F.col("g").alias("h"), F.col("m").alias("m2"), F.col("a").alias("a2"))
+        pairs = left.join(right, (F.col("g") == F.col("h")) & (F.col("m1") < F.col("m2")))
+    found = pairs.groupBy("m1", "m2").agg(F.sum("k").alias("shared"), F.round(F.sum(F.col("k") * F.least("a1", "a2")) + F.lit(5e-7), digits).alias("weight"))
     found = found.where((F.col("shared") >= min_shared) & (F.col("weight") >= min_amount))
     if names is None:
         return found
@@ -85,7 +86,11 @@ def cogiving(edges: DataFrame, links: DataFrame, donor_limit: int = 800, edge_li
     pool = largest(edges, "donor_key", donor_limit)
     few = edges.join(F.broadcast(pool), "donor_key", "left_semi")
     committees = heaviest(shared_pairs(few, "donor_key", "committee_id", "total_amount", min_shared, min_amount, members=pool), 4 * edge_limit)
-    candidates = heaviest(shared_pairs(candidate_money(few, links), "donor_key", "candidate_id", "amount", min_shared, min_amount, members=pool), 4 * edge_limit)
+    # Candidates with the same committees get the same money of every donor: one stands for all of them.
+    own = links.where("candidate_id IS NOT NULL").select("committee_id", "candidate_id").distinct()
+    alike = own.groupBy("candidate_id").agg(F.array_sort(F.collect_list("committee_id")).alias("cs")).groupBy("cs").agg(F.min("candidate_id").alias("candidate_id"), F.count("*").alias("k"))
+    money = candidate_money_of(few, own, alike.select("candidate_id", F.explode("cs").alias("committee_id"))).join(alike.select("candidate_id", "k"), "candidate_id")
+    candidates = heaviest(shared_pairs(money, "donor_key", "candidate_id", "amount", min_shared, min_amount, members=pool, times="k"), 4 * edge_limit)
     zero = F.lit(0).cast("long")
     both = committees.select("m1", "m2", F.col("shared").alias("c"), zero.alias("k"), "weight").unionByName(candidates.select("m1", "m2", zero.alias("c"), F.col("shared").alias("k"), "weight"))
     merged = both.groupBy("m1", "m2").agg(F.sum("c").alias("shared_committees"), F.sum("k").alias("shared_candidates"), F.sum(F.col("c") + F.col("k")).alias("shared"), F.round(F.sum("weight"), 2).alias("weight"))
@@ -104,14 +109,15 @@ def competition(edges: DataFrame, links: DataFrame, candidate_limit: int = 250,
     """Pairs of candidates by shared donors: the largest donors (25 for each candidate of the limit, 1,500 to 8,000), the largest candidates among them, each donor's `top` candidates."""
     edges = edges.select("donor_key", "committee_id", "total_amount")
     few = edges.join(F.broadcast(largest(edges, "donor_key", min(max(candidate_limit * 25, 1_500), 8_000))), "donor_key", "left_semi")
-    money = materialize(candidate_money(few, links).where("amount > 0"), "candidate-money")
-    own = money.join(F.broadcast(largest(money, "candidate_id", candidate_limit, "amount")), "candidate_id", "left_semi")
+    # A candidate's sum over all donors is the sum of its committees' shares: no donor is needed to choose the candidates.
+    totals = candidate_money(few.groupBy(F.lit("all").alias("donor_key"), "committee_id").agg(F.sum("total_amount").alias("total_amount")), links)
+    own = candidate_money_of(few, links, links.join(F.broadcast(largest(totals, "candidate_id", candidate_limit, "amount")), "candidate_id", "left_semi")).where("amount > 0")
     return heaviest(shared_pairs(own, "candidate_id", "donor_key", "amount", min_shared, min_amount, top=top), edge_limit)
 
 
 def hops(edges: DataFrame, start: DataFrame, max_hops: int = 3) -> DataFrame:
     """(node, hop) by breadth-first search over undirected edges; start has a `node` column. Each round visits new nodes only."""
-    both = endpoints(edges).select("node", "other").distinct()
+    both = materialize(endpoints(edges).select("node", "other").distinct(), "adjacent")
     seen = start.select("node").distinct().withColumn("hop", F.lit(0))
     front = seen
     for hop in range(1, max_hops + 1):

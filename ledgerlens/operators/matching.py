@@ -11,27 +11,30 @@ from ledgerlens.functions.text import clean, trigrams, zip5
 def overlap_join(left: DataFrame, right: DataFrame, threshold: float, left_id: str = "left_id", right_id: str = "right_id", tokens: str = "tokens") -> DataFrame:
     """(left_id, right_id, shared, score) of sets whose Jaccard similarity is at least the threshold (above 0).
 
-    Prefix filter: with tokens in ascending order of frequency, two sets above the threshold share one of their first
+    Equal sets are compared once. Prefix filter: with tokens in ascending order of frequency, two sets above the threshold share one of their first
     n - ceil(threshold * n) + 1 tokens. Only those rare tokens are joined, so common tokens make no candidate pairs; candidates are then
     compared in full. No result is lost.
     """
-    both = left.select(F.explode(tokens).alias("t")).unionByName(right.select(F.explode(tokens).alias("t")))
-    freq = both.groupBy("t").agg(F.count("*").alias("f"))
-
-    def rare(df: DataFrame, ids: str) -> DataFrame:
-        parts = df.select(ids, F.explode(tokens).alias("t")).join(freq, "t").groupBy(ids).agg(F.array_sort(F.collect_list(F.struct("f", "t"))).alias("o"))
+    keyed = lambda df, ids: df.where(F.size(tokens) > 0).select(F.col(ids), F.array_sort(tokens).alias("set")).withColumn("key", F.md5(F.concat_ws("\x1e", "set")))
+    a, b = keyed(left, left_id), keyed(right, right_id)
+    sets = lambda df: df.select("key", "set").dropDuplicates(["key"])
+    one, two = sets(a), sets(b)
+    freq = one.select(F.explode("set").alias("t")).unionByName(two.select(F.explode("set").alias("t"))).groupBy("t").agg(F.count("*").alias("f"))
+
+    def rare(df: DataFrame) -> DataFrame:
+        """(key, n, t): the rare tokens of each set and its size."""
+        parts = df.select("key", F.explode("set").alias("t")).join(freq, "t").groupBy("key").agg(F.array_sort(F.collect_list(F.struct("f", "t"))).alias("o"))
         n = F.size("o")
-        return parts.select(ids, F.transform("o", lambda x: x["t"]).alias("set"), F.explode(F.slice("o", F.lit(1), n - F.ceil(n * F.lit(threshold) - F.lit(1e-9)).cast("int") + 1)).alias("x")).select(ids, "set", F.col("x.t").alias("t"))
-
-    a, b = rare(left, left_id), rare(right, right_id)
-    # Candidates travel as ids and sizes; sets are fetched once per candidate.
-    size = lambda df, to: df.select(*[c for c in df.columns if c != "set"], F.size("set").alias(to))
-    near = size(a, "na").join(size(b, "nb"), "t").where(F.least("na", "nb") >= F.greatest("na", "nb") * F.lit(threshold) - F.lit(1e-9)).select(left_id, right_id).distinct()
-    whole = lambda df, ids, to: df.select(ids, F.col(tokens).alias(to))
-    found = near.join(whole(left, left_id, "sa"), left_id).join(whole(right, right_id, "sb"), right_id)
-    found = found.select(left_id, right_id, F.size(F.array_intersect("sa", "sb")).alias("shared"), (F.size("sa") + F.size("sb")).alias("n"))
-    found = found.withColumn("score", F.col("shared") / (F.col("n") - F.col("shared")))
-    return found.where(F.col("score") >= threshold).select(left_id, right_id, "shared", F.round("score", 4).alias("score"))
+        return parts.select("key", n.alias("n"), F.explode(F.slice("o", F.lit(1), n - F.ceil(n * F.lit(threshold) - F.lit(1e-9)).cast("int") + 1)).alias("x")).select("key", "n", F.col("x.t").alias("t"))
+
+    # Candidates travel as keys and sizes; sets are fetched once per candidate, ids once per match.
+    near = rare(one).select("t", F.col("key").alias("ka"), F.col("n").alias("na")).join(rare(two).select("t", F.col("key").alias("kb"), F.col("n").alias("nb")), "t")
+    near = near.where(F.least("na", "nb") >= F.greatest("na", "nb") * F.lit(threshold) - F.lit(1e-9)).select("ka", "kb", "na", "nb").distinct()
+    both = near.join(one.select(F.col("key").alias("ka"), F.col("set").alias("sa")), "ka").join(two.select(F.col("key").alias("kb"), F.col("set").alias("sb")), "kb")
+    found = both.select("ka", "kb", F.size(F.array_intersect("sa", "sb")).alias("shared"), (F.col("na") + F.col("nb")).alias("n")).withColumn("score", F.col("shared") / (F.col("n") - F.col("shared")))
+    found = found.where(F.col("score") >= threshold)
+    out = found.join(a.select(left_id, F.col("key").alias("ka")), "ka").join(b.select(right_id, F.col("key").alias("kb")), "kb")
+    return out.select(left_id, right_id, "shared", F.round("score", 4).alias("score"))
 
 
 def trigram_pairs(df: DataFrame, ids: str, text: str, threshold: float, block: list[str] | None = None) -> DataFrame:

@@ -10,6 +10,7 @@ from ledgerlens.functions.predicates import Scope, all_receipts, contributions,
 from ledgerlens.functions.text import spending_category
 from ledgerlens.operators import anomalies, concentration, filings, geography, races, rollups, trends
 from ledgerlens.plans.catalog import Tables, query
+from ledgerlens.sources.civic import stored
 
 #: The shared receipt predicate in SQL.
 GOOD = "amount > 0 AND NOT coalesce(archived, FALSE) AND (coalesce(trim(d2_part), '') = '' OR d2_part LIKE '1%')"
@@ -22,12 +23,13 @@ def good(t: Tables):
 
 
 def edges(t: Tables):
-    return rollups.donor_committee(good(t))
+    """Donor-committee rollup, stored once as the refresh job does."""
+    return stored(t.spark, t.sf_dir, "receipts", "edges", lambda: rollups.donor_committee(good(t)))
 
 
 @query("donor_committee_agg", f"WITH {EDGES} SELECT * FROM e")
 def _(t):
-    return edges(t)
+    return rollups.donor_committee(good(t))
 
 
 @query("donor_summary", f"WITH {EDGES} SELECT donor_key, max(donor_name) AS donor_name, round(sum(total_amount), 2) AS total_amount, sum(contribution_count)::BIGINT AS contribution_count, count(*) AS committee_count, min(first_date) AS first_date, max(last_date) AS last_date FROM e GROUP BY donor_key")

@@ -47,7 +47,7 @@ _MONEY = "lk AS (SELECT DISTINCT committee_id, candidate_id FROM links WHERE can
 
 
 def _pairs(table: str, member: str, group: str, amount: str, shared: int, least: float, limit: int) -> str:
-    weight = f"round(sum(least(a.{amount}, b.{amount})) + 1e-6::DOUBLE, 2)"
+    weight = f"round(sum(least(a.{amount}, b.{amount})) + 5e-7::DOUBLE, 2)"
     return f"SELECT a.{member} AS m1, b.{member} AS m2, count(*) AS shared, {weight} AS weight FROM {table} a JOIN {table} b ON a.{group} = b.{group} AND a.{member} < b.{member} GROUP BY ALL HAVING count(*) >= {shared} AND {weight} >= {least} {_HEAVY} {limit}"
 
 
@@ -68,7 +68,8 @@ def _(t):
 
 @query("candidate_competition", f"""WITH {EDGES}, {_MONEY}, f AS (SELECT * FROM e WHERE donor_key IN ({_POOL.format(k='donor_key', a='total_amount', t='e', n=6250)})),
 g AS (SELECT donor_key, candidate_id, round(sum(total_amount / n), 6) AS amount FROM f JOIN lk USING (committee_id) JOIN lc USING (committee_id) GROUP BY ALL HAVING round(sum(total_amount / n), 6) > 0),
-o AS (SELECT * FROM g WHERE candidate_id IN ({_POOL.format(k='candidate_id', a='amount', t='g', n=250)})),
+tc AS (SELECT candidate_id, round(sum(s / n), 6) AS amount FROM (SELECT committee_id, sum(total_amount) AS s FROM f GROUP BY 1) JOIN lk USING (committee_id) JOIN lc USING (committee_id) GROUP BY 1),
+o AS (SELECT * FROM g WHERE candidate_id IN ({_POOL.format(k='candidate_id', a='amount', t='tc', n=250)})),
 k AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY donor_key ORDER BY amount DESC, candidate_id) AS n FROM o) WHERE n <= 20) {_pairs('k', 'candidate_id', 'donor_key', 'amount', 2, 2500, 1200)}""")
 def _(t):
     return graph.competition(edges(t), t.links)

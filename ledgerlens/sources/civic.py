@@ -75,7 +75,7 @@ VIEWS = {"receipts": RECEIPTS, "expenditures": EXPENDITURES, "filings": FILINGS,
 }
 #: Views that most queries read: written once per session and state of their tables, as the refresh job does, and read from there.
 STORED = {"receipts", "expenditures"}
-_STORED: dict[tuple, DataFrame] = {}
+_STORED: dict[tuple, tuple] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -99,16 +99,17 @@ def _state(spark: SparkSession, sf_dir: str, names: set[str]) -> tuple:
     return tuple(out)
 
 
-def stored(spark: SparkSession, sf_dir: str, view: str) -> DataFrame:
-    """A view of STORED as a table in the shared folder."""
+def stored(spark: SparkSession, sf_dir: str, view: str, name: str | None = None, build=None) -> DataFrame:
+    """A view, or what `build` makes of it under a name, as a table in the shared folder; written again when the view's tables change."""
     names = set(re.findall(r"\{(\w+)\}", VIEWS[view]))
-    key = (spark.sparkContext.applicationId, view, _state(spark, sf_dir, names))
+    state = _state(spark, sf_dir, names)
+    key = (spark.sparkContext.applicationId, sf_dir, name or view)
     found = _STORED.get(key)
-    if found is None or not exists(found):
-        for old in [k for k in _STORED if k[:2] == key[:2] and k[2][:1] and k[2][0][0] == key[2][0][0]]:
-            discard(_STORED.pop(old))
-        found = _STORED[key] = materialize(civic(spark, sf_dir, view), view)
-    return found
+    if found is None or found[0] != state or not exists(found[1]):
+        if found is not None:
+            discard(found[1])
+        found = _STORED[key] = (state, materialize(build() if build else civic(spark, sf_dir, view), name or view))
+    return found[1]
 
 
 def with_views(sql: str) -> str:
