@@ -16,6 +16,11 @@ STOP_WORDS = [
 #: The profile resolver's two sets, legal forms and words that say nothing.
 LEGAL_FORMS = ["inc", "llc", "ltd", "co", "corp", "corporation", "company", "assoc", "association", "assn", "group", "pllc", "llp", "lp"]
 PROFILE_STOP_WORDS = ["the", "of", "for", "and", "in", "a", "an", "to", "committee", "fund", "pac", "political", "action"]
+#: Words of addresses and their short forms.
+ADDRESS_WORDS = {
+    "street": "st", "avenue": "ave", "boulevard": "blvd", "road": "rd", "drive": "dr", "lane": "ln", "court": "ct", "place": "pl", "terrace": "ter", "suite": "ste", "apartment": "apt",
+    "north": "n", "south": "s", "east": "e", "west": "w", "northeast": "ne", "northwest": "nw", "southeast": "se", "southwest": "sw",
+}
 #: Name suffixes that are no person by themselves.
 SUFFIXES = ["jr", "sr", "ii", "iii", "iv", "v", "md", "phd", "esq"]
 #: Spending categories in order, with the parts of words that decide; the first that occurs wins.
@@ -73,6 +78,19 @@ def tokens(c: Column, stop: list[str] | None = None) -> Column:
     return F.array_distinct(F.array_except(words, F.array(*[F.lit(w) for w in (STOP_WORDS if stop is None else stop)])))
 
 
+def profile_name(c: Column) -> Column:
+    """Lower case, `&` as a word, signs to blanks, without legal forms."""
+    words = F.split(normalize_name(F.regexp_replace(c, "&", " and ")), " ")
+    return F.array_join(F.filter(words, lambda w: (w != "") & ~w.isin(LEGAL_FORMS)), " ")
+
+
+def profile_address(c: Column) -> Column:
+    """The same for an address, its words in their short forms."""
+    short = F.create_map(*[F.lit(x) for kv in ADDRESS_WORDS.items() for x in kv])
+    words = F.filter(F.split(normalize_name(F.regexp_replace(c, "&", " and ")), " "), lambda w: w != "")
+    return F.array_join(F.transform(words, lambda w: F.coalesce(F.element_at(short, w), w)), " ")
+
+
 def city_key(city: Column, state: Column) -> Column:
     return F.concat_ws(", ", F.initcap(F.coalesce(clean(city), F.lit("Unknown"))), F.upper(F.coalesce(clean(state), F.lit("??"))))
 

@@ -9,7 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlens.functions.text import normalize_name, set_similarity, tokens
+from ledgerlens.functions.text import PROFILE_STOP_WORDS, profile_address, profile_name, set_similarity, tokens, zip5
+from ledgerlens.operators.matching import overlap_join
 
 
 def donor_rows(receipts: DataFrame, private: Column) -> DataFrame:
@@ -60,33 +61,53 @@ def person_records(receipts: DataFrame) -> DataFrame:
     )
 
 
-def resolve_profiles(profiles: DataFrame, review: float = 0.85) -> DataFrame:
-    """(id, profile): profiles joined by a shared id, or by name and address scores within blocks of the first name token.
+def profile_pairs(profiles: DataFrame, least: float) -> DataFrame:
+    """(src, dst, score): pairs of profiles whose score is at least `least`, compared if their names begin with the same telling word.
 
-    Score: .6 name + .25 address over the parts present; name: .6 token Jaccard + .4 sequence ratio. The profile is the smallest id.
+    Score: .6 name + .25 address + .15 officers. Name: 1 if equal without legal forms, else .6 token Jaccard + .4 sequence ratio. Address: 1 equal, .8 same zip, .6 same
+    city and state. Officers: Jaccard of names. What address and officers can add at most bounds the Jaccard from below, so candidates come from the exact set join and
+    no block of a common first word is paired; the sequence ratio runs on what is left.
     """
-    from ledgerlens.operators.graph import components
-
-    rows = profiles.select("id", "name", "address", "shared_id", tokens(F.col("name")).alias("tok"), F.get(F.split(normalize_name(F.col("name")), " "), F.lit(0)).alias("block"))
-    hubs = rows.where("shared_id IS NOT NULL").groupBy("shared_id").agg(F.min("id").alias("src"))
-    links = rows.join(hubs, "shared_id").where("id <> src").select("src", F.col("id").alias("dst"))
-    # Equal names need no scoring: only distinct (name, address) pairs are compared, then joined by their smallest id.
-    texts = rows.where("shared_id IS NULL").groupBy("block", "name", "address").agg(F.min("id").alias("id"), F.first("tok").alias("tok"))
-    a, b = texts.alias("a"), texts.alias("b")
-    pairs = a.join(b, (F.col("a.block") == F.col("b.block")) & (F.col("a.id") < F.col("b.id"))).select(
-        F.col("a.id").alias("src"), F.col("b.id").alias("dst"), F.col("a.name").alias("n1"), F.col("b.name").alias("n2"), F.col("a.address").alias("a1"), F.col("b.address").alias("a2"), set_similarity(F.col("a.tok"), F.col("b.tok")).alias("j")
-    )
+    have = profiles.columns
+    opt = lambda c, kind="string": F.col(c) if c in have else F.lit(None).cast(kind)
+    norm = profile_name(F.col("name"))
+    officer = F.array_distinct(F.filter(F.transform(F.coalesce(opt("officers", "array<string>"), F.array().cast("array<string>")), profile_name), lambda x: F.coalesce(x, F.lit("")) != ""))
+    rows = profiles.select(
+        "id", norm.alias("n"), tokens(norm, PROFILE_STOP_WORDS).alias("tok"), F.coalesce(profile_address(opt("address")), F.lit("")).alias("a"), F.coalesce(F.lower(F.trim(opt("city"))), F.lit("")).alias("c"),
+        F.coalesce(F.upper(F.trim(opt("state"))), F.lit("")).alias("s"), zip5(opt("zip")).alias("z"), officer.alias("o"),
+    ).withColumn("block", F.get(F.filter(F.split("n", " "), lambda w: ~w.isin(PROFILE_STOP_WORDS)), F.lit(0)))
+    name_least = (least - 0.40) / 0.60
+    sets = rows.select("n", "tok", "block").where(F.size("tok") > 0).distinct()
+    jaccard = max(0.05, (name_least - 0.4) / 0.6 - 1e-4)
+    near = overlap_join(sets.select(F.col("n").alias("left_id"), F.col("tok").alias("tokens")), sets.select(F.col("n").alias("right_id"), F.col("tok").alias("tokens")), jaccard)
+    side = lambda k: rows.where(F.size("tok") > 0).select(*[F.col(x).alias(f"{x}{k}") for x in rows.columns])
+    pairs = near.select(F.col("left_id").alias("n1"), F.col("right_id").alias("n2")).join(side(1), "n1").join(side(2), "n2").where((F.col("id1") < F.col("id2")) & (F.col("block1") == F.col("block2")))
+    full = lambda c: (F.col(f"{c}1") != "") & (F.col(f"{c}1") == F.col(f"{c}2"))
+    place = F.when(full("a"), 1.0).when(full("z"), 0.8).when(full("c") & full("s"), 0.6).otherwise(0.0)
+    j = set_similarity(F.col("tok1"), F.col("tok2"))
+    rest = 0.25 * place + 0.15 * set_similarity(F.col("o1"), F.col("o2"))
+    pairs = pairs.select(F.col("id1").alias("src"), F.col("id2").alias("dst"), "n1", "n2", j.alias("j"), rest.alias("rest")).where(0.6 * (0.6 * F.col("j") + 0.4) + F.col("rest") >= least - 1e-9)
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
-            ratio = [difflib.SequenceMatcher(None, x or "", y or "").ratio() for x, y in zip(rows["n1"], rows["n2"])]
-            name = 0.6 * rows["j"] + 0.4 * pd.Series(ratio, index=rows.index, dtype=float)
-            place = pd.Series([difflib.SequenceMatcher(None, x, y).ratio() if x and y else None for x, y in zip(rows["a1"], rows["a2"])], index=rows.index, dtype=float)
-            total = (0.6 * name + 0.25 * place.fillna(0)) / (0.6 + 0.25 * place.notna())
-            yield rows.loc[total >= review, ["src", "dst"]]
+            name = [1.0 if x == y else 0.6 * j + 0.4 * difflib.SequenceMatcher(None, x, y).ratio() for x, y, j in zip(rows["n1"], rows["n2"], rows["j"])]
+            total = 0.6 * pd.Series(name, index=rows.index, dtype=float) + rows["rest"]
+            yield rows.assign(score=total.round(4)).loc[total >= least - 1e-9, ["src", "dst", "score"]]
 
     kind = profiles.schema["id"].dataType.simpleString()
-    scored = pairs.mapInPandas(score, f"src {kind}, dst {kind}")
-    same = rows.where("shared_id IS NULL").alias("r").join(texts.alias("t"), F.col("r.name").eqNullSafe(F.col("t.name")) & F.col("r.address").eqNullSafe(F.col("t.address"))).where("r.id <> t.id").select(F.col("t.id").alias("src"), F.col("r.id").alias("dst"))
-    found = components(links.unionByName(scored).unionByName(same))
+    return pairs.mapInPandas(score, f"src {kind}, dst {kind}, score double")
+
+
+def resolve_profiles(profiles: DataFrame, merge: float = 0.92) -> DataFrame:
+    """(id, profile): profiles joined by a shared id, or by a score of at least `merge` (see profile_pairs; from .85 on a pair is for review). The profile is the smallest id.
+
+    Columns: id, name and, as far as they are there, shared_id, address, city, state, zip, officers (array). Null names match nothing.
+    """
+    from ledgerlens.operators.graph import components
+
+    links = profile_pairs(profiles, merge).select("src", "dst")
+    if "shared_id" in profiles.columns:
+        hubs = profiles.where("shared_id IS NOT NULL").groupBy("shared_id").agg(F.min("id").alias("src"))
+        links = links.unionByName(profiles.select("id", "shared_id").join(hubs, "shared_id").where("id <> src").select("src", F.col("id").alias("dst")))
+    found = components(links)
     return profiles.select("id").join(found, F.col("id") == F.col("node"), "left").select("id", F.coalesce("component", "id").alias("profile"))

@@ -54,5 +54,6 @@ def top_per_group(df: DataFrame, group: str, item: str, amount: str, n: int) ->
 def fold_other(df: DataFrame, key: str, amount: str, n: int) -> DataFrame:
     """The n largest keys by total (ties by key), the rest as one `other`; the sum does not change."""
     totals = df.groupBy(key).agg(F.round(F.sum(amount), 2).alias("total_amount"))
-    rank = F.row_number().over(Window.orderBy(F.desc("total_amount"), key))
-    return totals.withColumn("__n", rank).groupBy(F.when(F.col("__n") <= n, F.col(key).cast("string")).otherwise("other").alias("node")).agg(F.round(F.sum("total_amount"), 2).alias("total_amount"))
+    top = totals.orderBy(F.desc("total_amount"), key).limit(n)  # a partial top-n, not a ranking of all keys
+    rest = totals.join(F.broadcast(top.select(F.col(key).alias("__k"))), F.col(key).eqNullSafe(F.col("__k")), "left_anti").agg(F.round(F.sum("total_amount"), 2).alias("total_amount"))
+    return top.select(F.col(key).cast("string").alias("node"), "total_amount").unionByName(rest.where("total_amount IS NOT NULL").select(F.lit("other").alias("node"), "total_amount"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -43,21 +45,47 @@ def monthly_totals(receipts: DataFrame, keys: tuple[str, ...] = (), amount: str
     return rows.groupBy(*keys, month_key(F.col(day)).alias("month")).agg(money(amount).alias("total_amount"), F.count("*").alias("contribution_count"))
 
 
-def floor_rank(df: DataFrame, value: str, p: float, keys: tuple[str, ...] = ()) -> DataFrame:
-    """Value at the ascending rank floor((n - 1) * p) + 1.
+def _value_ranks(df: DataFrame, value: str, keys: tuple[str, ...]) -> DataFrame:
+    """(keys, value, __below, __upto, __all): how many rows lie below and up to each distinct value of its key.
 
-    Counts per value come first, so the ranked table has one row per distinct value; with keys each key is ranked apart.
+    Values are counted first; ranks run inside bands (an eighth of a doubling, by sign) and the counts of the bands before give the offsets, so that no
+    task holds all values of a key, nor of the whole table.
     """
-    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("__n"))
-    part = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
-    ranked = counts.withColumn("__upto", F.sum("__n").over(part.orderBy(value).rowsBetween(Window.unboundedPreceding, 0))).withColumn("__all", F.sum("__n").over(part))
-    found = ranked.where(F.col("__upto") >= F.floor((F.col("__all") - 1) * F.lit(p)) + 1)
-    return found.groupBy(*keys).agg(F.min(value).alias("value"), F.max("__all").alias("n"))
+    x = F.col(value)
+    band = F.when(x == 0, F.lit(0)).otherwise(F.signum(x) * (F.floor(F.log2(F.abs(x)) * 8) + 4_096)).cast("long")
+    counts = df.where(x.isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("__n")).withColumn("__band", band)
+    inside = Window.partitionBy(*keys, "__band").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    bands = counts.groupBy(*keys, "__band").agg(F.sum("__n").alias("__m"))
+    own = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
+    bands = bands.withColumn("__before", F.sum("__m").over(own.orderBy("__band").rowsBetween(Window.unboundedPreceding, 0)) - F.col("__m")).withColumn("__all", F.sum("__m").over(own))
+    same = [F.col(f"c.{k}").eqNullSafe(F.col(f"b.{k}")) for k in keys]
+    joined = counts.withColumn("__run", F.sum("__n").over(inside)).alias("c").join(bands.alias("b"), reduce(lambda p, q: p & q, [F.col("c.__band") == F.col("b.__band"), *same]))
+    upto = F.col("__before") + F.col("__run")
+    return joined.select(*[F.col(f"c.{k}").alias(k) for k in keys], F.col(f"c.{value}").alias(value), (upto - F.col("__n")).alias("__below"), upto.alias("__upto"), "__all")
+
+
+def floor_rank(df: DataFrame, value: str, p: float, keys: tuple[str, ...] = ()) -> DataFrame:
+    """Value at the ascending rank floor((n - 1) * p) + 1, and n."""
+    rank = F.floor((F.col("__all") - 1) * F.lit(p)) + 1
+    return _value_ranks(df, value, keys).where((F.col("__below") < rank) & (rank <= F.col("__upto"))).select(*keys, F.col(value).alias("value"), F.col("__all").alias("n"))
+
+
+def floor_ranks(df: DataFrame, value: str, marks: dict[str, float]) -> DataFrame:
+    """(marker, value) for several percentiles in one pass."""
+    rows = _value_ranks(df, value, ()).withColumn("__m", F.explode(F.array(*[F.struct(F.lit(n).alias("marker"), F.lit(p).alias("p")) for n, p in marks.items()])))
+    rank = F.floor((F.col("__all") - 1) * F.col("__m.p")) + 1
+    return rows.where((F.col("__below") < rank) & (rank <= F.col("__upto"))).select("__m.marker", F.col(value).alias("value"))
 
 
 def interpolated(df: DataFrame, value: str, p: float, keys: tuple[str, ...] = ()) -> DataFrame:
-    """Interpolated percentile (percentile_cont)."""
-    return df.groupBy(*keys).agg(F.expr(f"percentile_cont({p}) WITHIN GROUP (ORDER BY {value})").alias("value"), F.count(value).alias("n"))
+    """Interpolated percentile (percentile_cont), from the two values around its rank."""
+    place = (F.col("__all") - 1) * F.lit(p)
+    near = _value_ranks(df, value, keys).where((F.col("__below") <= F.ceil(place)) & (F.floor(place) < F.col("__upto")))
+    low = F.max(F.when((F.col("__below") <= F.floor(place)) & (F.floor(place) < F.col("__upto")), F.col(value)))
+    high = F.max(F.when((F.col("__below") <= F.ceil(place)) & (F.ceil(place) < F.col("__upto")), F.col(value)))
+    out = near.groupBy(*keys).agg(low.alias("__low"), high.alias("__high"), F.max("__all").alias("n"))
+    share = (F.col("n") - 1) * F.lit(p) - F.floor((F.col("n") - 1) * F.lit(p))
+    return out.select(*keys, (F.col("__low") + (F.col("__high") - F.col("__low")) * share).alias("value"), "n")
 
 
 def large_contributions(receipts: DataFrame, amount: str = "amount", least: float = 5000.0, factor: float = 2.0, p: float = 0.95) -> DataFrame:

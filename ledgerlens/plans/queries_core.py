@@ -57,11 +57,7 @@ def _(t):
 
 @query("percentile_markers", " UNION ALL ".join(f"SELECT '{name}' AS marker, amount AS value FROM (SELECT amount, row_number() OVER (ORDER BY amount) AS r, count(*) OVER () AS n FROM receipts WHERE {GOOD}) WHERE r = floor((n - 1) * {p})::BIGINT + 1" for name, p in (("p50", 0.5), ("p90", 0.9), ("p95", 0.95), ("p99", 0.99))))
 def _(t):
-    out = None
-    for name, p in (("p50", 0.5), ("p90", 0.9), ("p95", 0.95), ("p99", 0.99)):
-        row = rollups.floor_rank(good(t), "amount", p).select(F.lit(name).alias("marker"), "value")
-        out = row if out is None else out.unionByName(row)
-    return out
+    return rollups.floor_ranks(good(t), "amount", {"p50": 0.5, "p90": 0.9, "p95": 0.95, "p99": 0.99})
 
 
 @query("percentile_interpolated", "SELECT committee_id, round(quantile_cont(amount, 0.95), 4) AS value, count(amount) AS n FROM receipts WHERE amount > 0 AND NOT coalesce(archived, FALSE) AND d2_part LIKE '1%' GROUP BY committee_id")

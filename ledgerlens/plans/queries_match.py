@@ -194,6 +194,20 @@ def _(t):
     return entities.scrub(t.customer, rules, ["c_nationkey", "c_mktsegment"], ["c_name"]).select("c_custkey", "c_name", "scrubbed")
 
 
-@query("profile_resolver", "SELECT p_partkey AS id, min(p_partkey) OVER (PARTITION BY p_name) AS profile FROM part")
+def profiles(t):
+    """Committees and registered organizations as profiles; some share an id, most don't."""
+    own = t.committee_book.select(F.concat(F.lit("c"), F.col("committee_id").cast("string")).alias("id"), F.col("committee_name").alias("name"), F.col("street").alias("address"), "city", "state", "zip", F.array("officer").alias("officers"), F.when(F.col("committee_id") % 10 == 0, F.col("committee_id")).alias("shared_id"))
+    org = t.orgs527.join(t.committee_book.select(F.col("committee_id").alias("ein"), "officer", "street"), "ein")
+    org = org.select(F.concat(F.lit("o"), F.col("ein").cast("string"), F.substring("org_name", 1, 3)).alias("id"), F.col("org_name").alias("name"), F.col("street").alias("address"), "city", "state", "zip", F.array("officer").alias("officers"), F.when(F.col("ein") % 15 == 0, F.col("ein")).alias("shared_id"))
+    return own.unionByName(org)
+
+
+@query("profile_resolver")
+def _(t):
+    """Sequence ratios can't be put in SQL; tested against brute force."""
+    return entities.resolve_profiles(profiles(t))
+
+
+@query("profile_review")
 def _(t):
-    return entities.resolve_profiles(t.part.select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), F.lit(None).cast("string").alias("address"), F.col("p_name").alias("shared_id")))
+    return entities.profile_pairs(profiles(t), 0.85)

@@ -151,5 +151,6 @@ def test_names_and_profiles(spark):
     r = df.groupBy("k").agg(names.name_max("n").alias("x"), names.name_min("n").alias("y"), names.name_mode("n").alias("z")).first()
     assert (r["x"], r["y"], r["z"]) == ("c", "a", "b") and names.top_variant(df, "k", "n", "amount").first()["n"] == "a"
     rows = [(1, "Acme Fund", "1 Main", None), (2, "Acme  fund", "1 Main", None), (3, "Other Group", None, "x"), (4, "Quite Different", None, "x"), (5, "Lone", None, None)]
-    found = entities.resolve_profiles(spark.createDataFrame(rows, "id long, name string, address string, shared_id string"))
-    assert {r["id"]: r["profile"] for r in found.collect()} == {1: 1, 2: 1, 3: 3, 4: 3, 5: 5}
+    frame = spark.createDataFrame(rows, "id long, name string, address string, shared_id string")
+    assert {r["id"]: r["profile"] for r in entities.resolve_profiles(frame, merge=0.85).collect()} == {1: 1, 2: 1, 3: 3, 4: 3, 5: 5}
+    assert {r["id"]: r["profile"] for r in entities.resolve_profiles(frame).collect()} == {1: 1, 2: 2, 3: 3, 4: 3, 5: 5}  # .85 is for review, not merged
