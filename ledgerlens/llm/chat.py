@@ -111,8 +111,9 @@ def format_chats(df: DataFrame, conv: str = "conv_id", turn: str = "turn", role:
     """(conv, window, text, loss, first_turn, n_new, n_repeated), one row per window of each conversation.
 
     loss holds code point spans of `text`. Turns go by turn, then role and text, nulls first; a repeated row is a turn of its own.
-    Null texts and roles are empty; a null conv is a conversation of its own. No turn is cut or dropped: long conversations
-    get more windows. Other columns are ignored. `tokenizer` names a tokenizer file; without it words and signs are counted.
+    Null texts and roles are empty; all rows of a null conv are one conversation. No turn is cut or dropped: long conversations
+    get more windows. The budget bounds what is put together, not a turn: a turn above it has a window of its own, and every window of a conversation
+    holds its system turn whole, so a system turn above the budget leaves one new turn a window, each above the budget by that much. Other columns are ignored. `tokenizer` names a tokenizer file; without it words and signs are counted.
     """
     rows = df.select(F.col(conv).alias("conv"), F.col(turn).alias("turn"), F.coalesce(role, F.lit("")).alias("role"), F.coalesce(text, F.lit("")).alias("text"))
     kind = rows.schema["conv"].dataType.simpleString()

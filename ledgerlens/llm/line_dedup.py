@@ -33,7 +33,7 @@ def boilerplate(lines: DataFrame, min_sites: int) -> DataFrame:
 def dedup_lines(df: DataFrame, text: str = "text", site: str = "source", min_sites: int = 8) -> DataFrame:
     """df with the text less its boilerplate lines, `n_lines` and `n_removed` (int).
 
-    Lines end at line feeds; a line is boilerplate if it occurs, character by character, on min_sites different sites. Empty lines never
+    Lines end at line feeds; a line is boilerplate if it occurs on min_sites different sites, lines being told apart by a hash of 128 bits. Empty lines never
     are. A null site is a site of its own. Null texts stay null with no lines; a text may end up empty; no row is dropped and
     repeated rows stay. Clashing columns are replaced; an empty df gives an empty result.
     """
