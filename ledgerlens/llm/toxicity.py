@@ -25,6 +25,8 @@ from ledgerlens.llm.common import BLOCK, N_GRAMS, classes, decode_blocks, id_crc
 
 #: Labelled documents that the lexicon is fitted on, at most, chosen by a hash of their id; their texts are read whole, and all text statistics cover all documents.
 MAX_LABELLED = 8_000
+#: Tasks, at most, that read the labelled texts; their number is bounded, so this is too.
+TASKS = 48
 
 #: What a sign or digit may stand for.
 LEET = {
@@ -400,7 +402,6 @@ def learn_lexicon(rows: DataFrame, limit: int = MAX_LABELLED, least: float = 0.0
     few = spark.createDataFrame([(i, *x) for i, x in enumerate(kept)], "row int, key long, label int")
     rows = rows.join(F.broadcast(few), ["key", "label"]).dropDuplicates(["row"])
     counts = rows.where("label = 1").select(F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("n"))
-    counts = materialize(counts, "toxic-words")
     common_words = {r["word"] for r in counts.where(F.col("n") >= need).collect()}
     # Sums of word counts come first: a stem whose words are rare among toxic texts needs no exact count.
     stem = F.explode(F.transform(F.sequence(F.lit(4), F.least(F.lit(7), F.length("word") - 1)), lambda n: F.concat(F.substring(F.col("word"), F.lit(1), n), F.lit("-"))))
@@ -416,7 +417,7 @@ def learn_lexicon(rows: DataFrame, limit: int = MAX_LABELLED, least: float = 0.0
                 found.append([f for f in own if "-" in f or f in common_words])
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.list_(pa.string()))], names=["row", "label", "features"])
 
-    found = rows.select("row", "label", "words").mapInArrow(features, "row int, label int, features array<string>")
+    found = rows.select("row", "label", "words").coalesce(TASKS).mapInArrow(features, "row int, label int, features array<string>")
     found = materialize(found.select("row", "label", F.explode("features").alias("feature")), "toxic-features")
     tally = found.groupBy("feature").agg(F.sum("label").alias("pos"), F.sum(1 - F.col("label")).alias("neg")).where(F.col("pos") >= need).collect()
     wrong = {r["feature"]: r["neg"] for r in tally}
@@ -511,8 +512,8 @@ def train(docs: DataFrame, labels: DataFrame, ids: str = "doc_id", text: str = "
     marked = labels.where(F.col(label).isNotNull() & F.col(ids).isNotNull()).groupBy(F.col(ids).alias("__id")).agg((F.max(label) > 0).cast("int").alias("__label"))
     own = docs.select(F.col(ids).alias("__id"), F.col(text).alias("__text")).where("__text IS NOT NULL")
     chosen = marked.join(own.select("__id"), "__id", "left_semi").orderBy(F.xxhash64("__id"), "__id").limit(limit)
-    few = materialize(chosen, "labelled")  # at most `limit` short rows
-    rows = own.join(F.broadcast(few), "__id").select("__text", "__label").distinct()
+    # At most `limit` short rows are sent to find the texts, which a bounded number of tasks then reads.
+    rows = own.join(F.broadcast(chosen), "__id").select("__text", "__label").distinct().coalesce(TASKS)
     return model, learn_lexicon(materialize(labelled_words(rows, model), "labelled-words"), limit)
 
 
