@@ -1,4 +1,4 @@
-"""Command line: list and run queries, call endpoints, refresh stored rollups, check freshness, census a table."""
+"""Command line: list and run queries, call endpoints, run a matching job, load a bulk file, refresh stored rollups, check freshness, census a table."""
 
 from __future__ import annotations
 
@@ -13,7 +13,7 @@ def main(argv: list[str] | None = None) -> int:
     parser = argparse.ArgumentParser(prog="ledgerlens")
     commands = parser.add_subparsers(dest="command", required=True)
     commands.add_parser("list")
-    for name, more in (("run", ["query"]), ("route", ["path"]), ("refresh-analytics", []), ("validate-freshness", []), ("census", ["table"])):
+    for name, more in (("run", ["query"]), ("route", ["path"]), ("refresh-analytics", []), ("validate-freshness", []), ("census", ["table"]), ("match", ["job"]), ("feed", ["name"])):
         own = commands.add_parser(name)
         for x in more:
             own.add_argument(x)
@@ -38,7 +38,15 @@ def main(argv: list[str] | None = None) -> int:
         for name, df in (("donor_committee", edges), ("donor_summary", api.rollups.donor_summary(edges)), ("donor_cycle", api.rollups.donor_cycle_summary(ends.receipts())), ("monthly", api.rollups.monthly_totals(ends.receipts(), ("committee_id",))), ("large", api.rollups.large_contributions(ends.receipts()))):
             sinks.write_table(df, f"{args.out}/{name}")
         return 0
-    if args.command == "run":
+    if args.command == "feed":
+        from ledgerlens.sources import feeds
+
+        for name, df in zip(("rows", "rejects"), feeds.load_feed(spark, args.data, args.name)):
+            sinks.write_table(df, f"{args.out}/{name}")
+        return 0
+    if args.command == "match":
+        df = ends.matches(args.job)
+    elif args.command == "run":
         df = QUERIES[args.query](spark, args.data)
     elif args.command == "route":
         df = api.call(ends, args.path, **json.loads(args.params))

@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from ledgerlens.functions.predicates import Scope, contributions, vendor_rows
 from ledgerlens.functions.text import name_matches, spending_category
-from ledgerlens.operators import anomalies, concentration, directory, entities, federal, filings, geography, graph, kernels, races, rollups, trends
+from ledgerlens.operators import anomalies, concentration, directory, entities, families, federal, filings, geography, graph, kernels, org527, races, rollups, trends
 from ledgerlens.plans.catalog import Tables
+from ledgerlens.plans.registry import QUERIES
 
 
 class Api:
@@ -151,7 +152,7 @@ class Api:
     def trace_money(self, donor_key: str, max_hops: int = 3) -> DataFrame:
         """Nodes within 1 to 8 hops of a donor."""
         rows = self.edges().select(F.concat(F.lit("donor:"), "donor_key").alias("src"), F.concat(F.lit("committee:"), F.col("committee_id").cast("string")).alias("dst"), F.col("total_amount").alias("weight"))
-        start = self.t.region.limit(1).select(F.lit(f"donor:{donor_key}").alias("node"))
+        start = self.t.spark.range(1).select(F.lit(f"donor:{donor_key}").alias("node"))
         return graph.hops(rows, start, min(8, max(1, max_hops)))
 
     def focus(self, committee_id: int, caps: dict[str, int] | None = None) -> DataFrame:
@@ -160,6 +161,53 @@ class Api:
         b = self.spending().where((F.col("committee_id") == committee_id) & vendor_rows()).groupBy("payee_name").agg(F.sum("amount").alias("weight")).select(F.lit("vendor").alias("edge_type"), F.lit("me").alias("src"), F.col("payee_name").alias("dst"), "weight")
         return graph.ego(a.unionByName(b), "me", caps or {"donor": 40, "vendor": 25})
 
+    # organizations of the federal register, lobbying, families
+
+    def orgs527(self, search: str | None = None, size: int = 50, page: int = 1) -> DataFrame:
+        rows = org527.latest(self.t.orgs527, [F.desc("org_name"), F.col("zip").desc_nulls_last()]).select("ein", "org_name", "city", "state")
+        return directory.directory(rows, search, "org_name", {"name": "org_name"}, "name", "asc", size, page, "ein")
+
+    def ledger527(self, ein: int | None = None) -> DataFrame:
+        rows = self.t.spending527 if ein is None else self.t.spending527.where(F.col("ein") == ein)
+        return org527.ledger(rows, "recipient_name")
+
+    def rollup527(self) -> DataFrame:
+        return org527.rollup(self.t.spending527)
+
+    def dark_money(self) -> DataFrame:
+        return org527.dark_money(self.t.spending527)
+
+    def ecosystem527(self, cap: int = 150) -> DataFrame:
+        return QUERIES["org527_graph"](self.t.spark, self.t.sf_dir) if cap == 150 else org527.graph(self.t.spending527, QUERIES["match_orgs_committees"](self.t.spark, self.t.sf_dir), QUERIES["match_directors_donors"](self.t.spark, self.t.sf_dir), cap)
+
+    def matches(self, job: str) -> DataFrame:
+        """Rows of a matching job: client_donors, client_payees, client_orgs, orgs_committees, recipients, directors_donors, directors_candidates, directors_addresses or org_addresses."""
+        return QUERIES[f"match_{job}"](self.t.spark, self.t.sf_dir)
+
+    def families(self) -> DataFrame:
+        return families.families(families.strong_pairs(self.t.committee_book, self.t.links, families.officers(self.t.committee_book)))
+
+    def family_review(self) -> DataFrame:
+        return families.weak_pairs(self.t.committee_book, self.t.links)
+
+    def federal_local(self) -> DataFrame:
+        return QUERIES["federal_local_matches"](self.t.spark, self.t.sf_dir)
+
+    def federal_local_network(self) -> DataFrame:
+        return QUERIES["federal_local_network"](self.t.spark, self.t.sf_dir)
+
+    def multilayer(self) -> DataFrame:
+        return QUERIES["multilayer_network"](self.t.spark, self.t.sf_dir)
+
+    def person(self, text: str, per_kind: int = 10) -> DataFrame:
+        """One name over donors, candidates, directors and clients, nicknames included."""
+        kinds = {"donor": (self.t.donor_book, "donor_key", "donor_name"), "candidate": (self.t.candidate_book, "candidate_id", "candidate_name"), "director": (self.t.directors527, "ein", "person_name"), "client": (self.t.lobby_clients, "client_id", "client_name")}
+        out = None
+        for kind, (rows, key, name) in kinds.items():
+            found = rows.where(name_matches(F.col(name), text)).select(F.lit(kind).alias("kind"), F.col(key).cast("string").alias("key"), F.col(name).alias("name")).distinct().orderBy("name", "key").limit(per_kind)
+            out = found if out is None else out.unionByName(found)
+        return out
+
     # search
 
     def search(self, text: str, per_kind: int = 10) -> DataFrame:
@@ -196,6 +244,9 @@ ROUTES = {
     "/candidates/": "candidates", "/candidates/<id>": "candidate", "/candidates/<id>/outside-spending": "outside_spending", "/candidate-finance/itemized": "candidate_itemized",
     "/committees/<id>/donors": "committee_donors", "/committees/<id>/payees": "committee_payees", "/committees/<id>/filings": "committee_filings",
     "/viz-lab/cumulative-inflow": "race_inflow", "/viz-lab/payee-dominance": "race_payees", "/federal/trace-money": "trace_money", "/federal/donor-intelligence": "segments",
+    "/irs527/": "orgs527", "/irs527/<ein>/ledger": "ledger527", "/irs527/rollup": "rollup527", "/irs527/dark-money": "dark_money", "/api/analytics/irs527-ecosystem": "ecosystem527",
+    "/matches/<job>": "matches", "/committees/families": "families", "/committees/families/review": "family_review", "/federal/local-matches": "federal_local",
+    "/federal/local-network": "federal_local_network", "/federal/multilayer": "multilayer", "/person": "person",
     "/search": "search", "/live-feed": "live_feed", "/compare": "compare", "/vendors": "vendors", "/vendors/network": "vendor_network", "/data-status": "freshness",
 }
 

@@ -92,3 +92,54 @@ def test_local_entities(spark):
     got = {r["donor_key"]: r for r in kernels.local_entities(spark.createDataFrame(rows, person)).collect()}
     assert set(got) == {"k1", "k2", "k3", "k4", "k5"}
     assert got["k1"]["entity_id"] == got["k2"]["entity_id"] != got["k3"]["entity_id"] and got["k1"]["display_name"] == "Ann  Lee" and got["k1"]["status"] == "auto"
+
+
+def test_feeds(spark, tmp_path):
+    from datetime import date
+
+    from ledgerlens.sources import feeds
+
+    (tmp_path / "r.txt").write_text(
+        "ID\tCommitteeID\tFiledDocID\tETransID\tLast\tFirst\tRcvDate\tAmount\tAgg\tLoan\n"
+        + "1\t7\t3\tx1\t  Lee \tAnn\t1/2/2024\t$1,000.50\t\tbad\n" + "oops\t7\t3\n" + "2\t\t\t\t\t\tnever\t(5.00)\t1\t2\n"
+    )
+    rows, bad = feeds.load_feed(spark, str(tmp_path / "r.txt"), "Receipts")
+    got = {r["id"]: r for r in rows.collect()}
+    assert rows.columns == feeds.LAYOUTS["Receipts"].split() and set(got) == {1, 2} and bad.first()["reject_reason"] == "missing_id"
+    assert (got[1]["last_name"], got[1]["received_date"], got[1]["amount"], got[1]["loan_amount"], got[1]["archived"]) == ("Lee", date(2024, 1, 2), 1000.5, None, False)
+    assert (got[2]["received_date"], got[2]["amount"], got[2]["committee_id"]) == (None, -5.0, None)
+    assert feeds.kinds("FiledDocs")["reporting_period_end"] == "date" and "received_at" not in feeds.kinds("FiledDocs") and feeds.kinds("D2Totals")["total_receipts"] == "money"
+    person = ", ".join(f"{c} string" for c in "last_name first_name title".split())
+    current = spark.createDataFrame([(1, "Lee", "Ann", "Chair")], f"id long, {person}")
+    previous = spark.createDataFrame([(9, 5, "Fox", "Bo", "Chair", date(2020, 1, 1))], f"id long, committee_id long, {person}, resign_date date")
+    links = spark.createDataFrame([(1, 5), (1, 6)], "officer_id long, committee_id long")
+    found = sorted((r["id"], r["committee_id"], r["is_current"]) for r in feeds.attach_officer_committees(current, previous, links).collect())
+    assert found == [(1, 5, True), (1, 6, True), (9, 5, False)]
+
+
+def test_shared_folder(spark, monkeypatch):
+    from types import SimpleNamespace
+
+    from ledgerlens.sources import shared
+
+    df = shared.materialize(spark.range(3), "t")
+    assert shared.exists(df) and df.count() == 3
+    shared.discard(df)
+    assert not shared.exists(df)
+    session = SimpleNamespace(conf=SimpleNamespace(get=lambda *a: None), sparkContext=SimpleNamespace(master="spark://x:7077"))
+    with pytest.raises(ValueError):
+        shared.shared_dir(session)
+    session.sparkContext.master = "local-cluster[2,1,1024]"
+    with pytest.raises(ValueError):
+        shared.shared_dir(session)
+
+
+def test_stored_view_follows_its_tables(spark, tmp_path):
+    from ledgerlens.plans.catalog import Tables
+
+    for n, rows, schema in (("lineitem", [(1, 2, 3, 1, 5.0, 10.0, 0.0, 0.0, "A", "F", "1999-01-02")], "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string, l_shipdate string"), ("part", [(2, "small ring", "Brand#1", "PROMO", 3, 1.0)], "p_partkey long, p_name string, p_brand string, p_type string, p_size int, p_retailprice double")):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / f"{n}.parquet"))
+    t = Tables(spark, str(tmp_path))
+    assert t.expenditures.count() == 1 and t.expenditures._ledgerlens_path == t.expenditures._ledgerlens_path
+    spark.createDataFrame([(9, 2, 3, 1, 5.0, 10.0, 0.0, 0.0, "A", "F", "1999-01-02")] * 2, spark.read.parquet(str(tmp_path / "lineitem.parquet")).schema).write.mode("append").parquet(str(tmp_path / "lineitem.parquet"))
+    assert t.expenditures.count() == 3
