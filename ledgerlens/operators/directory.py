@@ -19,12 +19,15 @@ def sorted_by(columns: dict[str, str], name: str, direction: str = "asc", tie: s
     return order + ([F.col(tie).asc_nulls_last()] if tie else [])
 
 
-def directory(df: DataFrame, search: str | None, name: str, columns: dict[str, str], sort: str, direction: str, size: int, number: int, tie: str) -> DataFrame:
-    """Searched, sorted page. Words match name words by prefix; a search of four or more characters without any such match falls back to substrings."""
+def directory(df: DataFrame, search: str | None, name: str, columns: dict[str, str], sort: str, direction: str, size: int, number: int, tie: str, substring: bool = False) -> DataFrame:
+    """Searched, sorted page. Words match name words by prefix; a search of four or more characters without any such match falls back to substrings.
+
+    With `substring` every name that contains the search is found, whatever words begin with it.
+    """
     rows = df
     if search:
-        rows = df.where(name_matches(F.col(name), search))
-        if len(search) >= 4 and rows.isEmpty():
+        rows = df.where(F.lower(name).contains(search.lower()) if substring else name_matches(F.col(name), search))
+        if not substring and len(search) >= 4 and rows.isEmpty():
             rows = df.where(F.lower(name).contains(search.lower()))
     return page(rows, sorted_by(columns, sort, direction, tie), size, number)
 
