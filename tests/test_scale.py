@@ -36,3 +36,26 @@ def same(spark, name, folder, con):
 def test_directory_search_finds_substrings_beside_word_prefixes(spark, tmp_path):
     folder, con = changed(tmp_path, customer="SELECT * REPLACE (CASE WHEN c_custkey % 7 = 0 THEN 'Customer#00012' || lpad(c_custkey::VARCHAR, 4, '0') ELSE c_name END AS c_name) FROM {t}")
     same(spark, "donor_directory_search", folder, con)
+
+
+def test_graph_kernels_take_any_number_of_edges(spark):
+    from pyspark.sql import functions as F
+
+    from ledgerlens.operators import graph, kernels
+
+    n = 320  # two complete bipartite graphs, more edges than the kernels once took
+    half, a, b = F.col("id") % 2, (F.col("id") / 2).cast("long") % n, F.floor(F.col("id") / (2 * n))
+    name = lambda side, i: F.concat(F.lit(f"{side}:"), half.cast("string"), F.lit(":"), i.cast("string"))
+    edges = spark.range(2 * n * n).select(name("a", a).alias("src"), name("b", b).alias("dst"), F.lit(1.0).alias("weight"))
+    for kernel, column in ((kernels.label_propagation, "cluster"), (kernels.louvain, "community")):
+        found = {r["node"]: r[column] for r in kernel(edges).collect()}
+        assert len(found) == 4 * n and len({(k.split(":")[1], v) for k, v in found.items()}) == len(set(found.values())) == 2
+    # A search from one side gives each node of the other (n - 1) / n: a side's value tells how many of the 64 pivots lie opposite.
+    sides = {}
+    for r in kernels.betweenness(edges).collect():
+        sides.setdefault(r["node"].rpartition(":")[0], set()).add(r["betweenness"])
+    scale = 4 * n / 64 / (4 * n - 1) / (4 * n - 2)
+    assert len(sides) == 4 and all(len(v) == 1 for v in sides.values()) and abs(sum(v.pop() for v in sides.values()) / scale * n / (n - 1) - 64) < 0.2
+    labels = edges.select(F.col("src").alias("node"), F.lit("x").alias("label")).distinct()
+    row = graph.metrics(edges, labels).where("node = 'a:0:7'").collect()
+    assert [(r["degree"], r["weighted_degree"], r["known_edges"]) for r in row] == [(n, float(n), 0)]
