@@ -103,7 +103,7 @@ def _(t):
     out = None
     for kind, book, key, name, threshold in (("committee", t.committee_book, "committee_id", "committee_name", 0.3), ("donor", t.donor_book, "donor_key", "donor_name", 0.2)):
         right = book.select(key, name, F.col("city").alias("c2"), F.col("state").alias("s2"), F.col("zip").alias("z2"))
-        found = crossmatch.match_addresses(stacked, right, "org_name", name, (("org_city", "org_state", "org_zip"), ("c2", "s2", "z2")), threshold, ["ein", "address_type", key])
+        found = crossmatch.match_addresses(stacked, right, "org_name", name, (("org_city", "org_state", "org_zip"), ("c2", "s2", "z2")), threshold, ["ein", "address_type", key], keep=["ein", "address_type", key])
         found = found.select(F.lit(kind).alias("matched_type"), "ein", "address_type", F.col(key).cast("string").alias("matched_id"), "address_score", "name_score")
         out = found if out is None else out.unionByName(found)
     return out

@@ -59,3 +59,22 @@ def test_graph_kernels_take_any_number_of_edges(spark):
     labels = edges.select(F.col("src").alias("node"), F.lit("x").alias("label")).distinct()
     row = graph.metrics(edges, labels).where("node = 'a:0:7'").collect()
     assert [(r["degree"], r["weighted_degree"], r["known_edges"]) for r in row] == [(n, float(n), 0)]
+
+
+def test_addresses_in_tiles_equal_whole_blocks(spark):
+    from pyspark.sql import functions as F
+
+    from ledgerlens.operators import crossmatch
+
+    words = F.array(*[F.lit(w) for w in ("steel works", "stone mill", "river fund", "still water", "ston mills")])
+    rows = spark.range(120).select((F.col("id") % 50).alias("own"), F.concat(F.get(words, (F.col("id") % 5).cast("int")), F.lit(" "), (F.col("id") % 7).cast("string")).alias("name"), F.when(F.col("id") % 4 > 0, F.concat(F.lit("City "), (F.col("id") % 3).cast("string"))).alias("city"), F.lit("IL").alias("state"), F.when(F.col("id") % 9 > 0, F.concat(F.lit("6050"), (F.col("id") % 2).cast("string"))).alias("zip"))
+    right = rows.select(*[F.col(c).alias(f"{c}2") for c in rows.columns])
+    args = (rows, right, "name", "name2", (("city", "state", "zip"), ("city2", "state2", "zip2")), 0.3, ["own", "own2"])
+    got = {(r["own"], r["own2"], r["address_score"], r["name_score"]) for r in crossmatch.match_addresses(*args, keep=["own", "own2"], tile=16).collect()}
+    con = duckdb.connect()
+    con.register("t", rows.toPandas())
+    from ledgerlens.plans.queries_cross import addresses_sql
+
+    expect = con.execute(addresses_sql("SELECT * FROM t", "name", "", "SELECT own AS own2, name AS name2, city AS c2, state AS s2, zip AS z2 FROM t", "name2", "own, own2", "own, own2", 0.3)).fetchall()
+    # The SQL scores no city as another city, and so does the operator.
+    assert len(got) == len(expect) > 300 and got == {tuple(r) for r in expect}
