@@ -67,11 +67,28 @@ def content_upsert(old: DataFrame, new: DataFrame, link: str) -> DataFrame:
     return both.withColumn("row_hash", F.sha1(F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in values]).cast("binary"))).dropDuplicates([link, "row_hash"])
 
 
-def infer_links(links: DataFrame, candidates: DataFrame, committees: DataFrame) -> DataFrame:
-    """New (committee, candidate) links where a committee's referred name equals `last, first` of a candidate, less the known links."""
-    named = candidates.select("candidate_id", F.lower(F.concat_ws(", ", F.trim("last_name"), F.trim("first_name"))).alias("__k"))
-    found = committees.select("committee_id", F.lower(F.trim("refer_name")).alias("__k")).join(named, "__k").select("committee_id", "candidate_id").distinct()
-    return found.join(links, ["committee_id", "candidate_id"], "left_anti")
+def infer_links(links: DataFrame, candidates: DataFrame, committees: DataFrame, tile: int = 4096) -> DataFrame:
+    """New (committee, candidate) links where a committee's referred name equals `last, first` of a candidate, less the known links.
+
+    Pairs are made last and never shuffled: the candidates of a name are arrays of about `tile` ids, from which a committee's known links are taken before its
+    pairs are made. Only candidates with several names can meet a committee twice; their pairs are made distinct.
+    """
+    named = candidates.select("candidate_id", F.lower(F.concat_ws(", ", F.trim("last_name"), F.trim("first_name"))).alias("__k")).distinct()
+    whom = committees.select("committee_id", F.lower(F.trim("refer_name")).alias("__k")).where("__k IS NOT NULL").distinct()
+    named = named.withColumn("__names", F.count("*").over(Window.partitionBy("candidate_id")))
+    several = whom.join(named.where("__names > 1"), "__k").select("committee_id", "candidate_id").distinct().join(links, ["committee_id", "candidate_id"], "left_anti")
+    one = named.where("__names = 1").drop("__names")
+    tiles = one.groupBy("__k").agg(F.ceil(F.count("*") / tile).alias("__n")).join(whom.groupBy("__k").agg(F.ceil(F.count("*") / tile).alias("__m")), "__k")
+    deal = lambda df, c, n: df.join(tiles, "__k").withColumn(f"__{c}", F.pmod(F.xxhash64(c), F.col(n)))
+    every = lambda c, n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1)).alias(c)
+    at = ["__k", "__candidate_id", "__committee_id"]
+    dealt = deal(one, "candidate_id", "__n")
+    lists = dealt.groupBy("__k", "__candidate_id", "__m").agg(F.collect_list("candidate_id").alias("__ids")).select("__k", "__candidate_id", "__ids", every("__committee_id", "__m"))
+    known = links.join(whom, "committee_id").join(dealt.select("candidate_id", "__k", "__candidate_id"), ["candidate_id", "__k"])
+    known = known.groupBy("committee_id", "__k", "__candidate_id").agg(F.collect_set("candidate_id").alias("__known"))
+    rows = deal(whom, "committee_id", "__m").select("committee_id", "__k", "__committee_id", every("__candidate_id", "__n")).join(known, ["committee_id", "__k", "__candidate_id"], "left")
+    new = F.when(F.col("__known").isNull(), F.col("__ids")).otherwise(F.array_except("__ids", "__known"))
+    return rows.join(lists, at).select("committee_id", F.explode(new).alias("candidate_id")).unionByName(several)
 
 
 def snapshot(df: DataFrame, label: str) -> DataFrame:

@@ -78,3 +78,16 @@ def test_addresses_in_tiles_equal_whole_blocks(spark):
     expect = con.execute(addresses_sql("SELECT * FROM t", "name", "", "SELECT own AS own2, name AS name2, city AS c2, state AS s2, zip AS z2 FROM t", "name2", "own, own2", "own, own2", 0.3)).fetchall()
     # The SQL scores no city as another city, and so does the operator.
     assert len(got) == len(expect) > 300 and got == {tuple(r) for r in expect}
+
+
+def test_infer_links_by_lists(spark, tmp_path):
+    from ledgerlens.operators import directory
+
+    folder, con = changed(tmp_path, part="SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN 'red bolt' ELSE p_name END AS p_name, p_brand, p_type, p_size, p_retailprice FROM {t}")
+    same(spark, "infer_links", folder, con)
+    links = spark.createDataFrame([(1, 10), (2, 11), (1, 12)], "committee_id long, candidate_id long")
+    people = spark.createDataFrame([*((i, "Lee", " Ann") for i in range(10, 20)), (20, "Lee", "Ann"), (20, "Moe", "Bo"), (20, "Lee", "Ann"), (21, "Fox", "Cy")], "candidate_id long, last_name string, first_name string")
+    whom = spark.createDataFrame([*((i, "LEE, Ann ") for i in range(1, 6)), (1, "moe, bo"), (1, "lee, ann"), (7, None)], "committee_id long, refer_name string")
+    found = directory.infer_links(links, people, whom, tile=3)
+    expect = {(c, p) for c in range(1, 6) for p in range(10, 21)} - {(1, 10), (2, 11), (1, 12)}
+    assert sorted(map(tuple, found.collect())) == sorted(expect)
